@@ -4,18 +4,20 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from memolake.llm import licenses, mixing
+    from memolake.llm import licenses, mixing, warc
 
     return {
+        "op2_warc_round_trip": warc.op2_warc_round_trip,
         "op7_source_mix": mixing.op7_source_mix,
         "op9_license_scan": licenses.op9_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from memolake.llm import licenses, mixing
+    from memolake.llm import licenses, mixing, warc
 
     return {
+        "op2_warc_round_trip": warc.OP2_SQL,
         "op7_source_mix": mixing.OP7_SQL,
         "op9_license_scan": licenses.OP9_SQL,
     }

@@ -53,7 +53,7 @@ def plain_words(text: Column) -> Column:
     """Words of lower-case text, one blank between them. A-Z are word characters before they are lowered; the two
     letters outside ASCII that Unicode lowers into ASCII are kept out of it."""
     apart = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
-    for letter in ("K", "İ"):
+    for letter in ("\u212a", "\u0130"):
         apart = F.replace(apart, F.lit(letter), F.lit("ç"))
     return F.lower(apart)
 
