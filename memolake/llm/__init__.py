@@ -4,10 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from memolake.llm import licenses, mixing, warc
+    from memolake.llm import fingerprints, licenses, materialise, mixing, packing, warc
 
     return {
         "op2_warc_round_trip": warc.op2_warc_round_trip,
+        "op4_packing": packing.op4_packing,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
+        "op10_training_order": materialise.op10_training_order,
         "op7_source_mix": mixing.op7_source_mix,
         "op9_license_scan": licenses.op9_license_scan,
     }
