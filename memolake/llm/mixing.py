@@ -50,9 +50,10 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: int
     return s.select("_key", "_source_size", F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_w")).alias("_target"))
 
 
-def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """All rows of docs in the struct ``row``, with ``size``, ``source_size``, ``target`` and ``copies`` beside it."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_epochs: int = MAX_EPOCHS, keep: list[str] | None = None) -> DataFrame:
+    """All rows of docs in the struct ``row``, with ``size``, ``source_size``, ``target`` and ``copies`` beside it.
+    keep: the columns of docs that row has (all): only those go through the shuffle."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
     key = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     rows = docs.select(row.alias("row"), key.alias("_key"), F.col(source).alias("_source"), F.col(doc_id).alias("_id"), word_count(F.col(text)).alias("_size"))
     # A band holds sizes with the same number of binary digits and the same four leading ones.
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
