@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from memolake.llm import fingerprints, licenses, materialise, mixing, packing, warc
+    from memolake.llm import fingerprints, jaccard, licenses, materialise, mixing, packing, warc
 
     return {
         "op2_warc_round_trip": warc.op2_warc_round_trip,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_packing": packing.op4_packing,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op10_training_order": materialise.op10_training_order,
