@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from memolake.llm import fingerprints, jaccard, language, licenses, materialise, mixing, packing, warc
+    from memolake.llm import fingerprints, jaccard, language, licenses, lm, materialise, mixing, packing, warc
 
     return {
         "op2_warc_round_trip": warc.op2_warc_round_trip,
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_language_id": language.op6_language_id,
+        "op8_lm_score": lm.op8_lm_score,
         "op10_training_order": materialise.op10_training_order,
         "op7_source_mix": mixing.op7_source_mix,
         "op9_license_scan": licenses.op9_license_scan,
