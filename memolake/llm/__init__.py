@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from memolake.llm import fingerprints, jaccard, language, licenses, lm, materialise, mixing, packing, warc
+    from memolake.llm import fingerprints, jaccard, language, licenses, lm, materialise, mixing, neighbours, packing, warc
 
     return {
+        "op1_nearest": neighbours.op1_nearest,
         "op2_warc_round_trip": warc.op2_warc_round_trip,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_packing": packing.op4_packing,
