@@ -5,14 +5,16 @@ from __future__ import annotations
 import base64
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
 #: The ids of so many pieces are kept; then the store starts anew.
-KEEP_PIECES = 400_000
+KEEP_PIECES = 800_000
 _open: dict = {}
 #: Blanks that str.split() takes and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
+STOPS = ".,;:!?"
 
 
 class PieceTokenizer:
@@ -28,11 +30,31 @@ class PieceTokenizer:
 
     def clear(self):
         self.known, self.starts, self.sizes, self.ids = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.words, self.marks = {}, {}
 
     def learn(self, pieces: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Most new pieces are a word of ASCII letters and perhaps stops: normalisation lowers it, the library's model
+        gives its ids, and those of the stops follow. All others go through the whole tokenizer."""
+        tokenize, words, got, others = self.tokenizer.model.tokenize, self.words, [], []
+        for i, piece in enumerate(pieces):
+            word = piece.rstrip(STOPS)
+            if word.isascii() and word.isalpha():
+                low = word.lower()
+                ids = words.get(low)
+                if ids is None:
+                    ids = words[low] = [t.id for t in tokenize(low)]
+                if stops := piece[len(word) :]:
+                    if stops not in self.marks:
+                        self.marks[stops] = self.tokenizer.encode(stops, add_special_tokens=False).ids
+                    ids = ids + self.marks[stops]
+                got.append(ids)
+            else:
+                others.append(i)
+                got.append(None)
+        for i, x in zip(others, self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False)):
+            got[i] = x.ids
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
         self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
@@ -42,8 +64,7 @@ class PieceTokenizer:
             self.clear()
         split = [re.split("[ \t\r\n]+", t) if ODD.search(t) else t.split() for t in texts]
         pieces = [p for s in split for p in s]
-        get = self.known.get
-        at = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(lost := np.flatnonzero(at < 0)):
             self.learn([*dict.fromkeys(pieces[i] for i in lost)])
             at[lost] = [self.known[pieces[i]] for i in lost]
