@@ -24,13 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memolake.llm import hashing
 from memolake.llm.common import staged, table
 
-BITS, MAP_WORDS = 18, 8
+BITS, MAP_WORDS, SALTS = 18, 8, 16
+#: So many ids, 8 bytes each, are broadcast; more are joined by a shuffle.
+FEW_IDS = 1_000_000
 WORDS, PERCENT = 5, 80
 
 
@@ -50,20 +53,32 @@ def bitmap(s: np.ndarray) -> list[int]:
 
 
 def shingle_counts(docs: DataFrame, words: int, bits: int = BITS) -> np.ndarray:
-    """How many shingles fall to each of 2**bits cells: a table of fixed size, summed over all texts."""
+    """How many shingles fall to each of 2**bits cells: a table of fixed size, summed over all texts by blocks of cells,
+    first over salts, then over all tasks."""
+    size = min(1 << 14, 1 << bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for s in sets_of(batch["text"].tolist(), words):
                 np.add.at(total, (s & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": some, "n": total[some]})
+        part = TaskContext.get().partitionId() % SALTS
+        blocks = [i for i in range(0, 1 << bits, size) if total[i : i + size].any()]
+        yield pd.DataFrame({"block": blocks, "salt": part, "cells": [total[i : i + size].tobytes() for i in blocks]})
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = rows.toPandas()
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for block, cells in zip(batch["block"], batch["cells"]):
+                sums[block] = sums.get(block, 0) + np.frombuffer(cells, np.int64)
+        yield pd.DataFrame({"block": list(sums), "salt": 0, "cells": [x.tobytes() for x in sums.values()]})
+
+    schema = "block int, salt int, cells binary"
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(count, schema)
+    rows = rows.repartition("block", "salt").mapInPandas(add, schema).repartition("block").mapInPandas(add, schema)
     total = np.zeros(1 << bits, np.int64)
-    total[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    for row in rows.collect():  # 2**bits numbers
+        total[row["block"] : row["block"] + size] = np.frombuffer(row["cells"], np.int64)
     return total
 
 
@@ -132,6 +147,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (unequal_bits("map_a", "map_b") * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
     close = staged(close.where(fits).select("a", "b", "n_a", "n_b", "rep_a", "rep_b"), "pairs")
     wanted = close.select(F.col("rep_a").alias("doc_id")).union(close.select("rep_b")).distinct()
+    wanted = staged(wanted, "wanted")
+    if wanted.count() <= FEW_IDS:
+        wanted = F.broadcast(wanted)
     have = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     have = staged(shingle_sets(have, words), "sets")
     got = close.join(have.select(F.col("sid").alias("a"), F.col("shingles").alias("s_a")), "a").join(have.select(F.col("sid").alias("b"), F.col("shingles").alias("s_b")), "b")
@@ -143,20 +161,24 @@ def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     """(doc_id, n_shingles, component_id), one row for each row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = staged(described(docs, shingle_counts(docs, words), words, percent), "described")
-    sets = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
-    sets = staged(sets.withColumn("gid", F.xxhash64("n", "prefix")), "distinct-sets")
-    groups = sets.groupBy("gid").agg(F.min("sid").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = groups.select("gid", "head", "n", F.posexplode("prefix").alias("place", "token"))
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    lists = staged(tokens.join(held, "token"), "lists")
+    rows = rows.withColumn("gid", F.xxhash64("n", "prefix"))
+    some = rows.where("n > 0")
+    sets = some.groupBy("sid").agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("gid").alias("gid"))
+    sets = staged(sets, "distinct-sets")
+    heads = staged(sets.groupBy("gid").agg(F.min("sid").alias("head"), F.first("n").alias("n")), "groups")
+    # One row for each group and prefix shingle; size and place in one number. Only shingles of two groups or more stay.
+    tokens = some.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    tokens = tokens.select("gid", "n", F.posexplode("prefix").alias("place", "token")).select("token", "gid", (F.col("n") * F.lit(1 << 31) + F.col("place")).alias("at"))
+    tokens = tokens.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("held > 1")
+    lists = tokens.select("token", "gid", F.shiftright("at", 31).alias("n"), (F.col("at") % F.lit(1 << 31)).alias("place"))
+    lists = staged(lists.join(heads.select("gid", "head"), "gid"), "lists")
 
     # As many pairs as rows: with one group of each list and size band, and with one set of each group.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) if percent < 100 else 1.0))
     banded = lists.withColumn("band", band)
     pivots = banded.groupBy("token", "band").agg(F.min("head").alias("pivot"))
     stars = banded.join(pivots, ["token", "band"]).where("head <> pivot").select(F.col("pivot").alias("a"), F.col("head").alias("b"))
-    heads = groups.select("gid", "head")
-    inside = sets.join(heads, "gid").where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    inside = sets.join(heads.select("gid", "head"), "gid").where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
     first = staged(verified(stars.union(inside), sets, docs, words, percent), "links")
     roots = components(first)
 
