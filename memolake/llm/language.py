@@ -19,6 +19,7 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from memolake.llm.hashing import blocks
 #: Bounds of the model: documents per language, trigrams per language, languages.
 SAMPLE, TRIGRAMS, LANGUAGES = 1500, 30_000, 256
 SWITCH = 10.0
-KEEP_WORDS = 400_000
+KEEP_WORDS = 800_000
 #: Of a language's words, the share in a script from which on it is a candidate for that script.
 SCRIPT_SHARE = 0.01
 
@@ -45,7 +46,7 @@ SCRIPTS = [
     (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x30000, "other"),
 ]
 _STARTS = [a for a, _ in SCRIPTS]
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS, NOT_LETTERS_OR_END = re.compile(r"[\W\d_]+"), re.compile(r"[^\w\n]+|[\d_]+")
 
 
 def script_of(letter: str) -> str:
@@ -56,6 +57,10 @@ def letters(word: str) -> str:
     return NOT_LETTERS.sub("", word).lower()
 
 
+def code(gram: str) -> int:
+    return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
+
+
 def trigrams(word: str) -> list[str]:
     w = f"<{word}>"
     return [w[i : i + 3] for i in range(len(w) - 2)]
@@ -70,33 +75,43 @@ class Model:
 
     def __init__(self, counts: dict, scripts: dict):
         self.languages = sorted(counts)
-        grams = sorted({g for c in counts.values() for g in c})
-        self.row = {g: i for i, g in enumerate(grams)}
-        n = np.zeros((len(grams) + 1, len(self.languages)))
+        grams = sorted({g for c in counts.values() for g in c}, key=code)
+        row = {g: i for i, g in enumerate(grams)}
+        self.codes = np.array([code(g) for g in grams] or [-1], np.int64)
+        n = np.zeros((len(self.codes) + 1, len(self.languages)))
         for j, x in enumerate(self.languages):
             for g, c in counts[x].items():
-                n[self.row[g], j] = c
+                n[row[g], j] = c
         self.scores = np.log((n + 0.5) / (n.sum(0) + 0.5 * len(n))).astype(np.float32)
         total = {x: sum(s.values()) or 1 for x, s in scripts.items()}
         self.allowed = {s: np.array([scripts.get(x, {}).get(s, 0) / total.get(x, 1) >= SCRIPT_SHARE for x in self.languages]) for s in {s for _, s in SCRIPTS}}
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """A row for each word: 0 for all languages where it has no letter; languages out of its script get the least."""
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each word, 0 for all languages where it has no letter, and the words' numbers of letters. Languages
+        out of a word's script get the least. Words are taken as one string of code points."""
+        clean = NOT_LETTERS_OR_END.sub("", "\n".join(words).lower()).split("\n")
+        sizes = np.fromiter(map(len, clean), np.int64, len(clean))
+        points = np.frombuffer("".join(f"<{w}>" for w in clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         out = np.zeros((len(words), len(self.languages)), np.float32)
-        unknown = len(self.scores) - 1
-        at, rows, masks = [], [], []
-        for i, word in enumerate(words):
-            if w := letters(word):
-                got = [self.row.get(g, unknown) for g in trigrams(w)]
-                at += [i] * len(got)
-                rows += got
-                allowed = self.allowed[script_of(w[0])]
-                if allowed.any() and not allowed.all():
-                    masks.append((i, allowed))
-        np.add.at(out, np.array(at, np.int64), self.scores[np.array(rows, np.int64)])
-        for i, allowed in masks:
-            out[i, ~allowed] = min(out[i].min(), 0) - 2 * SWITCH
-        return out
+        full = np.flatnonzero(sizes)
+        if not len(full) or not self.languages:
+            return out, sizes
+        starts = np.cumsum(sizes + 2) - (sizes + 2)
+        # A word of n letters has n trigrams, from its opening mark on.
+        codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+        at = np.repeat(starts[full] - (np.cumsum(sizes[full]) - sizes[full]), sizes[full]) + np.arange(sizes.sum())
+        codes = codes[at]
+        row = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        row = np.where(self.codes[row] == codes, row, len(self.codes))
+        out[full] = np.add.reduceat(self.scores[row], np.cumsum(sizes[full]) - sizes[full], axis=0)
+        script = np.searchsorted(_STARTS, points[starts[full] + 1], "right") - 1
+        for i in np.unique(script):
+            allowed = self.allowed[SCRIPTS[i][1]]
+            if allowed.any() and not allowed.all():
+                these = full[script == i]
+                least = np.minimum(out[these].min(1), 0) - 2 * SWITCH
+                out[np.ix_(these, np.flatnonzero(~allowed))] = least[:, None]
+        return out, sizes
 
 
 def learned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, keep: int = TRIGRAMS, languages: int = LANGUAGES) -> Model:
@@ -139,16 +154,21 @@ def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     low = np.minimum.accumulate(np.concatenate((np.zeros((1, k)), gain[:-1])), axis=0)
     if (gain - low).max() <= switch:
         return np.full(n, best)
-    v, back, stay = s[0].astype(np.float64), np.zeros((n, k), np.int64), np.arange(k)
-    for t in range(1, n):
-        top = int(v.argmax())
-        jump = v[top] - switch
-        back[t] = np.where(v >= jump, stay, top)
-        v = np.maximum(v, jump) + s[t]
+    # Step by step: stay in a language, or come from the best one at the price of a switch. For a few languages plain
+    # numbers are faster than arrays.
+    v, trail = s[0].tolist(), []
+    for row in s[1:].tolist():
+        top = max(v)
+        jump = top - switch
+        trail.append((v, jump, top))
+        v = [(x if x >= jump else jump) + y for x, y in zip(v, row)]
     path = np.empty(n, np.int64)
-    path[-1] = int(v.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    at = path[-1] = v.index(max(v))
+    for t in range(n - 2, -1, -1):
+        v, jump, top = trail[t]
+        if v[at] < jump:
+            at = v.index(top)
+        path[t] = at
     return path
 
 
@@ -168,13 +188,12 @@ class Labeller:
             self.clear()
         split = [t.split() for t in texts]
         words = [w for s in split for w in s]
-        get = self.known.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         if len(lost := np.flatnonzero(at < 0)):
             new = [*dict.fromkeys(words[i] for i in lost)]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.rows = np.concatenate((self.rows, self.model.score(new)))
-            self.sizes = np.concatenate((self.sizes, np.array([len(letters(w)) for w in new], np.int64)))
+            rows, sizes = self.model.score(new)
+            self.rows, self.sizes = np.concatenate((self.rows, rows)), np.concatenate((self.sizes, sizes))
             at[lost] = [self.known[words[i]] for i in lost]
         out, begin = [], 0
         for s in split:
