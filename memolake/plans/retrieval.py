@@ -1,0 +1,230 @@
+"""Queries for text functions, the index and lexical retrieval, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memolake.functions import text as T
+from memolake.operators import evaluate, index, lexical
+from memolake.plans import sql as S
+from memolake.sources import corpus
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+class Built:
+    """The index of the documents: every part a lazy DataFrame."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.docs = corpus.documents(spark, sf_dir)
+        self.postings = index.postings(self.docs)
+        self.terms = index.terms(self.postings)
+        self.lengths = index.doc_lengths(self.docs, self.postings)
+        self.stats = index.corpus_stats(self.lengths, self.terms)
+
+    def recall(self, queries: DataFrame, k: int) -> DataFrame:
+        return lexical.recall(queries, self.docs, self.postings, self.terms, self.lengths, self.stats, k)
+
+
+def round6(c):
+    return F.round(c, 6)
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n_words, len(list_distinct(t))::INT AS n_distinct, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, {S.words('text')} AS t FROM documents)")
+def t2_words(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", T.latin_words(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_words"), F.size(F.array_distinct("t")).alias("n_distinct"), F.concat_ws(" ", F.slice("t", 1, 5)).alias("head"))
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n_words, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, {S.words('text')} AS t FROM documents)")
+def t2_words_any_script(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_words"), F.concat_ws(" ", F.slice("t", 1, 5)).alias("head"))
+
+
+@query(f"WITH {S.asked(S.PROMPTS)} SELECT qid, word, word AS gram FROM asked")
+def t4_query_terms(spark, sf_dir):
+    return lexical.query_terms(corpus.prompts(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id, i::INT AS chunk_no, (i * 1000)::INT AS start, sha1(substr(t, i * 1000 + 1, 1200)) AS chunk_sha
+FROM (SELECT doc_id, t, unnest(range(0, greatest(ceil((length(t) - 1200) / 1000.0), 0)::INT + 1)) AS i FROM b WHERE length(t) > 0)""")
+def t5_chunk_spans(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunk_spans(F.col("text"))).alias("c"))
+    return d.select("doc_id", "c.chunk_no", F.col("c.start").cast("int").alias("start"), F.sha1("c.chunk").alias("chunk_sha"))
+
+
+@query(f"WITH {S.INDEX} SELECT skel, term, df FROM (SELECT regexp_replace(translate(regexp_replace(term, '[aeiouyw]', '', 'g'), 'cqlfv', 'kkrpb'), 'x', 'x', 'g') AS raw, term, df FROM terms WHERE df >= 2 AND regexp_full_match(term, '[a-z]+')), LATERAL (SELECT array_to_string(list_filter(list_transform(range(1, length(raw) + 1), lambda i: CASE WHEN i = 1 OR substr(raw, i, 1) <> substr(raw, i - 1, 1) THEN substr(raw, i, 1) ELSE '' END), lambda x: x <> ''), '') AS skel) WHERE length(skel) >= 2")
+def x6_skeletons(spark, sf_dir):
+    return index.skeletons(Built(spark, sf_dir).terms)
+
+
+@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_concat([regexp_extract(name, '(\.[A-Za-z0-9]+)$', 1), regexp_extract(name, '(\.[A-Za-z0-9]+\.[A-Za-z0-9]+)$', 1), name, regexp_extract(name, '([A-Z][a-z]+)(?:\.[A-Za-z0-9.]+)?$', 1)],
+  CASE WHEN len(p) > 1 THEN list_transform(range(1, len(p)), lambda i: p[i] || '/' || p[i + 1]) ELSE [] END, CASE WHEN len(p) > 1 THEN p[1:len(p) - 1] ELSE [] END), lambda s: s <> ''))), ' ') AS signals
+FROM (SELECT page_id, p, p[len(p)] AS name FROM (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '') AS p FROM pages)) WHERE len(p) > 0""")
+def t13_path_signals(spark, sf_dir):
+    p = corpus.table(spark, sf_dir, "pages")
+    return p.select("page_id", F.concat_ws(" ", T.path_signals(F.regexp_replace("url", "^[a-z]+://", ""))).alias("signals"))
+
+
+@query(r"""SELECT doc_id, array_to_string(f, ' ') AS facts FROM (SELECT doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9_-]*#\d+'), regexp_extract_all(text, '\b[\w-]+\.(?:py|md|json|ts|js|sh|yml|yaml|toml|sql)\b'),
+  regexp_extract_all(text, '\b\d+/\d+\b'), regexp_extract_all(text, '\b20\d\d-\d\d-\d\d\b')))) AS f FROM documents) WHERE len(f) > 0""")
+def t15_facts(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", T.facts(F.col("text")).alias("f")).where(F.size("f") > 0)
+    return d.select("doc_id", F.concat_ws(" ", "f").alias("facts"))
+
+
+@query()
+def p9_scrub(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", T.scrub(F.col("text")).alias("masked"), T.secret_labels(F.col("text")).alias("labels"))
+
+
+@query()
+def p10_secret_audit(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", T.secret_labels(F.col("text")).alias("labels"))
+    return d.where(F.size("labels") > 0)
+
+
+@query("""SELECT DISTINCT page_id AS src_id, unnest(regexp_extract_all(html, 'href="([^"#?]+)', 1)) AS dst_name FROM pages""")
+def p3_links(spark, sf_dir):
+    return corpus.page_links(spark, sf_dir)
+
+
+@query("""SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source <> 'src0'""")
+def p7_slice(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de") & (F.col("source") != "src0")).select("doc_id", "lang", "source")
+
+
+@query("""SELECT min(conv_id * 1000 + turn) AS qid, text FROM conversations WHERE role = 'user' AND length(text) BETWEEN 12 AND 600 AND NOT starts_with(text, '/') AND NOT starts_with(text, '<') GROUP BY text""")
+def p8_real_prompts(spark, sf_dir):
+    p = corpus.prompts(spark, sf_dir).where(F.length("text").between(12, 600) & ~F.col("text").startswith("/") & ~F.col("text").startswith("<"))
+    return p.groupBy("text").agg(F.min("qid").alias("qid"))
+
+
+@query(f"WITH {S.INDEX} SELECT doc_id, term, tf FROM postings")
+def x1_postings(spark, sf_dir):
+    return Built(spark, sf_dir).postings
+
+
+@query(f"WITH {S.INDEX} SELECT doc_id, term, round(sum(w * (1 + ln(c))), 6) AS tf FROM (SELECT doc_id, term, w::DOUBLE AS w, count(*) AS c FROM field_terms GROUP BY ALL) GROUP BY doc_id, term")
+def x1_postings_log(spark, sf_dir):
+    return index.postings(corpus.documents(spark, sf_dir), "log").withColumn("tf", round6("tf"))
+
+
+@query(f"WITH {S.INDEX} SELECT term, df FROM terms")
+def x2_terms(spark, sf_dir):
+    return Built(spark, sf_dir).terms
+
+
+@query(f"WITH {S.INDEX} SELECT n_docs, round(avg_doclen, 6) AS avg_doclen, (SELECT count(*) FROM terms) AS n_terms, (SELECT count(*) FROM postings) AS n_postings FROM stats")
+def x2_stats(spark, sf_dir):
+    return Built(spark, sf_dir).stats.withColumn("avg_doclen", round6("avg_doclen"))
+
+
+@query(f"""WITH {S.DOCS} SELECT path, CASE WHEN doc_id % 50 = 1 THEN 'added' WHEN doc_id % 50 = 2 THEN 'removed' WHEN doc_id % 50 = 3 THEN 'updated' WHEN doc_id % 50 = 4 THEN 'refreshed' ELSE 'unchanged' END AS status FROM docs""")
+def x3_changes(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir)
+    kind = F.col("doc_id") % 50
+    old = d.where(kind != 1).select("path", F.lit(0).alias("mtime"), "size", "sha")
+    new = d.where(kind != 2).select("path", F.when(kind.isin(3, 4), 1).otherwise(0).alias("mtime"), "size", F.when(kind == 3, F.sha1(F.col("sha"))).otherwise(F.col("sha")).alias("sha"))
+    return index.changes(old, new)
+
+
+@query(f"WITH {S.DOCS} SELECT doc_id, path, copies FROM (SELECT doc_id, path, count(*) OVER (PARTITION BY sha) AS copies, row_number() OVER (PARTITION BY sha ORDER BY source, doc_id) AS r FROM docs) WHERE r = 1")
+def x4_first_of_copies(spark, sf_dir):
+    return index.first_of_copies(corpus.documents(spark, sf_dir), ["source", "doc_id"]).select("doc_id", "path", "copies")
+
+
+@query(f"WITH {S.INDEX} SELECT term, count(*) AS df FROM postings WHERE doc_id % 20 <> 7 GROUP BY term")
+def x5_recount(spark, sf_dir):
+    b = Built(spark, sf_dir)
+    gone = F.col("doc_id") % 20 == 7
+    touched = b.postings.where(gone).select("term").distinct()
+    return index.recount(b.terms, b.postings.where(~gone), touched)
+
+
+@query("""WITH d AS (SELECT page_id AS doc_id, url AS name, regexp_extract(url, '([^/]+)$', 1) AS alias FROM pages)
+SELECT alias, min(doc_id) AS doc_id FROM d WHERE alias <> '' AND alias NOT IN (SELECT name FROM d) GROUP BY alias HAVING count(*) = 1""")
+def x7_basename_aliases(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("name"))
+    return index.unique_aliases(d, F.regexp_extract("name", "([^/]+)$", 1))
+
+
+MARKERS = [("en", "the"), ("en", "and"), ("en", "with"), ("fr", "les"), ("fr", "des"), ("fr", "que"), ("de", "der"), ("de", "und"), ("de", "die"), ("es", "los"), ("es", "con"), ("es", "por")]
+
+
+@query(f"""WITH {S.INDEX}, markers(language, marker) AS (VALUES {", ".join(str(m) for m in MARKERS)})
+SELECT language, round(median(100.0::DOUBLE * coalesce(df, 0) / n_docs), 6) AS share FROM markers LEFT JOIN terms ON term = marker, stats GROUP BY language""")
+def x11_language_shares(spark, sf_dir):
+    b = Built(spark, sf_dir)
+    markers = spark.createDataFrame(MARKERS, "language string, marker string")
+    return index.language_shares(b.postings, markers, b.stats.select("n_docs")).withColumn("share", round6("share"))
+
+
+@query(f"WITH {S.INDEX}, {S.asked(S.BENCH)}, {S.CHOSEN} SELECT qid, word, word AS gram, round(idf, 6) AS idf, round(idf, 6) AS word_idf FROM grams WHERE fits OR true")
+def l1_chosen_grams(spark, sf_dir):
+    b = Built(spark, sf_dir)
+    out = lexical.chosen_grams(lexical.query_terms(corpus.benchmark_queries(spark, sf_dir)), b.terms, b.stats)
+    return out.withColumn("idf", round6("idf")).withColumn("word_idf", round6("word_idf"))
+
+
+RESULTS = f"WITH {S.INDEX}, {S.asked(S.BENCH)}, {S.CHOSEN}, {S.RECALL}, {S.results(8)}"
+
+
+@query(f"{RESULTS} SELECT qid, rank, doc_id, round(score, 6) AS score, round(ratio, 6) AS ratio, array_to_string(list_sort(matched), ' ') AS matched FROM results")
+def l6_recall_topk(spark, sf_dir):
+    r = Built(spark, sf_dir).recall(corpus.benchmark_queries(spark, sf_dir), 8)
+    return r.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", round6("score").alias("score"), round6("ratio").alias("ratio"), F.concat_ws(" ", "matched").alias("matched"))
+
+
+@query(f"""{RESULTS}, marked AS (SELECT *, score >= 60 AS sure, bool_or(score >= 60) OVER (PARTITION BY qid) AS any_sure, row_number() OVER (PARTITION BY qid, score >= 60 ORDER BY rank) AS n FROM results)
+SELECT qid, rank, doc_id, round(score, 6) AS score, CASE WHEN sure THEN 'score' ELSE 'ratio' END AS why FROM marked WHERE (sure AND n <= 2) OR (NOT any_sure AND rank = 1 AND score >= 60 * (7.5::DOUBLE / 9.46) AND ratio >= 0.8)""")
+def l8_attach(spark, sf_dir):
+    r = Built(spark, sf_dir).recall(corpus.benchmark_queries(spark, sf_dir), 8)
+    return lexical.attach(r, 60.0).withColumn("score", round6("score")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {S.INDEX}, {S.asked(S.PROMPTS)} SELECT qid, count(DISTINCT doc_id) AS files FROM asked JOIN postings ON word = term GROUP BY qid")
+def l14_grep(spark, sf_dir):
+    return lexical.grep(corpus.prompts(spark, sf_dir), Built(spark, sf_dir).postings)
+
+
+@query(f"""WITH {S.DOCS}, t AS (SELECT DISTINCT lower(trim(regexp_replace(array_to_string(string_split(text, ' ')[1:2], ' '), '\\s+', ' ', 'g'))) AS phrase, item_id AS doc_id FROM benchmark),
+p AS (SELECT qid, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS folded FROM ({S.PROMPTS}))
+SELECT qid, phrase, doc_id, row_number() OVER (PARTITION BY qid ORDER BY length(phrase) DESC, phrase, doc_id)::INT AS place FROM p JOIN t ON contains(folded, phrase)""")
+def l10_trigger_matches(spark, sf_dir):
+    t = corpus.table(spark, sf_dir, "benchmark").select(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("phrase"), F.col("item_id").alias("doc_id"))
+    return lexical.trigger_matches(corpus.prompts(spark, sf_dir), t)
+
+
+GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+@query(f"""{RESULTS}, {GOLD}, ranks AS (SELECT g.qid, min(rank) AS rank FROM gold g LEFT JOIN results r USING (qid, doc_id) GROUP BY g.qid)
+SELECT count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS hit_1, round(avg((coalesce(rank, 99) <= 3)::INT), 6) AS hit_3, round(avg((coalesce(rank, 99) <= 8)::INT), 6) AS hit_8, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM ranks""")
+def n8_retrieval_metrics(spark, sf_dir):
+    r = Built(spark, sf_dir).recall(corpus.benchmark_queries(spark, sf_dir), 8)
+    return evaluate.metrics(r, evaluate.containment_gold(corpus.benchmark_queries(spark, sf_dir), corpus.documents(spark, sf_dir)))
+
+
+@query(f"""{RESULTS}, {GOLD}, top AS (SELECT qid, max(score) AS score, bool_or(doc_id IN (SELECT doc_id FROM gold x WHERE x.qid = r.qid)) AS hit FROM results r GROUP BY qid),
+t AS (SELECT unnest(range(10, 110, 10))::DOUBLE AS threshold)
+SELECT threshold, count(*) FILTER (qid % 2 = 0 AND hit AND score >= threshold) AS hits, count(*) FILTER (qid % 2 = 1 AND score >= threshold) AS false_fires,
+  round(count(*) FILTER (qid % 2 = 0 AND hit AND score >= threshold) / count(*) FILTER (qid % 2 = 0)::DOUBLE * (1 - count(*) FILTER (qid % 2 = 1 AND score >= threshold) / count(*) FILTER (qid % 2 = 1)::DOUBLE), 6) AS auto FROM top, t GROUP BY threshold""")
+def n4_threshold_sweep(spark, sf_dir):
+    queries = corpus.benchmark_queries(spark, sf_dir)
+    r = Built(spark, sf_dir).recall(queries, 8)
+    gold = evaluate.containment_gold(queries, corpus.documents(spark, sf_dir))
+    return evaluate.sweep(r, gold, F.col("qid") % 2 == 0, [float(t) for t in range(10, 110, 10)])
