@@ -41,6 +41,13 @@ def sets_of(texts: list[str], n: int) -> list[np.ndarray]:
     return [np.unique(h) for a, b in hashing.blocks(texts) for h in hashing.shingles(texts[a:b], n)]
 
 
+def parted(batches: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Batches cut to so many characters, so that a task holds the sets of few texts at a time."""
+    for batch in batches:
+        for a, b in hashing.blocks(batch["text"].tolist(), chars):
+            yield batch.iloc[a:b]
+
+
 def identity(s: np.ndarray) -> int:
     """63 bits of the sum of mixed hashes and the size."""
     x = hashing.mix(hashing.mix(s + np.uint64(0x1234567)).sum(keepdims=True) + np.uint64(len(s)))
@@ -59,12 +66,12 @@ def shingle_counts(docs: DataFrame, words: int, bits: int = BITS) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for s in sets_of(batch["text"].tolist(), words):
+        for part in parted(batches):
+            for s in sets_of(part["text"].tolist(), words):
                 np.add.at(total, (s & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
-        part = TaskContext.get().partitionId() % SALTS
+        salt = TaskContext.get().partitionId() % SALTS
         blocks = [i for i in range(0, 1 << bits, size) if total[i : i + size].any()]
-        yield pd.DataFrame({"block": blocks, "salt": part, "cells": [total[i : i + size].tobytes() for i in blocks]})
+        yield pd.DataFrame({"block": blocks, "salt": salt, "cells": [total[i : i + size].tobytes() for i in blocks]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
@@ -89,16 +96,16 @@ def described(docs: DataFrame, counts: np.ndarray, words: int, percent: int) ->
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = shared.value
         mask = np.uint64(len(counts) - 1)
-        for batch in batches:
+        for part in parted(batches):
             n, sid, prefix, maps = [], [], [], []
-            for s in sets_of(batch["text"].tolist(), words):
+            for s in sets_of(part["text"].tolist(), words):
                 n.append(len(s))
                 sid.append(identity(s) if len(s) else None)
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 order = np.lexsort((s, counts[(s & mask).astype(np.int64)]))[:keep]
                 prefix.append(s[order].astype(np.int64))
                 maps.append(bitmap(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "sid": pd.array(sid, "Int64"), "prefix": prefix, "map": maps})
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": n, "sid": pd.array(sid, "Int64"), "prefix": prefix, "map": maps})
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return d.mapInPandas(describe, "doc_id long, n long, sid long, prefix array<long>, map array<long>")
@@ -108,8 +115,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(sid, shingles), once for each set."""
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [s for s in sets_of(batch["text"].tolist(), words) if len(s)]
+        for part in parted(batches):
+            sets = [s for s in sets_of(part["text"].tolist(), words) if len(s)]
             yield pd.DataFrame({"sid": [identity(s) for s in sets], "shingles": [s.astype(np.int64) for s in sets]})
 
     return docs.select("text").where(F.col("text").isNotNull()).mapInPandas(shingles, "sid long, shingles array<long>").dropDuplicates(["sid"])

@@ -32,7 +32,7 @@ from memolake.llm.hashing import blocks
 #: Bounds of the model: documents per language, trigrams per language, languages.
 SAMPLE, TRIGRAMS, LANGUAGES = 1500, 30_000, 256
 SWITCH = 10.0
-KEEP_WORDS = 800_000
+KEEP_WORDS = 200_000
 #: Of a language's words, the share in a script from which on it is a candidate for that script.
 SCRIPT_SHARE = 0.01
 

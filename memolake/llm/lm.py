@@ -89,7 +89,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> Frequent:
     row = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2")).first()
-    top = counts.where(F.col("c") >= MIN_COUNT).orderBy(F.desc("c"), "word").limit(most).toPandas()
+    # Bands of counts, eight to each doubling, from the top as long as their words are no more than ``most``.
+    band = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    enough = counts.where(F.col("c") >= MIN_COUNT)
+    held, least = 0, None
+    for r in enough.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("band")).collect():  # some hundred rows
+        held += r["n"]
+        if held > most:
+            break
+        least = r["band"]
+    top = enough.where(band >= least if least is not None else F.lit(False)).toPandas()
+    top = top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     c = top["c"].to_numpy(np.int64)
     own = np.minimum(np.arange(len(c)), OWN)
     rest = c[OWN:].cumsum()

@@ -10,7 +10,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: The ids of so many pieces are kept; then the store starts anew.
-KEEP_PIECES = 800_000
+KEEP_PIECES = 500_000
 _open: dict = {}
 #: Blanks that str.split() takes and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
