@@ -37,11 +37,12 @@ def chosen_grams(asked: DataFrame, term_df: DataFrame, stats: DataFrame) -> Data
     return g.withColumn("word_idf", F.max("idf").over(of_word)).select("qid", "word", "gram", "idf", "word_idf")
 
 
-def scores(chosen: DataFrame, posted: DataFrame, lengths: DataFrame, stats: DataFrame, prior: Column = F.lit(1.0)) -> DataFrame:
+def scores(chosen: DataFrame, posted: DataFrame, lengths: DataFrame, stats: DataFrame, prior: Column | None = None) -> DataFrame:
     """(qid, doc_id, word, val, word_idf): per word the best of its terms."""
     avg = F.broadcast(stats.select("avg_doclen"))  # one row
     hit = chosen.join(posted, chosen["gram"] == posted["term"]).join(lengths, "doc_id").crossJoin(avg)
-    val = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("doclen") / F.col("avg_doclen"))) * prior
+    val = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("doclen") / F.col("avg_doclen")))
+    val = val if prior is None else val * prior
     return hit.groupBy("qid", "doc_id", "word").agg(F.max(val).alias("val"), F.first("word_idf").alias("word_idf"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _parts() -> list:
-    from memolake.plans import retrieval
+    from memolake.plans import analytics, facts, retrieval
 
-    return [retrieval]
+    return [retrieval, analytics, facts]
 
 
 def queries() -> dict:

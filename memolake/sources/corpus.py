@@ -50,7 +50,7 @@ def scan_files(spark: SparkSession, sources: list[dict]) -> DataFrame:
             d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(s["path"])
             inner = F.regexp_replace("path", "^file:/*", "/")
             rel = F.expr(f"substring(regexp_replace(path, '^file:/*', '/'), {len(s['path'].rstrip('/')) + 2})")
-            d = d.select(F.lit(priority).alias("priority"), F.lit(s["name"]).alias("source"), inner.alias("path"), rel.alias("rel"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+            d = d.select(F.lit(priority).alias("priority"), F.lit(s["name"]).alias("source"), inner.alias("path"), rel.alias("rel"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("raw"))
             d = d.where(~F.col("rel").rlike(r"(^|/)(\.|node_modules/|vendor/|__pycache__/)"))
             for x in s.get("exclude", []):
                 d = d.where(~F.col("rel").contains(x))
