@@ -42,3 +42,44 @@ def sweep(results: DataFrame, gold: DataFrame, positive: Column, thresholds: lis
         F.count(F.when(F.col("positive"), 1)).alias("a"), F.count(F.when(~F.col("positive"), 1)).alias("c"),
     )
     return out.select("threshold", "hits", "false_fires", F.round(F.col("hits") / F.col("a") * (1 - F.col("false_fires") / F.col("c")), 6).alias("auto"))
+
+
+def noise_floor(results: DataFrame, controls: Column, margin: float = 1.35, least: float = 1.5) -> DataFrame:
+    """One row: the highest first score of the control queries, and the threshold above it."""
+    floor = results.where(controls).agg(F.max("score").alias("floor"))
+    return floor.select(F.round("floor", 6).alias("floor"), F.greatest(F.lit(least), F.round(F.col("floor") * margin, 2)).alias("threshold"))
+
+
+def miss_bands(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """(band, n) of the gold's rank: 1-3, 4-10, 11-30, 31-100, absent."""
+    r = F.col("rank")
+    band = F.when(r <= 3, "1-3").when(r <= 10, "4-10").when(r <= 30, "11-30").when(r <= 100, "31-100").otherwise("absent")
+    return gold_ranks(results, gold).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def paired(cases: DataFrame, resamples: int = 200) -> DataFrame:
+    """One row for (case, a, b): cases improved and made worse by b, mean difference, and a 95 % interval of the mean by
+    seeded resampling: the i-th pick of resample r is a number made of both, so every engine draws alike."""
+    spark = cases.sparkSession
+    numbered = cases.select((F.row_number().over(Window.orderBy("case")) - 1).alias("i"), (F.col("b") - F.col("a")).alias("d"))  # one row for each case
+    n = cases.count()
+    draws = spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", "r", "k")), 1, 8), 16, 10).cast("long") % max(n, 1)
+    means = draws.select("r", pick.alias("i")).join(F.broadcast(numbered), "i").groupBy("r").agg(F.avg("d").alias("m"))  # as many rows as cases
+    place = means.select("m", F.row_number().over(Window.orderBy("m")).alias("p"))  # one row for each resample
+    ends = place.agg(F.round(F.max(F.when(F.col("p") == int(0.025 * resamples + 0.999), F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("p") == int(0.975 * resamples + 0.999), F.col("m"))), 6).alias("high"))
+    whole = numbered.agg(F.count(F.when(F.col("d") > 0, 1)).alias("improved"), F.count(F.when(F.col("d") < 0, 1)).alias("worse"), F.round(F.avg("d"), 6).alias("mean"))
+    return whole.crossJoin(ends)  # one row each
+
+
+def scorecard(axes: DataFrame, weights: dict[str, float], targets: dict[str, float]) -> DataFrame:
+    """One row: the weighted mean of min(100, 100 * raw / target) over the axes that were measured."""
+    of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("axis")]
+    s = axes.where("raw is not null").select("axis", F.least(F.lit(100.0), F.col("raw") * 100.0 / of(targets)).alias("score"), of(weights).alias("w"))
+    return s.agg(F.round(F.try_divide(F.sum(F.col("score") * F.col("w")), F.sum("w")), 6).alias("total"), F.count(F.lit(1)).alias("measured"))
+
+
+def moved_only(history: DataFrame) -> DataFrame:
+    """Rows (key, at, value) at which the value moved."""
+    by = Window.partitionBy("key").orderBy("at")
+    return history.withColumn("_was", F.lag("value").over(by)).where("_was is null or _was <> value").drop("_was")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _parts() -> list:
-    from memolake.plans import analytics, facts, retrieval
+    from memolake.plans import analytics, facts, notes, retrieval
 
-    return [retrieval, analytics, facts]
+    return [retrieval, analytics, facts, notes]
 
 
 def queries() -> dict:
