@@ -4,11 +4,11 @@
    ones first. A second pass gives each document its set's size, a 64-bit identity, a parity bitmap (each shingle flips
    one of 512 bits) and its prefix: of n shingles the first n - ceil(t n) + 1, of which linked sets share one.
 2. Equal sets are one set; sets of equal size and prefix are one group. Prefix shingles that two groups share are kept.
-3. First, each list of a shingle's groups of like size is compared with one of them, and each group's sets with one
-   of them: as many pairs as rows. Links found make components.
+3. First, each group is compared with one other: of the groups of like size that stand first on its lists and whose bitmap
+   allows a link, the smallest; and each group's sets with one of them: as many pairs as sets. Links make components.
 4. Then all pairs of groups on a list that are not yet one component are joined, under bounds on sizes, on the places
-   of the shared shingle and, after expansion to sets, on the bitmaps (unequal bits never exceed the sets' symmetric
-   difference). Lists within one component give no pairs: a large group of near copies doesn't multiply.
+   of the shared shingle and on the bitmaps (unequal bits never exceed the sets' symmetric difference), which groups of
+   several sets pass until they are expanded. Lists within one component give no pairs: a large group of near copies doesn't multiply.
 5. Every pair is verified on the exact shingle sets of its two texts, which are made again only for sets in pairs.
 
 No link between different components is lost, as each such pair passes 4; pairs inside a component are not needed.
@@ -126,6 +126,12 @@ def unequal_bits(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, MAP_WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
+def may_link(a: str, b: str, n_a: Column, n_b: Column, percent: int) -> Column:
+    """False only where sizes or bitmaps rule a link out; without a bitmap sizes alone tell."""
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sizes & F.coalesce(unequal_bits(a, b) * (100 + percent) <= (n_a + n_b) * (100 - percent), F.lit(True))
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of links (a, b); root: the smallest node reachable.
 
@@ -151,8 +157,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
     """The pairs (a, b) of set identities that are linked."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"map_{x}"), F.col("rep").alias(f"rep_{x}"))
     close = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (unequal_bits("map_a", "map_b") * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-    close = staged(close.where(fits).select("a", "b", "n_a", "n_b", "rep_a", "rep_b"), "pairs")
+    close = staged(close.where(may_link("map_a", "map_b", F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b", "rep_a", "rep_b"), "pairs")
     wanted = close.select(F.col("rep_a").alias("doc_id")).union(close.select("rep_b")).distinct()
     wanted = staged(wanted, "wanted")
     if wanted.count() <= FEW_IDS:
@@ -172,19 +177,23 @@ def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     some = rows.where("n > 0")
     sets = some.groupBy("sid").agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("gid").alias("gid"))
     sets = staged(sets, "distinct-sets")
-    heads = staged(sets.groupBy("gid").agg(F.min("sid").alias("head"), F.first("n").alias("n")), "groups")
+    # A group of one set has that set's bitmap; a group of several has none, and its pairs are tested after expansion.
+    heads = sets.groupBy("gid").agg(F.min("sid").alias("head"), F.first("n").alias("n"), F.when(F.count(F.lit(1)) == 1, F.first("map")).alias("map"))
+    heads = staged(heads, "groups")
     # One row for each group and prefix shingle; size and place in one number. Only shingles of two groups or more stay.
     tokens = some.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     tokens = tokens.select("gid", "n", F.posexplode("prefix").alias("place", "token")).select("token", "gid", (F.col("n") * F.lit(1 << 31) + F.col("place")).alias("at"))
     tokens = tokens.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("held > 1")
     lists = tokens.select("token", "gid", F.shiftright("at", 31).alias("n"), (F.col("at") % F.lit(1 << 31)).alias("place"))
-    lists = staged(lists.join(heads.select("gid", "head"), "gid"), "lists")
+    lists = staged(lists.join(heads.select("gid", "head", "map"), "gid"), "lists")
 
-    # As many pairs as rows: with one group of each list and size band, and with one set of each group.
+    # As many pairs as sets: with one first group of a list and size band, and with one set of each group.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) if percent < 100 else 1.0))
     banded = lists.withColumn("band", band)
-    pivots = banded.groupBy("token", "band").agg(F.min("head").alias("pivot"))
-    stars = banded.join(pivots, ["token", "band"]).where("head <> pivot").select(F.col("pivot").alias("a"), F.col("head").alias("b"))
+    pivots = banded.groupBy("token", "band").agg(F.min(F.struct("head", "n", "map")).alias("p")).select("token", "band", F.col("p.head").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.map").alias("pmap"))
+    x, y = banded.alias("x"), pivots.alias("y")
+    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.head") != F.col("y.pivot"))
+    stars = x.join(y, near & may_link("x.map", "y.pmap", F.col("x.n"), F.col("y.pn"), percent)).groupBy(F.col("x.head").alias("b")).agg(F.min("y.pivot").alias("a")).select("a", "b")
     inside = sets.join(heads.select("gid", "head"), "gid").where("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
     first = staged(verified(stars.union(inside), sets, docs, words, percent), "links")
     roots = components(first)
@@ -194,12 +203,12 @@ def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     of_group = known.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     on = lists.join(of_group, "gid")
     open_lists = on.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("token")
-    on = on.join(open_lists, "token", "left_semi").select("token", "gid", "n", "place", "low", "high")
+    on = on.join(open_lists, "token", "left_semi").select("token", "gid", "n", "place", "map", "low", "high")
     x, y = on.alias("x"), on.alias("y")
     apart = ~((F.col("x.low") == F.col("y.high")) & (F.col("x.high") == F.col("y.low")) & (F.col("x.low") == F.col("x.high")))
     room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     larger = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & larger & (F.col("x.n") * 100 >= F.col("y.n") * percent) & room & apart)
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & larger & may_link("x.map", "y.map", F.col("x.n"), F.col("y.n"), percent) & room & apart)
     across = across.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).union(of_group.where("low < high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))).distinct()
     one = lambda g, c: known.select(F.col("gid").alias(g), F.col("sid").alias(c), F.col("root").alias(f"root_{c}"))
     rest = across.join(one("g", "a"), "g").join(one("h", "b"), "h").where("root_a <> root_b and (g <> h or a < b)").select("a", "b")
