@@ -118,9 +118,13 @@ def learned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
     """A model of the most frequent languages, of each at most ``sample`` documents (by hash of the id) and ``keep``
     trigrams."""
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
-    most = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    ids = d.select("id", "lang").distinct()
+    most = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    # Of a frequent language only ids of small hash go on to be ranked: about four times as many as are wanted.
+    spread = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) * F.col("count")
+    ids = ids.join(F.broadcast(most), "lang").where(spread < F.lit(4 * sample * (1 << 20)))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = d.select("id", "lang").distinct().join(F.broadcast(most), "lang").withColumn("rank", F.row_number().over(by_hash))
+    ids = ids.withColumn("rank", F.row_number().over(by_hash))
     chosen = ids.where(F.col("rank") <= sample).select(F.col("id"), F.col("lang").alias("of"))
     d = d.join(F.broadcast(chosen), "id").where("lang = of")  # at most languages * sample ids
     d = d.groupBy("id", "lang").agg(F.min("text").alias("text"))
