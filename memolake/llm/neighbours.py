@@ -33,7 +33,9 @@ from memolake.llm.common import staged, table
 
 K = 20
 TABLES, INTERVALS, WIDTH, SUCCESS, SEED = 4, 4, 1.0, 0.93, 17
-BLOCK, QUERY_BLOCK, SAMPLE = 8192, 2048, 64
+#: Rows and queries that meet in a task at most (each block of rows gives every query that visits it k partial results, so
+#: larger blocks give fewer), a sample's queries, and candidates that a task holds before it cuts them.
+BLOCK, QUERY_BLOCK, SAMPLE, MOST_HELD = 65_536, 2048, 64, 1_000_000
 #: The number of projections grows with the logarithm of the rows, up to this.
 MOST_PROJECTIONS = 6
 
@@ -184,27 +186,40 @@ def nearest(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding:
     keys = ["table", "group", "block", "query_block"]
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, q, entry, query = matrix(left["v"]), matrix(right["v"]), left["entry"].to_numpy(), right["query"].to_numpy()
-            lengths = right["buckets"].map(len).to_numpy()
-            asks, asked_by = np.concatenate(right["buckets"].to_numpy()), np.repeat(np.arange(len(right)), lengths)
-            order = np.argsort(asks, kind="stable")
-            asks, asked_by = asks[order], asked_by[order]
-            for bucket, members in left.groupby("bucket", sort=False).indices.items():
-                who = asked_by[np.searchsorted(asks, bucket, "left") : np.searchsorted(asks, bucket, "right")]
-                if len(who):
-                    r, e, s = best(q[who] @ x[members].T, entry[members], k + 1)
-                    out.append((who[r], e, s))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": [], "entry": [], "score": []})
+        x, q, entry, query = matrix(left["v"]), matrix(right["v"]), left["entry"].to_numpy(), right["query"].to_numpy()
+        lengths = right["buckets"].map(len).to_numpy()
+        asks, asked_by = np.concatenate(right["buckets"].to_numpy()), np.repeat(np.arange(len(right)), lengths)
+        order = np.argsort(asks, kind="stable")
+        asks, asked_by = asks[order], asked_by[order]
+        least = np.full(len(right), -np.inf)  # what a score must reach to be among a query's first k + 1 so far
+        out, held = [], 0
+
+        def firsts() -> tuple:
+            r, e, s = (np.concatenate(c) for c in zip(*out))
+            by = np.lexsort((-s, r))
+            r, e, s = r[by], e[by], s[by]
+            start, end = np.searchsorted(r, r, "left"), np.searchsorted(r, r, "right")
+            cut = np.where(end - start > k, s[np.minimum(start + k, len(s) - 1)], -np.inf)
+            keep = s >= cut
+            least[r] = cut
+            return r[keep], e[keep], s[keep]
+
+        for bucket, members in left.groupby("bucket", sort=False).indices.items():
+            who = asked_by[np.searchsorted(asks, bucket, "left") : np.searchsorted(asks, bucket, "right")]
+            if len(who):
+                score = q[who] @ x[members].T
+                r, e, s = best(np.where(score >= least[who][:, None], score, -np.inf), entry[members], k + 1)
+                out.append((who[r], e, s))
+                held += len(r)
+                if held > MOST_HELD:
+                    out = [firsts()]
+                    held = len(out[0][0])
         if not out:
             return pd.DataFrame({"query": [], "entry": [], "score": []})
-        r, e, s = (np.concatenate(c) for c in zip(*out))
-        by = np.lexsort((-s, r))
-        r, e, s = r[by], e[by], s[by]
-        start = np.searchsorted(r, r, "left")
-        cut = s[np.minimum(start + k, np.searchsorted(r, r, "right") - 1)]
-        keep = s >= cut
-        return pd.DataFrame({"query": query[r[keep]], "entry": e[keep], "score": s[keep]})
+        r, e, s = firsts()
+        return pd.DataFrame({"query": query[r], "entry": e, "score": s})
 
     found = data.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(scan, schema)
     merged = staged(top_entries(found, k), "candidates")
