@@ -1,6 +1,7 @@
 """Operators on small literals, and registered queries against SQL."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -18,8 +19,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def shown(v):
+    if isinstance(v, Decimal):
+        v = float(v) if v % 1 else int(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 6) + 0.0)
+        return "nan" if math.isnan(v) else f"{v:.6f}"
+    if isinstance(v, int) and not isinstance(v, bool):
+        return f"{v:.6f}"
     if isinstance(v, (list, tuple)):
         return str([shown(x) for x in v])
     return str(v.replace(tzinfo=None)) if hasattr(v, "tzinfo") else str(v)
