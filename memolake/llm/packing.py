@@ -3,8 +3,8 @@
 A task tokenizes its own documents. Full windows of a long document are sequences of their own; what remains of each
 document is gathered into shards of a bounded number of pieces and shared out over m windows: every piece starts as a
 partial partition of m loads, and the two partitions with the largest spread are merged again and again, largest loads
-onto smallest. The result is m near-equal windows; m starts at the least possible number and rises until no window
-exceeds the capacity. Nothing is shuffled, so no key can be hot; a task holds one shard.
+onto smallest. The result is m near-equal windows; m starts at the least possible number (with a hundredth of room from
+100 windows on) and rises until no window exceeds the capacity. Nothing is shuffled, so no key can be hot; a task holds one shard.
 
 Ids are counted per task (partition number and a running number), so sequences of different tasks never share an id.
 
@@ -69,7 +69,8 @@ def differencing(sizes: np.ndarray, m: int) -> tuple[np.ndarray, int]:
 
 def share_out(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Windows for sizes up to the capacity, as few as the differencing finds room in."""
-    m = max(1, -(-int(sizes.sum()) // capacity))
+    # Near-equal windows differ by about a hundredth: with less room than that the first try fails.
+    m = max(1, int(np.ceil(sizes.sum() / capacity * (1.0 if sizes.sum() < 100 * capacity else 1.01))))
     while True:
         window, largest = differencing(sizes, m)
         if largest <= capacity:
