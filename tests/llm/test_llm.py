@@ -215,6 +215,15 @@ def test_jaccard_components(spark, odd, none, n, percent):
     assert jaccard.linked(none).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(11)
+    ids = rng.permutation(1 << 20)[:4000].tolist()  # as set identities are: no order along the chain
+    links = [(ids[i], ids[i + 1]) for i in range(2999)] + [(ids[i], ids[i + j]) for i in range(3000, 3997) for j in (1, 2, 3)]
+    got = jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()
+    low, high = min(ids[:3000]), min(ids[3000:])
+    assert {r["node"]: r["root"] for r in got} == {x: low if i < 3000 else high for i, x in enumerate(ids)} and len(got) == 4000
+
+
 def test_one_of_each(odd):
     kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(odd).collect()]
     assert kept.count((5, LONG)) == 1 and not [k for k in kept if k[0] == 8] and (2, None) in kept and (1, TEXTS[0][1]) in kept

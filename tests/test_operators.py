@@ -130,6 +130,14 @@ def test_components_and_cosine(spark):
     assert [(r["doc_id"], r["chunk_no"]) for r in vector.cosine_top(q, c, 2).orderBy("rank").collect()] == [(1, 1), (2, 0)]
 
 
+def test_components_of_long_paths(spark):
+    ids = [i * 7919 % 3001 for i in range(3001)]
+    e = spark.createDataFrame([*zip(ids[:2000], ids[1:2000]), *zip(ids[2000:], ids[2001:])], "src long, dst long")
+    low, high = min(ids[:2000]), min(ids[2000:])
+    got = graph.components(spark.createDataFrame([(i,) for i in ids], "doc_id long"), e).collect()
+    assert {r["doc_id"]: r["component"] for r in got} == {x: low if i < 2000 else high for i, x in enumerate(ids)} and len(got) == 3001
+
+
 def test_scan_and_logs(spark, tmp_path):
     (tmp_path / "a/.hid").mkdir(parents=True)
     (tmp_path / "a/x.md").write_text("# X")
