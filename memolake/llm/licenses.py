@@ -83,11 +83,12 @@ def licensed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cov
     has = F.regexp_count("words", F.lit(any_phrase))
     base = base.withColumn("n_base", has.cast("long"))
     found = F.col("n_base") > 0
+    # (?s): U+0085, U+2028 and U+2029 are word characters here.
     facts = base.select(
         "row", "doc_id", "n_base",
         F.when(F.col("words") == "", F.lit(0)).otherwise(blanks(F.col("words")) + 1).cast("long").alias("n_words"),
-        F.when(found, blanks(F.regexp_extract("words", f"^(.*?){any_phrase}", 1))).alias("first_word"),
-        F.when(found, blanks(F.regexp_extract("words", f"^(.*){any_phrase}", 1))).alias("last_word"),
+        F.when(found, blanks(F.regexp_extract("words", f"(?s)^(.*?){any_phrase}", 1))).alias("first_word"),
+        F.when(found, blanks(F.regexp_extract("words", f"(?s)^(.*){any_phrase}", 1))).alias("last_word"),
         F.when(found, F.array_compact(F.array(*[F.when(F.col("words").rlike(f"(?<![^ ]){p}(?![^ ])"), F.lit(x)) for p, x in PHRASES.items()]))).otherwise(F.array().cast("array<string>")).alias("base"),
         F.concat(F.array(F.lit("")), grams("words")).alias("grams"),
     )

@@ -105,6 +105,13 @@ def test_licenses(spark, odd, none):
     assert licenses.licensed(none).count() == 0
 
 
+@pytest.mark.parametrize("end", ["\u0085", "\u2028", "\u2029"])
+def test_license_places_pass_line_ends(spark, end):
+    texts = [f"a{end}b c mit license", f"mit license a{end}b", f"mit license {end} x apache license", f"{end} mit license {end} cc by {end} y"]
+    got = {r["doc_id"]: r for r in licenses.licensed(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [(got[i]["n_base"], got[i]["first_word"], got[i]["last_word"]) for i in range(4)] == [(1, 2, 2), (1, 0, 0), (2, 0, 4), (2, 1, 4)]
+
+
 def test_warc_bytes():
     r = {"refers_to": None, "page_id": 5, "record_type": "response", "payload": b"x\r\n\r\ny" * 3000, "payload_length": 18000, "target_uri": "http://a/ é\n", "payload_digest": "D"}
     again = dict(r, record_type="revisit", refers_to=5, page_id=6, payload=None)
