@@ -34,23 +34,27 @@ def eligible(as_of: Column) -> Column:
     return (F.col("status") == "active") & started(as_of) & F.coalesce(as_of < F.col("valid_to"), F.lit(True))
 
 
-def resolved(records: DataFrame, successors: DataFrame, as_of: Column, max_rounds: int = 1000) -> DataFrame:
+def resolved(records: DataFrame, successors: DataFrame, as_of: Column) -> DataFrame:
     """(id, current): the eligible ends that each record leads to by started successors that aren't proposed.
 
-    The frontier moves one step a round and a pair is followed once, so cycles end; each round is a table.
+    Pointer doubling: each round, a table, goes from where a record leads on to where that leads; ends stay. A record has
+    one row where it and those after it have one successor, several only where they branch. The shortest way to an end
+    passes each record once, so once the steps are as many as the records that have one, what still moves is in cycles
+    and reaches no further end.
     """
     can = records.where(started(as_of) & (F.col("status") != "proposed")).select(F.col("id").alias("next"))
     step = saved(successors.join(can, "next", "left_semi").select("id", "next").distinct())
-    seen = frontier = saved(records.select(F.col("id").alias("origin"), F.col("id").alias("at")))
-    for _ in range(max_rounds):
-        new = frontier.join(step, frontier["at"] == step["id"]).select("origin", F.col("next").alias("at")).distinct()
-        new = saved(new.join(seen, ["origin", "at"], "left_anti"))
-        if not new.limit(1).count():
-            break
-        seen, frontier = seen.unionByName(new), new
-    ends = seen.join(step, seen["at"] == step["id"], "left_anti")
+    moving = step.select(F.col("id").alias("_id")).distinct()
+    most, steps = moving.count(), 1
+    reach = saved(step.join(moving, step["next"] == moving["_id"], "left").select(F.col("id").alias("origin"), F.col("next").alias("at"), F.col("_id").isNull().alias("end")))
+    while steps < most and reach.where("not end").limit(1).count():
+        on = reach.select(F.col("origin").alias("_by"), F.col("at").alias("_to"), F.col("end").alias("_end"))
+        gone = reach.where("not end").join(on, F.col("at") == F.col("_by")).select("origin", F.col("_to").alias("at"), F.col("_end").alias("end"))
+        reach, steps = saved(reach.where("end").unionByName(gone).distinct()), 2 * steps
+    own = records.select("id").join(step, "id", "left_anti").select(F.col("id").alias("origin"), F.col("id").alias("at"))
+    far = reach.where("end").join(records.select(F.col("id").alias("origin")), "origin", "left_semi").select("origin", "at")
     good = records.where(eligible(as_of)).select(F.col("id").alias("at"))
-    return ends.join(good, "at").select(F.col("origin").alias("id"), F.col("at").alias("current"))
+    return own.unionByName(far).join(good, "at").select(F.col("origin").alias("id"), F.col("at").alias("current"))
 
 
 def remapped(hits: DataFrame, resolution: DataFrame) -> DataFrame:

@@ -110,6 +110,15 @@ def test_as_of(spark):
     assert at(2) == [(1, 1)] and at(5) == [(1, 2), (2, 2)] and at(1) == [(1, 1), (5, 5)]
 
 
+def test_as_of_long_chain(spark):
+    n = 3000  # then a cycle of three that is left for one end, one that is not left, and a branch to two ends
+    steps = [(i, i + 1) for i in range(n - 1)] + [(4000, 4001), (4001, 4002), (4002, 4000), (4002, 4003), (5000, 5001), (5001, 5002), (5002, 5000), (6000, 6001), (6000, 6002), (6002, 6003)]
+    ids = [*range(n), *range(4000, 4004), *range(5000, 5003), *range(6000, 6004)]
+    r = spark.createDataFrame([(i, "active", 1, None) for i in ids], "id long, status string, valid_from int, valid_to int")
+    got = sorted((x["id"], x["current"]) for x in validity.resolved(r, spark.createDataFrame(steps, "id long, next long"), F.lit(1)).collect())
+    assert got == [(i, n - 1) for i in range(n)] + [(i, 4003) for i in range(4000, 4004)] + [(6000, 6001), (6000, 6003), (6001, 6001), (6002, 6003), (6003, 6003)]
+
+
 def test_feedback_is_clamped_in_order(spark):
     s = [(1, t, t, x) for t, x in enumerate(["wrong"] * 3 + ["useful"])] + [(2, t, t, "useful") for t in range(20)] + [(2, 30, 30, "stale")]
     got = {r["path"]: r["weight"] for r in usage.feedback_weights(spark.createDataFrame(s, "path long, ts int, id int, signal string")).collect()}
