@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that executors share (spark.checkpoint.dir); one of our own where that is unset."""
-    spark: SparkSession = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/memolake-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from memolake.tables import released, staged
 
 
 def edges(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -54,8 +44,8 @@ def components(ids: DataFrame, e: DataFrame) -> DataFrame:
     """(doc_id, component): the smallest document reachable. Each round a document and its old root take the least root of
     the document's neighbours, then the root's root, until nothing changes: on paths with shuffled ids, 1,000 documents
     take about 14 rounds and 100,000 about 22."""
-    near = saved(both_ways(e))
-    roots = saved(ids.select("doc_id", F.col("doc_id").alias("component")).where("doc_id is not null").distinct())
+    near = staged(both_ways(e), "near")
+    roots = new = staged(ids.select("doc_id", F.col("doc_id").alias("component")).where("doc_id is not null").distinct(), "roots")
     while True:
         least = near.join(roots, near["dst"] == roots["doc_id"]).groupBy("src").agg(F.min("component").alias("least"))
         own = F.struct("doc_id", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("was"))
@@ -63,9 +53,12 @@ def components(ids: DataFrame, e: DataFrame) -> DataFrame:
         told = roots.join(least, roots["doc_id"] == least["src"], "left").select(F.explode(F.array(own, hook)).alias("t"))
         low = told.groupBy("t.doc_id").agg(F.min("t.component").alias("component"), F.max("t.was").alias("was"))
         up = roots.select(F.col("doc_id").alias("_id"), F.col("component").alias("_up"))
-        new = saved(low.join(up, F.col("component") == F.col("_id"), "left").select("doc_id", F.least("component", F.coalesce("_up", "component")).alias("component"), "was"))
+        lower = low.join(up, F.col("component") == F.col("_id"), "left").select("doc_id", F.least("component", F.coalesce("_up", "component")).alias("component"), "was")
+        old, new = new, staged(lower, "roots")
+        released(old)
         roots = new.select("doc_id", "component")
         if not new.where("component <> was").limit(1).count():
+            released(near)
             return ids.select("doc_id").join(roots, "doc_id", "left")
 
 

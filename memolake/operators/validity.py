@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memolake.operators.graph import saved
+from memolake.tables import released, staged
 
 # States that a record can declare.
 STATES = ["active", "proposed", "disputed", "superseded", "retracted", "archived"]
@@ -43,14 +43,15 @@ def resolved(records: DataFrame, successors: DataFrame, as_of: Column) -> DataFr
     and reaches no further end.
     """
     can = records.where(started(as_of) & (F.col("status") != "proposed")).select(F.col("id").alias("next"))
-    step = saved(successors.join(can, "next", "left_semi").select("id", "next").distinct())
+    step = staged(successors.join(can, "next", "left_semi").select("id", "next").distinct(), "step")
     moving = step.select(F.col("id").alias("_id")).distinct()
     most, steps = moving.count(), 1
-    reach = saved(step.join(moving, step["next"] == moving["_id"], "left").select(F.col("id").alias("origin"), F.col("next").alias("at"), F.col("_id").isNull().alias("end")))
+    reach = staged(step.join(moving, step["next"] == moving["_id"], "left").select(F.col("id").alias("origin"), F.col("next").alias("at"), F.col("_id").isNull().alias("end")), "reach")
     while steps < most and reach.where("not end").limit(1).count():
         on = reach.select(F.col("origin").alias("_by"), F.col("at").alias("_to"), F.col("end").alias("_end"))
         gone = reach.where("not end").join(on, F.col("at") == F.col("_by")).select("origin", F.col("_to").alias("at"), F.col("_end").alias("end"))
-        reach, steps = saved(reach.where("end").unionByName(gone).distinct()), 2 * steps
+        old, reach, steps = reach, staged(reach.where("end").unionByName(gone).distinct(), "reach"), 2 * steps
+        released(old)
     own = records.select("id").join(step, "id", "left_anti").select(F.col("id").alias("origin"), F.col("id").alias("at"))
     far = reach.where("end").join(records.select(F.col("id").alias("origin")), "origin", "left_semi").select("origin", "at")
     good = records.where(eligible(as_of)).select(F.col("id").alias("at"))
