@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memolake.tables import fresh_path, released, staged
+
+__all__ = ["fresh_path", "released", "staged", "table", "int_hash", "input_partitions", "WORD", "UPPER", "LOWER"]
+
 #: A word is a run of anything but the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,29 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("memolake.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="memolake-")
-        spark.conf.set("memolake.shared.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/memolake-{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors cost nothing.
-
-    The table stays for as long as the shared folder does, as what is returned reads it.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def int_hash(text: Column, chars: int = 8) -> Column:
     """The first hexadecimal digits of the MD5 as a long: the same number in any SQL engine."""
     return F.conv(F.substring(F.md5(text), 1, chars), 16, 10).cast("long")
