@@ -2,13 +2,15 @@
 
 1. A pass over the texts counts shingles into a table of fixed size; (count, hash) is a total order of shingles, rare
    ones first. A second pass gives each document its set's size, a 64-bit identity, a parity bitmap (each shingle flips
-   one of about as many bits as the set has shingles) and its prefix: of n shingles the first n - ceil(t n) + 1, of which
-   linked sets share one. A set's bitmap and prefix are kept once in each task.
+   one of about as many bits as the set has shingles) and its prefix: of n shingles the first n - ceil(t n) + l, of which
+   linked sets share l, here l = 1 + (n - ceil(t n)) / 2. A set's bitmap and prefix are kept once in each task.
 2. Equal sets are one set; sets of equal size and prefix are one group. One shuffle brings (shingle, group, size and
    place) together; only shingles that two groups share stay. Shingles whose count is high have their lists cut in salted
-   parts. Bitmaps and sets never travel with lists.
-3. In each round, each group is compared with one other: of the groups that stand first (by a hash that changes with the
-   round) on its lists, in its band of sizes, the one met most often. Verified links make components. A list within one
+   parts. A group that shares fewer of its shingles than it would with the smallest set that it may be linked to goes, with
+   most of those that meet by chance; then the first n - ceil(t n) + 1 shingles, of which linked sets share one, are enough.
+   Bitmaps and sets never travel with lists.
+3. In each round, each group is compared with one other: of the groups that stand first on its lists, in its band of
+   sizes, the one met most often; first is the one with the fewest rare shingles of its own, later weighed at random. Verified links make components. A list within one
    component is closed, so a large group of near copies doesn't multiply. Rounds go on while lists would still give many
    pairs for their rows, and a round takes a tenth of these pairs away.
 4. Then all pairs of groups on an open list that are not yet one component are joined, under bounds on sizes, on the
@@ -126,7 +128,8 @@ def described(docs: DataFrame, counts: np.ndarray, words: int, percent: int) ->
                     continue
                 had.add(sid[-1])
                 c = counts[(s & mask).astype(np.int64)]
-                order = np.lexsort((s, c))[: len(s) - -(-percent * len(s) // 100) + 1]
+                spare = len(s) - -(-percent * len(s) // 100)
+                order = np.lexsort((s, c))[: spare + 1 + spare // 2]
                 cold.append(int((c[order] < HOT).sum()))
                 prefix.append(s[order].astype(np.int64))
                 maps.append(bitmap(s))
@@ -211,6 +214,11 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
     return found
 
 
+def spare(n: Column, percent: int) -> Column:
+    """How many of a set's n shingles may be missing in a linked one."""
+    return F.floor(n * (100 - percent) / 100)
+
+
 def shared_lists(rows: DataFrame) -> DataFrame:
     """(token, part, gid, n, place): the prefix shingles that more than one group has. One shuffle, by shingle and part."""
     tokens = rows.where("prefix is not null").select(F.xxhash64("n", "prefix").alias("gid"), "n", "cold", F.posexplode("prefix").alias("place", "token"))
@@ -222,6 +230,13 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     return tokens.select("token", "part", "gid", F.shiftright("at", 31).alias("n"), (F.col("at") % F.lit(1 << 31)).alias("place"))
 
 
+def promising(lists: DataFrame, percent: int) -> DataFrame:
+    """lists of the groups that share enough of their shingles for a link, and of those the first that a link needs one of."""
+    least = 1 + F.floor(spare(F.ceil(F.col("n") * percent / 100), percent) / 2)
+    enough = lists.groupBy("gid").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least).select("gid")
+    return lists.where(F.col("place") <= spare(F.col("n"), percent)).join(enough, "gid", "left_semi")
+
+
 def of_groups(known: DataFrame) -> DataFrame:
     """(gid, low, high): the set of a group with the lowest root, and that with the highest, as (root, sid)."""
     mine = F.struct("root", "sid")
@@ -230,9 +245,12 @@ def of_groups(known: DataFrame) -> DataFrame:
 
 def first_ones(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     """(gid, other): for each group the one that stands first most often on its lists, among those of like size and
-    another root. Bands of sizes are moved by half a band every other turn."""
+    another root. First is where the shingle has the lowest place: that group has the fewest rare shingles of its own, so
+    of a text's edited copies the one that is nearest to all. After the first turn places are weighed at random. Bands of
+    sizes are moved by half a band every other turn."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) if percent < 100 else 1.0) + F.lit(turn % 2 / 2))
-    first = F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), "gid", "root"))
+    toss = F.pmod(F.xxhash64("gid", F.lit(turn)), F.lit(1 << 20))
+    first = F.min(F.struct(((F.col("place") + 1) * (1 << 20 if turn == 0 else toss)).alias("h"), toss.alias("toss"), "gid", "root"))
     met = lists.withColumn("band", band).withColumn("first", first.over(Window.partitionBy("token", "part", "band")))
     met = met.where("first.root <> root").select("gid", F.col("first.gid").alias("other"))
     often = met.repartition("gid").groupBy("gid", "other").agg(F.count(F.lit(1)).alias("times"))
@@ -244,7 +262,9 @@ def clustered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wo
     the component, null without shingles."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     all_rows = staged(described(docs, shingle_counts(docs, words), words, percent), "described")
-    lists = staged(shared_lists(all_rows), "lists")
+    shared = staged(shared_lists(all_rows), "lists")
+    lists = staged(promising(shared, percent), "lists")
+    released(shared)
     sets = all_rows.where("n > 0").groupBy("sid").agg(
         F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("rep"), F.first("n").alias("n"), F.first("map", ignorenulls=True).alias("map"),
         F.first(F.when(F.col("prefix").isNotNull(), F.xxhash64("n", "prefix")), ignorenulls=True).alias("gid"),
@@ -275,7 +295,7 @@ def clustered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wo
             before, on = ahead, open_lists
         pick = F.col("low.sid") if turn % 2 == 0 else F.col("high.sid")
         named = groups.select("gid", pick.alias("sid"))
-        stars = first_ones(on.select("token", "part", "gid", "n", F.col("low").alias("root")), turn, percent)
+        stars = first_ones(on.select("token", "part", "gid", "n", "place", F.col("low").alias("root")), turn, percent)
         stars = stars.join(named.select("gid", F.col("sid").alias("b")), "gid").join(named.select(F.col("gid").alias("other"), F.col("sid").alias("a")), "other").select("a", "b")
         inside = known.join(groups.where("low.root < high.root").select("gid", F.col("low.sid").alias("a"), F.col("low.root").alias("_root")), "gid").where("root <> _root").select("a", F.col("sid").alias("b"))
         links = verified(stars.union(inside), sets, docs, words, percent)
