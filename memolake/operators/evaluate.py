@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memolake.functions import text as T
-
-
-def containment_gold(queries: DataFrame, docs: DataFrame, lead: int = 3) -> DataFrame:
-    """(qid, doc_id): documents that hold the query's text. Texts are met by their first words, then compared."""
-    shape = lambda c: T.latin_words(c)
-    asked = queries.select("qid", "text", shape(F.col("text")).alias("w")).select("qid", "text", F.concat_ws(" ", F.slice("w", 2, lead)).alias("key"))
-    w = docs.select("doc_id", "body", shape(F.col("body")).alias("w"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (lead - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, lead)))
-    held = w.select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
-    met = held.join(asked, "key").select("doc_id", "qid", "text")
-    return met.join(docs.select("doc_id", "body"), "doc_id").where(F.contains("body", "text")).select("qid", "doc_id").distinct()
+from memolake.operators.lexical import FEW, held_terms
+from memolake.tables import little
+
+
+def containment_gold(queries: DataFrame, docs: DataFrame, terms: DataFrame, posted: DataFrame) -> DataFrame:
+    """(qid, doc_id): documents that hold the query's text as it is. A query meets the documents that have its rarest inner
+    word (the first and the last one may be cut in the text), then is compared; one without an inner word meets those in
+    one of whose terms its longest word stands. A query without words has no gold."""
+    w = T.words(F.col("text"))
+    inner = F.array_distinct(F.when(F.size(w) > 2, F.slice(w, 2, F.size(w) - 2)).otherwise(F.array().cast("array<string>")))
+    asked = queries.select("qid", "text", w.alias("w"), inner.alias("inner"))
+    by_word = asked.select("qid", F.explode("inner").alias("word")).select("qid", F.explode(T.grams(F.col("word"))).alias("term")).join(terms, "term")
+    rarest = by_word.groupBy("qid").agg(F.min(F.struct("df", "term")).alias("r")).select("qid", F.col("r.term").alias("term"))
+    short = asked.where(F.size("inner") == 0).select("qid", F.try_element_at(F.array_sort("w", lambda a, b: F.length(a) - F.length(b)), F.lit(-1)).alias("word")).where("word is not null")
+    part = short.join(held_terms(short, terms), "word").select("qid", "term")
+    met = posted.select("doc_id", "term").join(little(rarest.unionByName(part), FEW), "term").select("qid", "doc_id").distinct()
+    return met.join(queries.select("qid", "text"), "qid").join(docs.select("doc_id", "body"), "doc_id").where(F.contains("body", "text")).select("qid", "doc_id")
 
 
 def gold_ranks(results: DataFrame, gold: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass
+from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memolake.functions import text as T
@@ -13,16 +16,59 @@ from memolake.functions import text as T
 FIELD_WEIGHTS = {"name": 6.0, "title": 4.0, "description": 3.0, "body": 1.0}
 
 
-def postings(docs: DataFrame, mode: str = "sum", k: float = 1.0, split: Callable[[Column], Column] = T.latin_words, weights: dict = FIELD_WEIGHTS) -> DataFrame:
-    """(doc_id, term, tf): weight times count per field, or times count / (count + k), or times 1 + ln(count)."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), split(F.col(f)).alias("words")) for f, w in weights.items()])
-    rows = docs.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.weight", F.explode("f.words").alias("word"))
-    rows = rows.select("doc_id", "field", "weight", F.explode(T.grams(F.col("word"))).alias("term"))
-    if mode == "sum":
-        return rows.groupBy("doc_id", "term").agg(F.sum("weight").alias("tf"))
-    counted = rows.groupBy("doc_id", "term", "field", "weight").agg(F.count(F.lit(1)).alias("c"))
-    bump = 1 + F.log("c") if mode == "log" else F.col("c") / (F.col("c") + k)
-    return counted.groupBy("doc_id", "term").agg(F.sum(F.col("weight") * bump).alias("tf"))
+def postings(docs: DataFrame, mode: str = "sum", k: float = 1.0, weights: dict = FIELD_WEIGHTS, chars: int = 4_000_000) -> DataFrame:
+    """(doc_id, term, tf), one row for each row of docs and term: weight times count per field, or times count / (count + k)
+    (``sat``), or times 1 + ln(count) (``log``). Terms are counted within the document inside the task, so nothing is
+    shuffled; a task holds so many characters of text at a time."""
+    bump = {"sum": float, "sat": lambda c: c / (c + k), "log": lambda c: 1 + log(c)}[mode]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            size = sum(batch[f].fillna("").str.len() for f in weights).cumsum() if len(batch) else batch["doc_id"]
+            for _, part in batch.groupby(size // chars, sort=False):
+                held: list[dict] = [{} for _ in range(len(part))]
+                for f, w in weights.items():
+                    for tf, counts in zip(held, T.term_counts(part[f])):
+                        for term, c in counts.items():
+                            tf[term] = tf.get(term, 0.0) + w * bump(c)
+                ids = part["doc_id"].repeat([len(x) for x in held])
+                yield pd.DataFrame({"doc_id": ids.to_numpy(), "term": [t for x in held for t in x], "tf": [v for x in held for v in x.values()]})
+
+    return docs.select("doc_id", *weights).mapInPandas(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, tf double")
+
+
+@dataclass
+class Index:
+    """A published index: postings with their bucket of the term, document frequencies, lengths, statistics."""
+
+    postings: DataFrame
+    terms: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+
+
+def publish(docs: DataFrame, path: str, buckets: int = 16) -> Index:
+    """Write the index of docs under path and read it. Postings are dealt by a hash of the term into ``buckets`` folders and
+    sorted by term within, so a reader of few terms skips files and row groups."""
+    p = postings(docs).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    p.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    posted = spark.read.schema(p.schema).parquet(f"{path}/postings")
+    terms(posted).withColumn("bucket", bucket_of(F.col("term"), buckets)).write.parquet(f"{path}/terms")
+    doc_lengths(docs, posted).write.parquet(f"{path}/lengths")
+    term_df, lengths = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/lengths")
+    corpus_stats(lengths, term_df).write.parquet(f"{path}/stats")
+    return opened(spark, path)
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    """The index that was published under path."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(read("postings").select("doc_id", "term", "tf", "bucket"), read("terms"), read("lengths"), read("stats"))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def doc_lengths(docs: DataFrame, posted: DataFrame) -> DataFrame:

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memolake.functions import text as T
+from memolake.tables import little
 
 # Fixed values of the ranking.
 K1, B = 1.2, 0.6
 COVERAGE_FLOOR, STOP_SHARE, IDF_LEAST_DF = 0.4, 0.55, 3
 IDENTITY_BOOST, RERANK_TOP = 0.8, 40
+#: So many rows of asked terms, or of phrases, are broadcast; more are joined by a shuffle.
+FEW = 1_000_000
 
 
-def query_terms(queries: DataFrame, split: Callable[[Column], Column] = T.latin_words) -> DataFrame:
-    """(qid, word, gram): each query's distinct words that aren't function words, and their terms."""
-    words = queries.select("qid", F.explode(T.query_words(split(F.col("text")))).alias("word"))
+def query_terms(queries: DataFrame, more: Column | None = None) -> DataFrame:
+    """(qid, word, gram): each query's distinct words that aren't function words, then those of expansion terms (``more``, an
+    array of strings), and their terms."""
+    split = T.words(F.col("text")) if more is None else F.concat(T.words(F.col("text")), T.words(F.array_join(F.coalesce(more, F.array().cast("array<string>")), " ")))
+    words = queries.select("qid", F.explode(T.query_words(split)).alias("word"))
     return words.select("qid", "word", F.explode(T.grams(F.col("word"))).alias("gram"))
 
 
@@ -38,36 +41,58 @@ def chosen_grams(asked: DataFrame, term_df: DataFrame, stats: DataFrame) -> Data
 
 
 def scores(chosen: DataFrame, posted: DataFrame, lengths: DataFrame, stats: DataFrame, prior: Column | None = None) -> DataFrame:
-    """(qid, doc_id, word, val, word_idf): per word the best of its terms."""
+    """(qid, doc_id, word, val, word_idf): per word the best of its terms. prior: a factor over the columns of lengths."""
     avg = F.broadcast(stats.select("avg_doclen"))  # one row
-    hit = chosen.join(posted, chosen["gram"] == posted["term"]).join(lengths, "doc_id").crossJoin(avg)
+    asked = little(chosen, FEW)
+    # The query's terms go to the postings, so those are filtered before they meet the lengths.
+    hit = posted.join(asked, posted["term"] == asked["gram"]).join(lengths, "doc_id").crossJoin(avg)
     val = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("doclen") / F.col("avg_doclen")))
     val = val if prior is None else val * prior
     return hit.groupBy("qid", "doc_id", "word").agg(F.max(val).alias("val"), F.first("word_idf").alias("word_idf"))
 
 
-def recall(queries: DataFrame, docs: DataFrame, posted: DataFrame, term_df: DataFrame, lengths: DataFrame, stats: DataFrame, k: int = 8, split: Callable[[Column], Column] = T.latin_words) -> DataFrame:
+def recall(queries: DataFrame, docs: DataFrame, posted: DataFrame, term_df: DataFrame, lengths: DataFrame, stats: DataFrame, k: int = 8, prior: Column | None = None, asked: DataFrame | None = None) -> DataFrame:
     """(qid, rank, doc_id, score, ratio, matched): the first k documents of each query.
 
     The score is the sum over words times 0.4 + 0.6 * the share of the query's IDF that is matched. Among the first 40,
-    words that stand in the name, title or description raise the place, not the score.
+    words that stand in the name, title or description raise the place, not the score; those after them follow by score.
+    asked: (qid, word, gram, bridged) in place of the queries' own terms; bridged words score, but have no part in the
+    shares.
     """
-    chosen = chosen_grams(query_terms(queries, split), term_df, stats)
-    total = chosen.select("qid", "word", "word_idf").distinct().groupBy("qid").agg(F.sum("word_idf").alias("mass"))
-    per_word = scores(chosen, posted, lengths, stats)
-    by_doc = per_word.groupBy("qid", "doc_id").agg(F.sum("val").alias("val"), F.sum("word_idf").alias("found"), F.array_sort(F.collect_list(F.struct("word", "word_idf"))).alias("matched"))
-    by_doc = by_doc.join(total, "qid").withColumn("score", F.col("val") * (COVERAGE_FLOOR + (1 - COVERAGE_FLOOR) * F.col("found") / F.col("mass")))
+    asked = query_terms(queries).withColumn("bridged", F.lit(False)) if asked is None else asked
+    chosen = chosen_grams(asked, term_df, stats)
+    own = asked.groupBy("qid", "word").agg(F.min("bridged").alias("bridged"))
+    words = chosen.select("qid", "word", "word_idf").distinct().join(own, ["qid", "word"])
+    total = words.where("not bridged").groupBy("qid").agg(F.sum("word_idf").alias("mass"))
+    per_word = scores(chosen, posted, lengths, stats, prior).join(little(own, FEW), ["qid", "word"])
+    found = F.sum(F.when(~F.col("bridged"), F.col("word_idf")))
+    by_doc = per_word.groupBy("qid", "doc_id").agg(F.sum("val").alias("val"), F.coalesce(found, F.lit(0.0)).alias("found"), F.array_sort(F.collect_list(F.struct("word", "word_idf"))).alias("matched"))
+    by_doc = by_doc.join(little(total, FEW), "qid").withColumn("score", F.col("val") * (COVERAGE_FLOOR + (1 - COVERAGE_FLOOR) * F.col("found") / F.col("mass")))
     # Scores are compared to six places, so that the order of summation doesn't decide.
     place = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    head = by_doc.withColumn("place", F.row_number().over(place)).where(F.col("place") <= RERANK_TOP)
-    naming = F.array_union(split(F.regexp_replace("name", "_", " ")), F.array_union(split(F.col("title")), split(F.col("description"))))
+    head = by_doc.withColumn("place", F.row_number().over(place)).where(F.col("place") <= max(k, RERANK_TOP))
+    naming = T.words(F.concat_ws(" ", F.regexp_replace("name", "_", " "), "title", "description"))
     head = head.join(docs.select("doc_id", naming.alias("naming")), "doc_id")
     bonus = F.aggregate(F.filter("matched", lambda m: F.array_contains("naming", m["word"])), F.lit(0.0), lambda a, m: a + m["word_idf"])
-    again = Window.partitionBy("qid").orderBy(F.desc(F.round(F.col("score") + IDENTITY_BOOST * bonus, 6)), "place")
+    near = F.col("place") <= RERANK_TOP
+    again = Window.partitionBy("qid").orderBy(~near, F.desc(F.when(near, F.round(F.col("score") + IDENTITY_BOOST * bonus, 6))), "place")
     head = head.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
     return head.select("qid", "rank", "doc_id", "score", (F.col("score") / F.col("mass")).alias("ratio"), F.transform("matched", lambda m: m["word"]).alias("matched"))
 
 
+def expanded(queries: DataFrame, bridge: DataFrame) -> DataFrame:
+    """(qid, word, gram, bridged): the terms of queries, and those of what a bridge (qid, dst) adds to them."""
+    own = query_terms(queries).withColumn("bridged", F.lit(False))
+    more = bridge.select("qid", F.explode(T.words(F.col("dst"))).alias("word")).distinct()
+    more = more.join(own.select("qid", "word"), ["qid", "word"], "left_anti").select("qid", "word", F.explode(T.grams(F.col("word"))).alias("gram"))
+    return own.unionByName(more.withColumn("bridged", F.lit(True)))
+
+
+def unsure(queries: DataFrame, results: DataFrame, threshold: float) -> DataFrame:
+    """The queries to which ``attach`` gives nothing."""
+    return queries.join(attach(results, threshold).select("qid").distinct(), "qid", "left_anti")
+
+
 def attach(results: DataFrame, threshold: float, most: int = 2, full: float = 7.5 / 9.46, ratio: float = 0.80) -> DataFrame:
     """Rows to attach: up to two at or above the threshold; else the first one that is close to it and covers the query."""
     sure = Window.partitionBy("qid").orderBy("rank")
@@ -78,28 +103,107 @@ def attach(results: DataFrame, threshold: float, most: int = 2, full: float = 7.
     return r.where((F.col("_sure") & (F.col("_n") <= most)) | (~F.col("_any") & F.col("_near"))).select("qid", "rank", "doc_id", "score", F.when(F.col("_sure"), "score").otherwise("ratio").alias("why"))
 
 
-def related(results: DataFrame, edges: DataFrame, floor: float, seeds: int = 3, most: int = 2) -> DataFrame:
-    """(qid, doc_id, via): neighbours of the first hits, not shown yet, where the first score reaches the floor."""
+def related(results: DataFrame, edges: DataFrame, floor: float, seeds: int = 3, most: int = 2, own: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, via): neighbours of the first hits, not shown yet, where the first score reaches the floor. own: scores
+    (qid, doc_id, score) of documents by themselves, of which those at the floor or above stay out; scope: the doc_ids that may
+    be shown."""
     good = results.groupBy("qid").agg(F.max("score").alias("top")).where(F.col("top") >= floor).select("qid")
     seed = results.join(good, "qid", "left_semi").where(F.col("rank") <= seeds).select("qid", "rank", F.col("doc_id").alias("via"))
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    near = seed.join(both, seed["via"] == both["src"]).groupBy("qid", F.col("dst").alias("doc_id")).agg(F.min(F.struct("rank", "via")).alias("first"))
+    near = both.join(little(seed, FEW), seed["via"] == both["src"]).groupBy("qid", F.col("dst").alias("doc_id")).agg(F.min(F.struct("rank", "via")).alias("first"))
     near = near.join(results.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    if own is not None:
+        near = near.join(own.where(F.col("score") >= floor).select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    if scope is not None:
+        near = near.join(scope, "doc_id", "left_semi")
     place = Window.partitionBy("qid").orderBy("first.rank", "doc_id")
     return near.withColumn("n", F.row_number().over(place)).where(F.col("n") <= most).select("qid", "doc_id", F.col("first.via").alias("via"))
 
 
-def grep(queries: DataFrame, posted_words: DataFrame, split: Callable[[Column], Column] = T.latin_words) -> DataFrame:
-    """(qid, files): documents that hold any of a query's words, as whole words."""
-    asked = queries.select("qid", F.explode(T.query_words(split(F.col("text")))).alias("term"))
-    return asked.join(posted_words.select("doc_id", "term"), "term").groupBy("qid").agg(F.countDistinct("doc_id").alias("files"))
+def cuts(text: Column) -> Column:
+    """All distinct pieces of two and of three characters."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(2), of(3)))
+
+
+def held_terms(words: DataFrame, term_df: DataFrame) -> DataFrame:
+    """(word, term): the indexed terms in which a word stands. They meet by the word's first three characters, then are
+    compared, so not every word meets every term."""
+    asked = words.select("word").distinct().withColumn("cut", F.substring("word", 1, 3))
+    pieces = term_df.select("term", F.explode(cuts(F.col("term"))).alias("cut"))
+    return pieces.join(little(asked, FEW), "cut").where(F.contains("term", "word")).select("word", "term")
+
+
+def grep(queries: DataFrame, posted_words: DataFrame, term_df: DataFrame) -> DataFrame:
+    """(qid, files, hit_of_3): the documents that hold any of a query's words anywhere, and the chance that one right
+    document among them is in three at random; null where there is none."""
+    asked = queries.select("qid", F.explode(T.query_words(T.words(F.col("text")))).alias("word"))
+    where = asked.join(held_terms(asked, term_df), "word").select("qid", "term").distinct()
+    files = posted_words.select("doc_id", "term").join(little(where, FEW), "term").select("qid", "doc_id").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("files"))
+    out = queries.select("qid").join(files, "qid", "left").select("qid", F.coalesce("files", F.lit(0)).alias("files"))
+    return out.withColumn("hit_of_3", F.least(F.lit(1.0), F.try_divide(F.lit(3.0), F.col("files"))))
+
+
+def folded(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
 def trigger_matches(prompts: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(qid, phrase, doc_id, place): declared phrases in prompts, both folded, longest first."""
-    fold = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    p = prompts.select("qid", fold(F.col("text")).alias("folded"))
-    t = triggers.select(fold(F.col("phrase")).alias("phrase"), "doc_id")
-    hit = p.join(t, F.col("folded").contains(F.col("phrase")))
+    """(qid, phrase, doc_id, place): declared phrases in prompts, both folded, longest first. Phrases of three characters or
+    more meet prompts by their first three, then are compared; shorter ones never match."""
+    p = prompts.select("qid", folded(F.col("text")).alias("folded"))
+    t = triggers.select(folded(F.col("phrase")).alias("phrase"), "doc_id").distinct().withColumn("cut", F.substring("phrase", 1, 3)).where(F.length("phrase") >= 3)
+    pieces = p.select("qid", "folded", F.explode(cuts(F.col("folded"))).alias("cut"))
+    hit = pieces.join(little(t, FEW), "cut").where(F.contains("folded", "phrase"))
     place = Window.partitionBy("qid").orderBy(F.desc(F.length("phrase")), "phrase", "doc_id")
     return hit.select("qid", "phrase", "doc_id", F.row_number().over(place).alias("place"))
+
+
+def trigger_audit(triggers: DataFrame, indexed: DataFrame, names: DataFrame, prompts: DataFrame, short: int = 6) -> DataFrame:
+    """(phrase, issue): of declared triggers (phrase, name): duplicate (several names), short, one-word, unresolved (no such
+    name), shadowed (stands in another phrase), declared-not-indexed; of indexed ones indexed-not-declared; unused (in no
+    prompt)."""
+    t = triggers.select(folded(F.col("phrase")).alias("phrase"), "name").distinct()
+    own = t.select("phrase").distinct()
+    known = indexed.select(folded(F.col("phrase")).alias("phrase")).distinct()
+    issue = lambda d, x: d.select("phrase", F.lit(x).alias("issue")).distinct()
+    inner = own.select(F.col("phrase").alias("inner"), F.substring("phrase", 1, 3).alias("cut"))
+    shadowed = own.select("phrase", F.explode(cuts(F.col("phrase"))).alias("cut")).join(little(inner, FEW), "cut").where(F.contains("phrase", "inner") & (F.col("phrase") != F.col("inner"))).select(F.col("inner").alias("phrase"))
+    used = trigger_matches(prompts, t.select("phrase", F.col("name").alias("doc_id"))).select("phrase").distinct()
+    parts = [
+        issue(t.groupBy("phrase").count().where("count > 1"), "duplicate"), issue(own.where(F.length("phrase") < short), "short"), issue(own.where(~F.contains("phrase", F.lit(" "))), "one-word"),
+        issue(t.join(names, "name", "left_anti"), "unresolved"), issue(shadowed, "shadowed"), issue(own.join(known, "phrase", "left_anti"), "declared-not-indexed"),
+        issue(known.join(own, "phrase", "left_anti"), "indexed-not-declared"), issue(own.join(used, "phrase", "left_anti"), "unused"),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def looked_up(asked: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
+    """(asked, name, doc_id, exact): the document of a name; for unknown ones the first names (name, doc_id) in which it
+    stands, case folded."""
+    hit = asked.join(names, asked["asked"] == names["name"]).select("asked", "name", "doc_id", F.lit(True).alias("exact"))
+    lost = asked.join(names.select(F.col("name").alias("asked")), "asked", "left_anti").withColumn("cut", F.substring(F.lower("asked"), 1, 3))
+    pieces = names.select("name", "doc_id", F.explode(cuts(F.lower("name"))).alias("cut"))
+    near = pieces.join(little(lost, FEW), "cut").where(F.contains(F.lower("name"), F.lower("asked")))
+    place = Window.partitionBy("asked").orderBy("name", "doc_id")
+    near = near.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most)
+    return hit.unionByName(near.select("asked", "name", "doc_id", F.lit(False).alias("exact")))
+
+
+def cascade(stages: list[DataFrame], fresh: DataFrame | None = None, most: int = 2) -> DataFrame:
+    """(qid, doc_id, stage, place): what each prompt gets. stages: (qid, doc_id, place) tables; rows of the first (declared
+    triggers) come first, those of the second after them, and each later one, a single row, only for prompts that all before
+    left empty. fresh: the doc_ids whose file hasn't changed since it was indexed."""
+    kept = [d if fresh is None else d.join(fresh, "doc_id", "left_semi") for d in stages]
+    out = None
+    for i, d in enumerate(kept):
+        d = d.select("qid", "doc_id", F.lit(i).alias("stage"), F.col("place").cast("int").alias("place"))
+        if i >= 2:
+            d = d.join(out.where("stage > 0").select("qid").distinct(), "qid", "left_anti").where("place = 1")
+        out = d if out is None else out.unionByName(d)
+    once = out.withColumn("_first", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy("stage", "place"))).where("_first = 1")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("stage", "place", "doc_id"))).where(F.col("place") <= most).select("qid", "doc_id", "stage", "place")

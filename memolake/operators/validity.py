@@ -11,6 +11,10 @@ from memolake.tables import released, staged
 STATES = ["active", "proposed", "disputed", "superseded", "retracted", "archived"]
 
 
+#: States of a record that takes the place of the one before.
+FOLLOWING = ["active", "superseded", "retracted", "archived", "disputed"]
+
+
 def issues(r: DataFrame) -> DataFrame:
     """Records with the array of what is wrong with them: state, order of times, a replacement without start or reason."""
     found = F.array_compact(F.array(
@@ -35,14 +39,16 @@ def eligible(as_of: Column) -> Column:
 
 
 def resolved(records: DataFrame, successors: DataFrame, as_of: Column) -> DataFrame:
-    """(id, current): the eligible ends that each record leads to by started successors that aren't proposed.
+    """(id, current): the eligible ends that each record leads to by started successors that aren't proposed. Where records
+    have a column ``issue``, those with one neither follow nor are ends.
 
     Pointer doubling: each round, a table, goes from where a record leads on to where that leads; ends stay. A record has
     one row where it and those after it have one successor, several only where they branch. The shortest way to an end
     passes each record once, so once the steps are as many as the records that have one, what still moves is in cycles
     and reaches no further end.
     """
-    can = records.where(started(as_of) & (F.col("status") != "proposed")).select(F.col("id").alias("next"))
+    clear = F.col("issue").isNull() if "issue" in records.columns else F.lit(True)
+    can = records.where(started(as_of) & F.col("status").isin(FOLLOWING) & clear).select(F.col("id").alias("next"))
     step = staged(successors.join(can, "next", "left_semi").select("id", "next").distinct(), "step")
     moving = step.select(F.col("id").alias("_id")).distinct()
     most, steps = moving.count(), 1
@@ -54,7 +60,7 @@ def resolved(records: DataFrame, successors: DataFrame, as_of: Column) -> DataFr
         released(old)
     own = records.select("id").join(step, "id", "left_anti").select(F.col("id").alias("origin"), F.col("id").alias("at"))
     far = reach.where("end").join(records.select(F.col("id").alias("origin")), "origin", "left_semi").select("origin", "at")
-    good = records.where(eligible(as_of)).select(F.col("id").alias("at"))
+    good = records.where(eligible(as_of) & clear).select(F.col("id").alias("at"))
     return own.unionByName(far).join(good, "at").select(F.col("origin").alias("id"), F.col("at").alias("current"))
 
 

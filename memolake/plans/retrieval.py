@@ -9,6 +9,7 @@ from memolake.functions import text as T
 from memolake.operators import evaluate, index, lexical
 from memolake.plans import sql as S
 from memolake.sources import corpus
+from memolake.tables import fresh_path
 
 QUERIES, SQL = {}, {}
 
@@ -24,17 +25,22 @@ def query(sql: str | None = None):
 
 
 class Built:
-    """The index of the documents: every part a lazy DataFrame."""
+    """The published index of the documents: written once for a session and table, then read by every query."""
+
+    paths: dict = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs = corpus.documents(spark, sf_dir)
-        self.postings = index.postings(self.docs)
-        self.terms = index.terms(self.postings)
-        self.lengths = index.doc_lengths(self.docs, self.postings)
-        self.stats = index.corpus_stats(self.lengths, self.terms)
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in self.paths:
+            path = fresh_path(spark, "index")
+            index.publish(self.docs, path)
+            self.paths[key] = path
+        found = index.opened(spark, self.paths[key])
+        self.postings, self.terms, self.lengths, self.stats = found.postings.drop("bucket"), found.terms.drop("bucket"), found.lengths, found.stats
 
-    def recall(self, queries: DataFrame, k: int) -> DataFrame:
-        return lexical.recall(queries, self.docs, self.postings, self.terms, self.lengths, self.stats, k)
+    def recall(self, queries: DataFrame, k: int, **options) -> DataFrame:
+        return lexical.recall(queries, self.docs, self.postings, self.terms, self.lengths, self.stats, k, **options)
 
 
 def round6(c):
@@ -66,7 +72,7 @@ def t5_chunk_spans(spark, sf_dir):
     return d.select("doc_id", "c.chunk_no", F.col("c.start").cast("int").alias("start"), F.sha1("c.chunk").alias("chunk_sha"))
 
 
-@query(f"WITH {S.INDEX} SELECT skel, term, df FROM (SELECT regexp_replace(translate(regexp_replace(term, '[aeiouyw]', '', 'g'), 'cqlfv', 'kkrpb'), 'x', 'x', 'g') AS raw, term, df FROM terms WHERE df >= 2 AND regexp_full_match(term, '[a-z]+')), LATERAL (SELECT array_to_string(list_filter(list_transform(range(1, length(raw) + 1), lambda i: CASE WHEN i = 1 OR substr(raw, i, 1) <> substr(raw, i - 1, 1) THEN substr(raw, i, 1) ELSE '' END), lambda x: x <> ''), '') AS skel) WHERE length(skel) >= 2")
+@query(f"WITH {S.INDEX} SELECT skel, term, df FROM (SELECT regexp_replace(translate(regexp_replace(term, '[aeiouy]', '', 'g'), 'cqlfv', 'kkrpb'), 'x', 'x', 'g') AS raw, term, df FROM terms WHERE df >= 2 AND regexp_full_match(term, '[a-z]+')), LATERAL (SELECT array_to_string(list_filter(list_transform(range(1, length(raw) + 1), lambda i: CASE WHEN i = 1 OR substr(raw, i, 1) <> substr(raw, i - 1, 1) THEN substr(raw, i, 1) ELSE '' END), lambda x: x <> ''), '') AS skel) WHERE length(skel) >= 2")
 def x6_skeletons(spark, sf_dir):
     return index.skeletons(Built(spark, sf_dir).terms)
 
@@ -115,17 +121,27 @@ def p8_real_prompts(spark, sf_dir):
 
 @query(f"WITH {S.INDEX} SELECT doc_id, term, tf FROM postings")
 def x1_postings(spark, sf_dir):
+    return index.postings(corpus.documents(spark, sf_dir))
+
+
+@query(f"WITH {S.INDEX} SELECT doc_id, term, round(sum(w * c / (c + 1.5::DOUBLE)), 6) AS tf FROM (SELECT doc_id, term, w::DOUBLE AS w, f, count(*) AS c FROM field_terms GROUP BY ALL) GROUP BY doc_id, term")
+def x1_postings_sat(spark, sf_dir):
+    return index.postings(corpus.documents(spark, sf_dir), "sat", k=1.5).withColumn("tf", round6("tf"))
+
+
+@query(f"WITH {S.INDEX} SELECT doc_id, term, tf FROM postings")
+def io7_published(spark, sf_dir):
     return Built(spark, sf_dir).postings
 
 
-@query(f"WITH {S.INDEX} SELECT doc_id, term, round(sum(w * (1 + ln(c))), 6) AS tf FROM (SELECT doc_id, term, w::DOUBLE AS w, count(*) AS c FROM field_terms GROUP BY ALL) GROUP BY doc_id, term")
+@query(f"WITH {S.INDEX} SELECT doc_id, term, round(sum(w * (1 + ln(c))), 6) AS tf FROM (SELECT doc_id, term, w::DOUBLE AS w, f, count(*) AS c FROM field_terms GROUP BY ALL) GROUP BY doc_id, term")
 def x1_postings_log(spark, sf_dir):
     return index.postings(corpus.documents(spark, sf_dir), "log").withColumn("tf", round6("tf"))
 
 
 @query(f"WITH {S.INDEX} SELECT term, df FROM terms")
 def x2_terms(spark, sf_dir):
-    return Built(spark, sf_dir).terms
+    return index.terms(index.postings(corpus.documents(spark, sf_dir)))
 
 
 @query(f"WITH {S.INDEX} SELECT n_docs, round(avg_doclen, 6) AS avg_doclen, (SELECT count(*) FROM terms) AS n_terms, (SELECT count(*) FROM postings) AS n_postings FROM stats")
@@ -173,10 +189,23 @@ def x11_language_shares(spark, sf_dir):
     return index.language_shares(b.postings, markers, b.stats.select("n_docs")).withColumn("share", round6("share"))
 
 
-@query(f"WITH {S.INDEX}, {S.asked(S.BENCH)}, {S.CHOSEN} SELECT qid, word, word AS gram, round(idf, 6) AS idf, round(idf, 6) AS word_idf FROM grams WHERE fits OR true")
+CJK = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '세션이 상한' WHEN doc_id % 7 = 0 THEN '배포 세션' ELSE '배포상한' END || ' ' || split_part(text, ' ', 1) || ' common' AS text FROM documents"
+
+
+@query(f"""WITH d AS ({CJK}), q AS (SELECT doc_id AS qid, text FROM d),
+w AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest({S.words("text", cjk=True)}) AS word FROM d)),
+g AS (SELECT doc_id, word, unnest(CASE WHEN word >= '가' AND word <= '힣' AND length(word) > 1 THEN list_concat(list_transform(range(1, length(word)), lambda i: substr(word, i, 2)), list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))) ELSE [word] END) AS gram FROM w),
+t AS (SELECT gram, count(DISTINCT doc_id) AS df FROM g GROUP BY gram), n AS (SELECT count(*) AS n FROM d),
+a AS (SELECT doc_id AS qid, word, gram, df, ln(1 + (n - greatest(df, 3) + 0.5::DOUBLE) / (greatest(df, 3) + 0.5::DOUBLE)) AS idf, df < greatest(2, floor(n * 0.55)) AS fits FROM (SELECT DISTINCT * FROM g) JOIN t USING (gram), n WHERE lower(word) NOT IN ({S.STOP})),
+m AS (SELECT *, bool_or(fits) OVER (PARTITION BY qid, word) AS any_fits, row_number() OVER (PARTITION BY qid, word ORDER BY df, gram) AS place FROM a)
+SELECT qid, word, gram, round(idf, 6) AS idf, round(max(idf) OVER (PARTITION BY qid, word), 6) AS word_idf FROM m WHERE fits OR (NOT any_fits AND place = 1)""")
 def l1_chosen_grams(spark, sf_dir):
-    b = Built(spark, sf_dir)
-    out = lexical.chosen_grams(lexical.query_terms(corpus.benchmark_queries(spark, sf_dir)), b.terms, b.stats)
+    """Words that are cut into grams, and words and grams of over the bound of documents."""
+    d = corpus.table(spark, sf_dir, "documents")
+    d = d.select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, "세션이 상한").when(F.col("doc_id") % 7 == 0, "배포 세션").otherwise("배포상한"), F.lit(" "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" common")).alias("text"))
+    posted = index.postings(d, weights={"text": 1.0})
+    term_df, lengths = index.terms(posted), index.doc_lengths(d, posted)
+    out = lexical.chosen_grams(lexical.query_terms(d.withColumnRenamed("doc_id", "qid")), term_df, index.corpus_stats(lengths, term_df))
     return out.withColumn("idf", round6("idf")).withColumn("word_idf", round6("word_idf"))
 
 
@@ -196,17 +225,73 @@ def l8_attach(spark, sf_dir):
     return lexical.attach(r, 60.0).withColumn("score", round6("score")).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {S.INDEX}, {S.asked(S.PROMPTS)} SELECT qid, count(DISTINCT doc_id) AS files FROM asked JOIN postings ON word = term GROUP BY qid")
+@query(f"""WITH {S.asked(S.PROMPTS)}, hit AS (SELECT word, doc_id FROM (SELECT DISTINCT word FROM asked) JOIN (SELECT doc_id, lower(text) AS t FROM documents) ON contains(t, word)),
+f AS (SELECT qid, count(DISTINCT doc_id) AS files FROM asked JOIN hit USING (word) GROUP BY qid)
+SELECT qid, coalesce(files, 0) AS files, least(1.0::DOUBLE, 3.0::DOUBLE / nullif(files, 0)) AS hit_of_3 FROM ({S.PROMPTS}) LEFT JOIN f USING (qid)""")
 def l14_grep(spark, sf_dir):
-    return lexical.grep(corpus.prompts(spark, sf_dir), Built(spark, sf_dir).postings)
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
+    posted = index.postings(d, weights={"text": 1.0})
+    return lexical.grep(corpus.prompts(spark, sf_dir), posted, index.terms(posted))
+
+
+PHRASES = """phrases AS (SELECT DISTINCT lower(trim(regexp_replace(array_to_string(w[1 + item_id % 7:item_id % 7 + 1 + item_id % 4], ' '), '\\s+', ' ', 'g'))) AS phrase, item_id AS doc_id FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
+folded AS (SELECT qid, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS folded FROM (SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user'))"""
 
 
-@query(f"""WITH {S.DOCS}, t AS (SELECT DISTINCT lower(trim(regexp_replace(array_to_string(string_split(text, ' ')[1:2], ' '), '\\s+', ' ', 'g'))) AS phrase, item_id AS doc_id FROM benchmark),
-p AS (SELECT qid, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS folded FROM ({S.PROMPTS}))
-SELECT qid, phrase, doc_id, row_number() OVER (PARTITION BY qid ORDER BY length(phrase) DESC, phrase, doc_id)::INT AS place FROM p JOIN t ON contains(folded, phrase)""")
+def phrases(spark, sf_dir):
+    """One to four words from the inside of each benchmark text."""
+    w = F.split("text", " ")
+    i = F.col("item_id")
+    return corpus.table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(w, (1 + i % 7).cast("int"), (1 + i % 4).cast("int")), " ").alias("phrase"), i.alias("doc_id"))
+
+
+@query(f"""WITH {PHRASES} SELECT qid, phrase, doc_id, row_number() OVER (PARTITION BY qid ORDER BY length(phrase) DESC, phrase, doc_id)::INT AS place FROM folded JOIN phrases ON contains(folded, phrase) WHERE length(phrase) >= 3""")
 def l10_trigger_matches(spark, sf_dir):
-    t = corpus.table(spark, sf_dir, "benchmark").select(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("phrase"), F.col("item_id").alias("doc_id"))
-    return lexical.trigger_matches(corpus.prompts(spark, sf_dir), t)
+    return lexical.trigger_matches(corpus.prompts(spark, sf_dir), phrases(spark, sf_dir))
+
+
+@query(f"""WITH {PHRASES}, t AS (SELECT DISTINCT phrase, 'n' || (doc_id % 30) AS name FROM phrases), own AS (SELECT DISTINCT phrase FROM t), known AS (SELECT DISTINCT phrase FROM phrases WHERE doc_id % 3 <> 0 UNION SELECT phrase || ' x' FROM phrases WHERE doc_id % 5 = 0)
+SELECT phrase, 'duplicate' AS issue FROM t GROUP BY phrase HAVING count(*) > 1 UNION ALL SELECT phrase, 'short' FROM own WHERE length(phrase) < 6 UNION ALL SELECT phrase, 'one-word' FROM own WHERE NOT contains(phrase, ' ')
+UNION ALL SELECT DISTINCT phrase, 'unresolved' FROM t WHERE name IN ('n7', 'n8') UNION ALL SELECT phrase, 'declared-not-indexed' FROM own WHERE phrase NOT IN (FROM known) UNION ALL SELECT phrase, 'indexed-not-declared' FROM known WHERE phrase NOT IN (FROM own)
+UNION ALL SELECT DISTINCT a.phrase, 'shadowed' FROM own a JOIN own b ON a.phrase <> b.phrase AND contains(b.phrase, a.phrase) WHERE length(a.phrase) >= 2 UNION ALL SELECT phrase, 'unused' FROM own WHERE length(phrase) < 3 OR NOT EXISTS (SELECT 1 FROM folded WHERE contains(folded, phrase))""")
+def l11_trigger_audit(spark, sf_dir):
+    p = phrases(spark, sf_dir).withColumn("phrase", lexical.folded(F.col("phrase")))
+    t = p.select("phrase", F.concat(F.lit("n"), (F.col("doc_id") % 30).cast("string")).alias("name"))
+    indexed = p.where("doc_id % 3 <> 0").select("phrase").union(p.where("doc_id % 5 = 0").select(F.concat("phrase", F.lit(" x"))))
+    names = t.select("name").distinct().where("name not in ('n7', 'n8')")
+    return lexical.trigger_audit(t, indexed, names, corpus.prompts(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT 'doc_' || doc_id AS name, doc_id FROM documents), a AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'doc_' || item_id ELSE 'Oc_' || item_id END AS asked FROM benchmark),
+hit AS (SELECT asked, name, doc_id FROM a JOIN n ON name = asked)
+SELECT asked, name, doc_id, true AS exact FROM hit UNION ALL SELECT asked, name, doc_id, false FROM (SELECT asked, name, doc_id, row_number() OVER (PARTITION BY asked ORDER BY name, doc_id) AS r FROM a JOIN n ON contains(lower(name), lower(asked)) WHERE asked NOT IN (SELECT asked FROM hit)) WHERE r <= 5""")
+def l15_looked_up(spark, sf_dir):
+    i = F.col("item_id")
+    a = corpus.table(spark, sf_dir, "benchmark").select(F.concat(F.when(i % 2 == 0, "doc_").otherwise("Oc_"), i.cast("string")).alias("asked"))
+    return lexical.looked_up(a, corpus.documents(spark, sf_dir).select("name", "doc_id"))
+
+
+ROUND_ROBIN = "ring AS (SELECT doc_id AS src, doc_id + 1 AS dst FROM documents UNION SELECT doc_id, doc_id * 3 FROM documents)"
+
+
+def ring(docs):
+    return docs.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst")).union(docs.select("doc_id", F.col("doc_id") * 3)).distinct()
+
+
+@query(f"""WITH {S.INDEX}, {S.asked(S.BENCH)}, {S.CHOSEN}, {S.RECALL}, {S.results(8)}, {ROUND_ROBIN}, both_ways AS (SELECT src, dst FROM ring UNION SELECT dst, src FROM ring), seed AS (SELECT qid, rank, doc_id AS via, max(score) OVER (PARTITION BY qid) AS top FROM results),
+near AS (SELECT qid, dst AS doc_id, min(rank) AS rank, arg_min(via, rank) AS via FROM seed JOIN both_ways ON via = src WHERE rank <= 3 AND top >= 60 GROUP BY qid, dst),
+kept AS (SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.qid = n.qid AND r.doc_id = n.doc_id) AND NOT EXISTS (SELECT 1 FROM scored s WHERE s.qid = n.qid AND s.doc_id = n.doc_id AND s.score >= 60) AND doc_id IN (SELECT doc_id FROM documents WHERE source <> 'src1'))
+SELECT qid, doc_id, via FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, doc_id) AS r FROM kept) WHERE r <= 2""")
+def l7_related(spark, sf_dir):
+    b = Built(spark, sf_dir)
+    every = b.recall(corpus.benchmark_queries(spark, sf_dir), 1 << 30)
+    scope = b.docs.where("source <> 'src1'").select("doc_id")
+    return lexical.related(every.where("rank <= 8"), ring(b.docs), 60.0, own=every, scope=scope)
+
+
+def gold(spark, sf_dir, queries):
+    b = Built(spark, sf_dir)
+    return evaluate.containment_gold(queries, b.docs, b.terms, b.postings)
 
 
 GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -216,7 +301,7 @@ GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d
 SELECT count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS hit_1, round(avg((coalesce(rank, 99) <= 3)::INT), 6) AS hit_3, round(avg((coalesce(rank, 99) <= 8)::INT), 6) AS hit_8, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM ranks""")
 def n8_retrieval_metrics(spark, sf_dir):
     r = Built(spark, sf_dir).recall(corpus.benchmark_queries(spark, sf_dir), 8)
-    return evaluate.metrics(r, evaluate.containment_gold(corpus.benchmark_queries(spark, sf_dir), corpus.documents(spark, sf_dir)))
+    return evaluate.metrics(r, gold(spark, sf_dir, corpus.benchmark_queries(spark, sf_dir)))
 
 
 @query(f"""{RESULTS}, {GOLD}, top AS (SELECT qid, max(score) AS score, bool_or(doc_id IN (SELECT doc_id FROM gold x WHERE x.qid = r.qid)) AS hit FROM results r GROUP BY qid),
@@ -226,5 +311,4 @@ SELECT threshold, count(*) FILTER (qid % 2 = 0 AND hit AND score >= threshold) A
 def n4_threshold_sweep(spark, sf_dir):
     queries = corpus.benchmark_queries(spark, sf_dir)
     r = Built(spark, sf_dir).recall(queries, 8)
-    gold = evaluate.containment_gold(queries, corpus.documents(spark, sf_dir))
-    return evaluate.sweep(r, gold, F.col("qid") % 2 == 0, [float(t) for t in range(10, 110, 10)])
+    return evaluate.sweep(r, gold(spark, sf_dir, queries), F.col("qid") % 2 == 0, [float(t) for t in range(10, 110, 10)])

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,8 @@ def released(*tables: DataFrame) -> None:
         if path := vars(t).get("staged_path"):
             hadoop = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def little(df: DataFrame, rows: int) -> DataFrame:
+    """df marked to be broadcast if it has no more than so many rows, which is counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
