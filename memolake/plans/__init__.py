@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _parts() -> list:
-    from memolake.plans import analytics, facts, notes, retrieval
+    from memolake.plans import analytics, facts, notebook, notes, retrieval
 
-    return [retrieval, analytics, facts, notes]
+    return [retrieval, analytics, facts, notes, notebook]
 
 
 def queries() -> dict:
