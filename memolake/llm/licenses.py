@@ -2,9 +2,11 @@
 
 Each text is brought to words parted by one blank. All its k-gram hashes are joined to the positions at which the
 templates have them; the templates are constants of this module, so that side is broadcast. A hit at word p that the
-template has at word t votes for the diagonal p - t. Votes are summed per (document, template, diagonal), diagonals
-that lie within a few words of each other are merged (words were put in or left out), and a merged run is accepted
-when the k-grams that it proves, compared as text and not only as hashes, cover enough of the template.
+template has at word t votes for the diagonal p - t. Votes are summed per (document, template, diagonal). A diagonal that
+no other within ``drift`` words outvotes is an anchor, and merges those neighbours (words were put in or left out), so a
+span never drifts further, and never takes more of the text than the template's length and the drift. The span is then
+verified on that stretch of text: k-grams compared as text, and not only as hashes, count as far as they rise in the text
+and in the template together, and must cover enough of the template.
 
 A document's rows never meet before the votes: only hits and one sentinel row per document are shuffled.
 
@@ -14,14 +16,16 @@ doc_ids are kept apart, row for row; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memolake.llm.common import table
 
 K = 3
-#: Neighbouring diagonals at most so many words apart are one span; a span proves at least this share of a template.
-GAP, COVER = 4, 0.6
+#: Diagonals at most so many words from an anchor are of its span; a span proves at least this share of a template.
+DRIFT, COVER = 4, 0.6
 
 #: Phrases that name a license, and labels.
 PHRASES = {
@@ -31,22 +35,63 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: The usual wording of notices and grants, and labels.
-TEMPLATES = [
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+#: The usual wording of notices, grants and whole short licenses, and labels.
+TEXTS = [
+    ("gpl-3.0", "This work is licensed under the GNU General Public License version 3"),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License version 2"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0"),
+    ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0"),
+    ("cc-by-4.0", "licensed under CC BY 4.0"),
+    ("mit", "Released under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies"""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+        WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+        SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+        OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation"""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+        that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."""),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation"""),
+    ("agpl", """it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"""),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+        obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See
+        the License for the specific language governing permissions and limitations under the License."""),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications,
+        and to alter it and redistribute it freely, subject to the following restrictions"""),
+    ("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+        prepare derivative works of the Software"""),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"""),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
 ]
+TEMPLATES = [(label, " ".join(re.findall("[0-9a-z]+", text.lower()))) for label, text in TEXTS]
 
 
 def plain_words(text: Column) -> Column:
@@ -76,7 +121,7 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> Data
     return spark.createDataFrame(rows, "template int, label string, of_grams int, t int, t_gram string").withColumn("t_hash", F.xxhash64("t_gram"))
 
 
-def licensed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cover: float = COVER, gap: int = GAP) -> DataFrame:
+def licensed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cover: float = COVER, drift: int = DRIFT) -> DataFrame:
     spark = docs.sparkSession
     any_phrase = "(?<![^ ])(?:" + "|".join(PHRASES) + ")(?![^ ])"
     base = docs.select(F.col(doc_id).alias("doc_id"), plain_words(F.col(text)).alias("words")).withColumn("row", F.monotonically_increasing_id())
@@ -102,12 +147,13 @@ def licensed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cov
         F.first(F.when(sentinel, F.col("about")), ignorenulls=True).alias("about"), F.first("label").alias("label"), F.first("of_grams").alias("of_grams"),
         F.collect_set("t").alias("ts"),
     )
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(along) > gap).cast("int")
-    spans = votes.withColumn("span", F.sum(F.coalesce(apart, F.lit(0))).over(along)).groupBy("row", "template", "span").agg(
-        F.first("about", ignorenulls=True).alias("about"), F.first("label").alias("label"),
-        (F.size(F.array_distinct(F.flatten(F.collect_list("ts")))) / F.greatest(F.first("of_grams"), F.lit(1))).alias("cover"),
-    )
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-drift, drift)
+    strength = F.struct(F.size("ts").alias("n"), (-F.col("diagonal")).alias("d"))
+    anchors = votes.withColumn("near", F.collect_list(F.struct("diagonal", "ts")).over(near)).withColumn("most", F.max(strength).over(near)).where(strength == F.col("most"))
+    places = F.array_sort(F.flatten(F.transform("near", lambda x: F.transform(x["ts"], lambda t: F.struct((t + x["diagonal"]).alias("p"), t.alias("t"))))))
+    # Of the k-grams in the order of the text, those that stand later in the template than all before.
+    rising = F.aggregate(places, F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n")), lambda s, x: F.when(x["t"] > s["last"], F.struct(x["t"].alias("last"), (s["n"] + 1).alias("n"))).otherwise(s))
+    spans = anchors.select("row", "template", "about", "label", (rising["n"] / F.greatest("of_grams", F.lit(1))).alias("cover"))
     good = (F.col("template") >= 0) & (F.col("cover") >= cover)
     out = spans.groupBy("row").agg(
         F.first("about", ignorenulls=True).alias("about"),
@@ -146,9 +192,12 @@ named AS (SELECT r, p, CASE WHEN array_to_string(four, ' ') = 'gnu general publi
 base AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list_sort(list(DISTINCT x)) AS b FROM named WHERE x IS NOT NULL GROUP BY r),
 tpl(template, label, of_grams, t, gram) AS (VALUES {_values()}),
 votes AS (SELECT DISTINCT r, template, label, of_grams, p - t AS d, t FROM places JOIN tpl ON len(four) >= 3 AND array_to_string(four[1:3], ' ') = gram),
-diagonals AS (SELECT r, template, d, d - lag(d) OVER (PARTITION BY r, template ORDER BY d) > {GAP} AS apart FROM (SELECT DISTINCT r, template, d FROM votes)),
-islands AS (SELECT r, template, d, sum(coalesce(apart, false)::INT) OVER (PARTITION BY r, template ORDER BY d) AS span FROM diagonals),
-spans AS (SELECT r, label, count(DISTINCT t) / any_value(of_grams)::DOUBLE AS cover FROM votes JOIN islands USING (r, template, d) GROUP BY r, template, label, span),
+strength AS (SELECT r, template, label, of_grams, d, count(*) * 1000000000 - d AS n FROM votes GROUP BY r, template, label, of_grams, d),
+anchors AS (SELECT r, template, label, of_grams, d AS anchor FROM (
+  SELECT *, max(n) OVER (PARTITION BY r, template ORDER BY d RANGE BETWEEN {DRIFT} PRECEDING AND {DRIFT} FOLLOWING) AS most FROM strength) WHERE n = most),
+rising AS (SELECT a.*, v.t > coalesce(max(v.t) OVER (PARTITION BY a.r, a.template, anchor ORDER BY v.d + v.t, v.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS up
+  FROM anchors a JOIN votes v ON v.r = a.r AND v.template = a.template AND v.d BETWEEN anchor - {DRIFT} AND anchor + {DRIFT}),
+spans AS (SELECT r, label, count(*) FILTER (up) / any_value(of_grams)::DOUBLE AS cover FROM rising GROUP BY r, template, label, anchor),
 own AS (SELECT r, list(DISTINCT label) AS o, max(cover) AS cover FROM spans WHERE cover >= {COVER} GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(b, ','), '') AS base_labels,
