@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memolake.tables import fresh_path, released, staged
 
-__all__ = ["fresh_path", "released", "staged", "table", "int_hash", "input_partitions", "WORD", "UPPER", "LOWER"]
+__all__ = ["fresh_path", "released", "small_batches", "staged", "table", "int_hash", "input_partitions", "WORD", "UPPER", "LOWER"]
 
 #: A word is a run of anything but the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,5 +24,14 @@ def int_hash(text: Column, chars: int = 8) -> Column:
     return F.conv(F.substring(F.md5(text), 1, chars), 16, 10).cast("long")
 
 
+def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, whose texts go to Python in batches of so many rows: Spark's default of 10,000 holds hundreds of MB of long texts
+    in the worker and once more in the executor. It is a setting of the session, as is a smaller one that is already there."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return docs
+
+
 def input_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,8 +5,9 @@ the most frequent ones kept, so the model is bounded. Prediction: a word's scrip
 languages to those that were seen in it; its trigrams score it under each of those; Viterbi with a penalty for
 switching labels the words of a text, and runs of one label are its spans. Distinct words are scored once per worker.
 
-Where no stretch of words gains more than the penalty by another language (a largest-sum test for each language), the
-best path is the best single language and no step-by-step search is needed; this is exact.
+Where no stretch of words gains more than half the penalty by another language (a largest-sum test for each language), the
+best path is the best single language and no step-by-step search is needed. This is exact: a path with j switches has j + 1
+stretches, which gain (j + 1) / 2 penalties at most and cost j.
 
 Defined results: null text, or text without a letter, or nothing to learn from, gives ``und``, score 0 and no spans; rows
 with a null doc_id are not held out and not learned from; repeated rows are predicted alike; an empty table gives no
@@ -16,23 +17,26 @@ rows; other columns don't matter.
 from __future__ import annotations
 
 import bisect
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memolake.llm.common import table
+from memolake.llm.common import small_batches, table
 from memolake.llm.hashing import blocks
 
-#: Bounds of the model: documents per language, trigrams per language, languages.
-SAMPLE, TRIGRAMS, LANGUAGES = 1500, 30_000, 256
+#: Bounds of the model: documents per language, trigrams per language, trigrams of all languages together.
+SAMPLE, TRIGRAMS, ALL_TRIGRAMS = 1500, 30_000, 4_000_000
 SWITCH = 10.0
-KEEP_WORDS = 200_000
+#: Words, and scores of words, that a task keeps.
+KEEP_WORDS, KEEP_SCORES = 200_000, 4_000_000
+#: So many ids are broadcast; more are joined by a shuffle.
+FEW_IDS = 1_000_000
 #: Of a language's words, the share in a script from which on it is a candidate for that script.
 SCRIPT_SHARE = 0.01
 
@@ -46,7 +50,7 @@ SCRIPTS = [
     (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han"), (0x30000, "other"),
 ]
 _STARTS = [a for a, _ in SCRIPTS]
-NOT_LETTERS, NOT_LETTERS_OR_END = re.compile(r"[\W\d_]+"), re.compile(r"[^\w\n]+|[\d_]+")
+NOT_LETTERS, NOT_LETTERS_OR_END = regex.compile(r"[^\p{L}]+"), regex.compile(r"[^\p{L}\n]+")
 
 
 def script_of(letter: str) -> str:
@@ -54,7 +58,7 @@ def script_of(letter: str) -> str:
 
 
 def letters(word: str) -> str:
-    return NOT_LETTERS.sub("", word).lower()
+    return NOT_LETTERS.sub("", word.lower())
 
 
 def code(gram: str) -> int:
@@ -71,20 +75,21 @@ def crc_remainder(doc_id: str, of: int):
 
 
 class Model:
-    """Languages, trigram log probabilities as rows of a matrix, and candidate languages by script."""
+    """Languages, trigram log probabilities as sparse rows, and candidate languages by script."""
 
     def __init__(self, counts: dict, scripts: dict):
         self.languages = sorted(counts)
-        grams = sorted({g for c in counts.values() for g in c}, key=code)
-        row = {g: i for i, g in enumerate(grams)}
-        self.codes = np.array([code(g) for g in grams] or [-1], np.int64)
-        n = np.zeros((len(self.codes) + 1, len(self.languages)))
-        for j, x in enumerate(self.languages):
-            for g, c in counts[x].items():
-                n[row[g], j] = c
-        self.scores = np.log((n + 0.5) / (n.sum(0) + 0.5 * len(n))).astype(np.float32)
-        total = {x: sum(s.values()) or 1 for x, s in scripts.items()}
-        self.allowed = {s: np.array([scripts.get(x, {}).get(s, 0) / total.get(x, 1) >= SCRIPT_SHARE for x in self.languages]) for s in {s for _, s in SCRIPTS}}
+        pairs = np.array([(code(g), j, n) for j, x in enumerate(self.languages) for g, n in counts[x].items()], np.int64).reshape(-1, 3)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        self.codes, first = np.unique(pairs[:, 0], return_index=True)
+        self.first = np.append(first, len(pairs))
+        self.of = pairs[:, 1].astype(np.int32)
+        # A trigram's score is that of an unseen one, and what its count adds.
+        total = np.bincount(self.of, pairs[:, 2], len(self.languages)) + 0.5 * (len(self.codes) + 1)
+        self.unseen = np.log(0.5 / total)
+        self.more = np.log(pairs[:, 2] / 0.5 + 1).astype(np.float32)
+        sums = {x: sum(s.values()) or 1 for x, s in scripts.items()}
+        self.allowed = {s: np.array([scripts.get(x, {}).get(s, 0) / sums.get(x, 1) >= SCRIPT_SHARE for x in self.languages]) for s in {s for _, s in SCRIPTS}}
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A row for each word, 0 for all languages where it has no letter, and the words' numbers of letters. Languages
@@ -101,9 +106,13 @@ class Model:
         codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
         at = np.repeat(starts[full] - (np.cumsum(sizes[full]) - sizes[full]), sizes[full]) + np.arange(sizes.sum())
         codes = codes[at]
-        row = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        row = np.where(self.codes[row] == codes, row, len(self.codes))
-        out[full] = np.add.reduceat(self.scores[row], np.cumsum(sizes[full]) - sizes[full], axis=0)
+        out[full] = sizes[full, None] * self.unseen
+        row = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
+        seen = np.flatnonzero(self.codes[row] == codes) if len(self.codes) else np.zeros(0, np.int64)
+        row, word = row[seen], np.repeat(full, sizes[full])[seen]
+        times = self.first[row + 1] - self.first[row]
+        at = np.repeat(self.first[row] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        out += np.bincount(np.repeat(word, times) * len(self.languages) + self.of[at], self.more[at], out.size).reshape(out.shape)
         script = np.searchsorted(_STARTS, points[starts[full] + 1], "right") - 1
         for i in np.unique(script):
             allowed = self.allowed[SCRIPTS[i][1]]
@@ -114,19 +123,21 @@ class Model:
         return out, sizes
 
 
-def learned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, keep: int = TRIGRAMS, languages: int = LANGUAGES) -> Model:
-    """A model of the most frequent languages, of each at most ``sample`` documents (by hash of the id) and ``keep``
-    trigrams."""
+def learned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, keep: int = TRIGRAMS) -> Model:
+    """A model of all languages that docs name, of each at most ``sample`` documents (by hash of the id) and ``keep``
+    trigrams, fewer where there are so many languages that all would have more than ALL_TRIGRAMS."""
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
     ids = d.select("id", "lang").distinct()
-    most = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    sizes = ids.groupBy("lang").count()
+    many = sizes.count()
     # Of a frequent language only ids of small hash go on to be ranked: about four times as many as are wanted.
     spread = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) * F.col("count")
-    ids = ids.join(F.broadcast(most), "lang").where(spread < F.lit(4 * sample * (1 << 20)))
+    ids = ids.join(F.broadcast(sizes) if many <= FEW_IDS else sizes, "lang").where(spread < F.lit(4 * sample * (1 << 20)))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = ids.withColumn("rank", F.row_number().over(by_hash))
     chosen = ids.where(F.col("rank") <= sample).select(F.col("id"), F.col("lang").alias("of"))
-    d = d.join(F.broadcast(chosen), "id").where("lang = of")  # at most languages * sample ids
+    d = d.join(F.broadcast(chosen) if many * sample <= FEW_IDS else chosen, "id").where("lang = of")  # at most languages * sample ids
+    keep = max(1, min(keep, ALL_TRIGRAMS // max(many, 1)))
     d = d.groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +167,7 @@ def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     best = int(s.sum(0).argmax())
     gain = np.cumsum(s - s[:, [best]], axis=0, dtype=np.float64)
     low = np.minimum.accumulate(np.concatenate((np.zeros((1, k)), gain[:-1])), axis=0)
-    if (gain - low).max() <= switch:
+    if (gain - low).max() <= switch / 2:
         return np.full(n, best)
     # Step by step: stay in a language, or come from the best one at the price of a switch. For a few languages plain
     # numbers are faster than arrays.
@@ -188,7 +199,7 @@ class Labeller:
         self.known, self.rows, self.sizes = {}, np.zeros((0, len(self.model.languages)), np.float32), np.zeros(0, np.int64)
 
     def label(self, texts: list[str]) -> list[tuple]:
-        if len(self.known) > KEEP_WORDS:
+        if len(self.known) > min(KEEP_WORDS, KEEP_SCORES // max(len(self.model.languages), 1)):
             self.clear()
         split = [t.split() for t in texts]
         words = [w for s in split for w in s]
@@ -196,8 +207,9 @@ class Labeller:
         if len(lost := np.flatnonzero(at < 0)):
             new = [*dict.fromkeys(words[i] for i in lost)]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            rows, sizes = self.model.score(new)
-            self.rows, self.sizes = np.concatenate((self.rows, rows)), np.concatenate((self.sizes, sizes))
+            few = max(1, KEEP_SCORES // max(len(self.model.languages), 1))
+            scored = [self.model.score(new[i : i + few]) for i in range(0, len(new), few)]
+            self.rows, self.sizes = (np.concatenate((old, *parts)) for old, parts in zip((self.rows, self.sizes), zip(*scored)))
             at[lost] = [self.known[words[i]] for i in lost]
         out, begin = [], 0
         for s in split:
@@ -213,7 +225,7 @@ class Labeller:
             best = int(share.argmax())
             # How sure: the mean lead per letter over the next best language where the text is in this one.
             own = scores[path == best].sum(0, dtype=np.float64)
-            lead = np.min(np.delete(own[best] - own, best), initial=50.0) / max(share[best], 1)
+            lead = (np.delete(own[best] - own, best).min() if len(own) > 1 else np.inf) / max(share[best], 1)
             sure = 1 / (1 + np.exp(-8 * np.clip(lead, -4, 4)))
             edges = np.flatnonzero(np.diff(path)) + 1
             starts = np.concatenate(([0], edges))
@@ -224,7 +236,7 @@ class Labeller:
 
 def with_language(docs: DataFrame, model: Model, *, text: str = "text", out: str = "language", switch: float = SWITCH) -> DataFrame:
     """docs and a struct of SPANS."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRIGRAMS per language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ALL_TRIGRAMS
 
     @F.pandas_udf(SPANS)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -234,7 +246,7 @@ def with_language(docs: DataFrame, model: Model, *, text: str = "text", out: str
             rows = [r for a, b in blocks(texts) for r in labeller.label(texts[a:b])]
             yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [[{"lang": x, "first_word": a, "n_words": n} for x, a, n in r[2]] for r in rows]})
 
-    return docs.withColumn(out, label(F.col(text)))
+    return small_batches(docs).withColumn(out, label(F.col(text)))
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -97,7 +98,7 @@ def test_licenses(spark, odd, none):
     assert len(rows) == len(TEXTS)
     assert [(r["labels"], r["n_base"], r["first_word"]) for r in rows if r["doc_id"] == 6] == [("mit", 1, 3)]
     assert all(r["labels"] == "" and r["score"] == 0 for r in rows if r["doc_id"] != 6)
-    text = licenses.TEMPLATES[7][1].replace(" and or sell", " and then or sell").upper()
+    text = next(t for x, t in licenses.TEMPLATES if x == "mit" and "hereby" in t).replace(" and or sell", " and then or sell").upper()
     more = spark.createDataFrame([(1, f"before {text} after"), (2, text[: len(text) // 3]), (3, "mit license mit license"), (4, "KGPL")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.licensed(more).collect()}
     assert got[1]["labels"] == "mit" and got[1]["n_base"] == 0 and got[1]["score"] > 0.6
@@ -105,6 +106,17 @@ def test_licenses(spark, odd, none):
     assert licenses.licensed(none).count() == 0
 
 
+def test_license_spans_are_verified(spark):
+    bsd = next(t for x, t in licenses.TEMPLATES if x == "bsd").split()
+    scattered = " filler ".join(" ".join(bsd[i : i + 3]) for i in range(0, len(bsd), 3))
+    apart = " ".join(" ".join(bsd[i : i + 3]) + " x" * 30 for i in range(len(bsd) - 2))
+    backwards = " x ".join(" ".join(bsd[i : i + 3]) for i in range(len(bsd) - 3, -1, -3))
+    edited = " ".join(bsd[:8] + ["also", "now"] + bsd[8:14] + bsd[15:])
+    texts = [scattered, apart, backwards, edited, " ".join(bsd) + " y" * 500 + " " + edited]
+    got = {r["doc_id"]: r for r in licenses.licensed(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(5)] == ["", "", "", "bsd", "bsd"] and got[3]["score"] >= 0.6 and got[4]["score"] == 1
+
+
 @pytest.mark.parametrize("end", ["\u0085", "\u2028", "\u2029"])
 def test_license_places_pass_line_ends(spark, end):
     texts = [f"a{end}b c mit license", f"mit license a{end}b", f"mit license {end} x apache license", f"{end} mit license {end} cc by {end} y"]
@@ -251,14 +263,80 @@ def test_language(spark, odd, none):
     assert {1, 5, 6, 8} <= kept and not {2, 3, 4, 7} & kept
 
 
+def best_path(s, switch):
+    """Step by step, without a shortcut."""
+    v, back = s[0].astype(float), []
+    for row in s[1:]:
+        ways = v[:, None] - switch * (1 - np.eye(len(v)))
+        back.append(ways.argmax(0))
+        v = ways.max(0) + row
+    path = [int(v.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
-    from itertools import product
-
-    for _ in range(60):
-        s = rng.normal(0, 4, (6, 3))
-        value = lambda p: sum(s[t, k] for t, k in enumerate(p)) - 5.0 * sum(a != b for a, b in zip(p, p[1:]))
-        assert abs(value(language.viterbi(s, 5.0)) - max(map(value, product(range(3), repeat=6)))) < 1e-9
+    worth = lambda s, p, x: sum(s[t, k] for t, k in enumerate(p)) - x * sum(a != b for a, b in zip(p, p[1:]))
+    cases = [(rng.normal(0, 4, (n, k)), x) for n, k, x, times in ((6, 3, 5.0, 1500), (6, 3, 10.0, 1500), (25, 4, 10.0, 1000), (1, 2, 5.0, 20)) for _ in range(times)]
+    for s, x in [*cases, (np.array([[0, 9, -10], [0, -10, 9.0]]), 10.0), (np.array([[0, 4, -5], [0, -5, 4.0]]), 5.0)]:
+        assert abs(worth(s, language.viterbi(s, x), x) - worth(s, best_path(s, x), x)) < 1e-9
+
+
+def test_letters_are_unicode_letters(spark):
+    train = spark.createDataFrame([(i, t, x) for i in range(3) for t, x in (("the house", "en"), ("la maison", "fr"))], "doc_id long, text string, lang string")
+    d = spark.createDataFrame([(1, "½²Ⅷ ١٢ _ \u0301"), (2, "½a"), (3, "日本"), (4, "\u2028"), (5, "İ")], "doc_id long, text string")
+    got = {r["doc_id"]: r["language"]["lang_pred"] for r in language.with_language(d, language.learned(train)).collect()}
+    assert [got[i] == "und" for i in range(1, 6)] == [True, False, False, True, False]
+
+
+def test_language_query_against_brute_force(spark):
+    """All columns of the query, by dense tables and the step-by-step search, and accuracy on held-out rows."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").toPandas()
+    letters = lambda w: "".join(c for c in w.lower() if unicodedata.category(c)[0] == "L")
+    grams = lambda w: [f"<{w}>"[i : i + 3] for i in range(len(w))]
+    part = [zlib.crc32(str(d).encode()) % 3 for d in docs.doc_id]
+    counts = {}
+    for d, t, x in {(d, t, x) for d, t, x, p in zip(docs.doc_id, docs.text, docs.lang, part) if p != 1 and t is not None and x is not None}:
+        c = counts.setdefault(x, {})
+        for w in map(letters, t.split()):
+            for g in grams(w):
+                c[g] = c.get(g, 0) + 1
+    names = sorted(counts)
+    assert all(len(c) < language.TRIGRAMS for c in counts.values())
+    every = {g for c in counts.values() for g in c}
+    total = [sum(counts[x].values()) + 0.5 * (len(every) + 1) for x in names]
+    of_word = {}
+
+    def row(w):
+        if w not in of_word:
+            of_word[w] = [sum(np.log((counts[x].get(g, 0) + 0.5) / n) for g in grams(w)) for x, n in zip(names, total)]
+        return of_word[w]
+
+    got = {r["doc_id"]: r for r in language.op6_language_id(spark, sf).collect()}
+    assert sorted(got) == sorted(docs.doc_id)
+    right = held = 0
+    for d, t, x, p in zip(docs.doc_id, docs.text, docs.lang, part):
+        r = got[d]
+        assert r["held_out"] == (p == 1)
+        ws = [letters(w) for w in (t or "").split()]
+        if not any(ws):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        s = np.array([row(w) for w in ws])
+        path = best_path(s, language.SWITCH)
+        share = [sum(len(w) for w, k in zip(ws, path) if k == j) for j in range(len(names))]
+        best = int(np.argmax(share))
+        own = sum(s[i] for i, k in enumerate(path) if k == best)
+        lead = min(min([own[best] - own[j] for j in range(len(names)) if j != best], default=50.0) / share[best], 4)
+        want = share[best] / sum(share) / (1 + np.exp(-8 * max(lead, -4)))
+        assert r["lang_pred"] == names[best] and abs(r["score"] - want) < 1e-3
+        if p == 1 and x is not None:
+            held += 1
+            right += r["lang_pred"] == x
+    assert held > 100 and right >= 0.97 * held
 
 
 def test_lm_base_scores(spark, odd, none):
