@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memolake.llm import hashing
-from memolake.llm.common import released, staged, table
+from memolake.llm.common import released, small_batches, staged, table
 
 #: Cells of the count table; bits of a bitmap at most.
 BITS, MOST_MAP_BITS, SALTS = 22, 1 << 15, 16
@@ -260,7 +260,7 @@ def first_ones(lists: DataFrame, turn: int, percent: int) -> DataFrame:
 def clustered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, key, n_shingles, root, component_id), one row for each row of docs; key: a hash of the text, root: a number of
     the component, null without shingles."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     all_rows = staged(described(docs, shingle_counts(docs, words), words, percent), "described")
     shared = staged(shared_lists(all_rows), "lists")
     lists = staged(promising(shared, percent), "lists")
