@@ -34,10 +34,14 @@ def degrees(ids: DataFrame, e: DataFrame) -> DataFrame:
     return ids.join(ends, "doc_id", "left").select("doc_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def link_cards(ids: DataFrame, e: DataFrame) -> DataFrame:
-    out = e.groupBy(F.col("src").alias("doc_id")).agg(F.concat_ws(",", F.array_sort(F.collect_set("dst"))).alias("outgoing"))
-    into = e.groupBy(F.col("dst").alias("doc_id")).agg(F.concat_ws(",", F.array_sort(F.collect_set("src"))).alias("incoming"))
-    return ids.join(out, "doc_id", "left").join(into, "doc_id", "left").select("doc_id", F.coalesce("outgoing", F.lit("")).alias("outgoing"), F.coalesce("incoming", F.lit("")).alias("incoming"))
+def link_cards(ids: DataFrame, e: DataFrame, lost: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, side, name): a document's card, one row for each link: outgoing and incoming, by the names (doc_id, name) of the
+    other end, and dangling targets (src_id, dst_name). Rows, not arrays, so a page of many links is no large value."""
+    name = lambda c: names.groupBy(F.col("doc_id").alias(c)).agg(F.min("name").alias("name"))
+    out = e.join(name("dst"), "dst").select(F.col("src").alias("doc_id"), F.lit("outgoing").alias("side"), "name")
+    into = e.join(name("src"), "src").select(F.col("dst").alias("doc_id"), F.lit("incoming").alias("side"), "name")
+    gone = lost.select(F.col("src_id").alias("doc_id"), F.lit("dangling").alias("side"), F.col("dst_name").alias("name"))
+    return out.union(into).union(gone).distinct().join(ids, "doc_id", "left_semi")
 
 
 def components(ids: DataFrame, e: DataFrame) -> DataFrame:
@@ -87,3 +91,30 @@ def link_suggestions(posted: DataFrame, term_df: DataFrame, e: DataFrame, least:
     linked = both_ways(e).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     p = shared_rare(posted, term_df).where(F.col("shared") >= least).join(linked, ["a", "b"], "left_anti")
     return p.orderBy(F.desc("shared"), "a", "b").limit(most)
+
+
+def sectors(docs: DataFrame, e: DataFrame) -> DataFrame:
+    """(doc_id, sector) of docs (doc_id, path, kind, name, source): the folder after ``domains/``, else itself if it is a project,
+    else the first linked project by name, else its source."""
+    projects = docs.where("kind = 'project'").select(F.col("doc_id").alias("dst"), F.col("name").alias("project"))
+    near = both_ways(e).join(projects, "dst").groupBy(F.col("src").alias("doc_id")).agg(F.min("project").alias("project"))
+    domain = F.regexp_extract("path", "domains/([^/]+)", 1)
+    return docs.join(near, "doc_id", "left").select("doc_id", F.when(domain != "", domain).when(F.col("kind") == "project", F.col("name")).otherwise(F.coalesce("project", "source")).alias("sector"))
+
+
+def split_dangling(lost: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """(src_id, dst_name, near): dangling links with the first names that hold the target or stand in it; none means that the
+    document is missing rather than misspelt."""
+    from memolake.operators.lexical import FEW, cuts
+    from memolake.tables import little
+
+    t = lost.select("dst_name").distinct()
+    n = names.select("name").distinct()
+    cut = lambda d, c: d.withColumn("cut", F.explode(cuts(F.col(c))))
+    head = lambda d, c: d.withColumn("cut", F.substring(c, 1, 3))
+    holds = cut(n, "name").join(little(head(t, "dst_name"), FEW), "cut").where(F.contains("name", "dst_name"))
+    inside = cut(t, "dst_name").join(head(n.where(F.length("name") >= 2), "name"), "cut").where(F.contains("dst_name", "name"))
+    near = holds.select("dst_name", "name").union(inside.select("dst_name", "name")).distinct()
+    place = F.row_number().over(Window.partitionBy("dst_name").orderBy("name"))
+    some = near.withColumn("_r", place).where(F.col("_r") <= most).groupBy("dst_name").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("near"))
+    return lost.join(some, "dst_name", "left").select("src_id", "dst_name", F.coalesce("near", F.lit("")).alias("near"))

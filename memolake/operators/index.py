@@ -128,14 +128,47 @@ def unique_aliases(docs: DataFrame, alias: Column) -> DataFrame:
 def kind_prefixes(docs: DataFrame) -> DataFrame:
     """(kind, prefix) with which a document's name of that kind begins."""
     made = docs.select("kind", "name", F.explode(F.array(F.concat("kind", F.lit("_")), F.concat("kind", F.lit("-")))).alias("prefix"))
-    return made.where(F.col("name").startswith(F.col("prefix"))).select("kind", "prefix").distinct()
+    return made.where((F.col("kind") != "") & F.col("name").startswith(F.col("prefix"))).select("kind", "prefix").distinct()
+
+
+def kind_aliases(docs: DataFrame, declared: DataFrame) -> DataFrame:
+    """(alias, doc_id): names without their longest learned prefix, and declared short names (alias, target, doc_id) with the
+    target's prefix put before them; those that two documents would have, or one is named, are left out."""
+    prefixes = kind_prefixes(docs).select("prefix").distinct()
+    lead = docs.select("doc_id", "name", F.explode(F.filter(F.array(F.regexp_extract("name", "^([^_]*_)", 1), F.regexp_extract("name", "^([^-]*-)", 1), F.regexp_extract("name", "^(.*?_)", 1)), lambda p: p != "")).alias("prefix"))
+    longest = lead.join(prefixes, "prefix").groupBy("doc_id", "name").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    bare = longest.select(F.substring("name", F.length("prefix") + 1, F.lit(1 << 20)).alias("alias"), "doc_id")
+    with_prefix = declared.join(longest.select(F.col("name").alias("target"), "prefix"), "target").select(F.concat("prefix", "alias").alias("alias"), "doc_id")
+    every = bare.union(with_prefix).where("alias <> ''").distinct()
+    one = every.groupBy("alias").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return one.join(docs.select(F.col("name").alias("alias")), "alias", "left_anti").select("alias", "doc_id")
 
 
-def name_map(docs: DataFrame, aliases: DataFrame, declared: DataFrame) -> DataFrame:
-    """(name, doc_id): names, then aliases, then declared ones that shadow no name."""
+def name_map(docs: DataFrame, aliases: DataFrame, declared: DataFrame, by_kind: DataFrame | None = None) -> DataFrame:
+    """(name, doc_id): names and aliases, then declared aliases and those by kind that shadow no name."""
     names = docs.select("name", "doc_id")
-    shadowed = declared.select(F.col("alias").alias("name"), "doc_id").join(names.select("name"), "name", "left_anti")
-    return names.unionByName(aliases.select(F.col("alias").alias("name"), "doc_id")).unionByName(shadowed).distinct()
+    more = declared.select(F.col("alias").alias("name"), "doc_id")
+    if by_kind is not None:
+        more = more.unionByName(by_kind.select(F.col("alias").alias("name"), "doc_id"))
+    shadowing = more.join(names.select("name"), "name", "left_anti")
+    return names.unionByName(aliases.select(F.col("alias").alias("name"), "doc_id")).unionByName(shadowing).distinct()
+
+
+def resolved_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, doc_id): the smallest document that a name stands for."""
+    return asked.select("name").distinct().join(names, "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+
+
+def retained_feedback(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """docs (path, identity, ..) with the weight that was kept for the same path and identity, else 1."""
+    return docs.join(kept.select("path", "identity", F.col("weight").alias("_kept")), ["path", "identity"], "left").select(*docs.columns, F.coalesce("_kept", F.lit(1.0)).alias("weight"))
+
+
+def corpus_languages(shares: DataFrame, least: float = 5.0) -> DataFrame:
+    """(language, share) of the languages a corpus is written in: those at the bar, else the best one."""
+    top = shares.agg(F.max(F.struct("share", F.lit(1).alias("_"), "language")).alias("t"))
+    d = shares.crossJoin(F.broadcast(top))  # one row
+    return d.where((F.col("share") >= least) | ((F.col("t.share") < least) & (F.col("language") == F.col("t.language")))).select("language", "share")
 
 
 def language_shares(posted: DataFrame, markers: DataFrame, n_docs: DataFrame) -> DataFrame:

@@ -7,19 +7,128 @@ from pyspark.sql import functions as F
 
 
 def corpus_synonyms(posted: DataFrame, term_df: DataFrame, n_docs: DataFrame, src_df: tuple[int, int] = (3, 60), least: int = 3, share: float = 0.6, lift: float = 8.0, dst_share: float = 0.08) -> DataFrame:
-    """(src, dst, seen): words that stand by a topic word far more often than elsewhere. Bounds on the frequency of both
-    sides come before the self-join: a source word has at most src_df[1] documents."""
+    """(src, dst, seen): words that stand by a topic word far more often than elsewhere.
+
+    A word that stands in the wanted share of a source word's documents is missing in few of them. So if those documents are
+    put in order, it stands in one of the first ones, as many as may lack it and one more: only there are words paired, and
+    the pairs then counted over all documents of the source word. A document of many words is met only by source words of
+    which it is one of the first.
+    """
     t = term_df.crossJoin(F.broadcast(n_docs))  # one row
     src = t.where(F.col("df").between(*src_df)).select(F.col("term").alias("src"), F.col("df").alias("src_df"))
-    dst = t.where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n_docs") * dst_share)))).select(F.col("term").alias("dst"), F.col("df").alias("dst_df"), "n_docs")
-    left = posted.select("doc_id", F.col("term").alias("src")).join(src, "src")
+    dst = t.where((F.col("df") >= least) & (F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n_docs") * dst_share)))).select(F.col("term").alias("dst"), F.col("df").alias("dst_df"), "n_docs")
+    size = posted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
+    left = posted.select("doc_id", F.col("term").alias("src")).join(src, "src").join(size, "doc_id")
+    wanted = F.greatest(F.lit(float(least)), F.col("src_df") * share)
+    # The documents with the fewest words come first.
+    left = left.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("words", "doc_id"))).withColumn("first", F.col("place") <= F.col("src_df") - F.ceil(wanted) + 1)
     right = posted.select("doc_id", F.col("term").alias("dst")).join(dst, "dst")
-    # A word that stands in the wanted share of a source word's documents has at least so many documents itself.
-    met = left.join(right, "doc_id").where((F.col("src") != F.col("dst")) & (F.col("dst_df") >= F.greatest(F.lit(float(least)), F.col("src_df") * share)))
-    pairs = met.groupBy("src", "dst", "src_df", "dst_df", "n_docs").agg(F.count(F.lit(1)).alias("seen"))
+    fits = (F.col("src") != F.col("dst")) & (F.col("dst_df") >= wanted) & (F.col("dst_df") <= F.col("n_docs") / lift)
+    apart = ~F.contains("dst", "src") & ~F.contains("src", "dst")
+    pairs = left.where("first").join(right, "doc_id").where(fits & apart).select("src", "dst", "src_df", "dst_df", "n_docs").distinct()
+    # Each pair is counted over the source word's documents, of which there are src_df[1] at most.
+    held = pairs.join(left.select("src", "doc_id"), "src").join(posted.select("doc_id", F.col("term").alias("dst")), ["doc_id", "dst"])
+    counted = held.groupBy("src", "dst", "src_df", "dst_df", "n_docs").agg(F.count(F.lit(1)).alias("seen"))
     p = F.col("seen") / F.col("src_df")
-    kept = pairs.where((F.col("seen") >= least) & (p >= share) & (p / (F.col("dst_df") / F.col("n_docs")) >= lift))
-    return kept.where(~F.contains("dst", "src") & ~F.contains("src", "dst")).select("src", "dst", "seen")
+    return counted.where((F.col("seen") >= least) & (p >= share) & (p / (F.col("dst_df") / F.col("n_docs")) >= lift)).select("src", "dst", "seen")
+
+
+#: Words of one script in which words change their endings.
+ENDS = "(?:하다|하는|한다|했다|된다|되는|으로|에서|에게|까지|부터|이다|인지|는지)$"
+
+
+def anchors(queries: DataFrame, term_df: DataFrame, least: int = 2) -> DataFrame:
+    """(qid, anchor): the word that tells most of a query (qid, word): identifiers before words of Hangul, those before inflected
+    ones, the rarest first; words of fewer documents can't be one."""
+    tier = F.when(F.col("word").rlike("^[가-힣]"), F.when(F.col("word").rlike(ENDS), 2).otherwise(1)).otherwise(0)
+    d = queries.join(term_df, queries["word"] == term_df["term"]).where(F.col("df") >= least)
+    return d.groupBy("qid").agg(F.min(F.struct(tier.alias("tier"), "df", "word")).alias("a")).select("qid", F.col("a.word").alias("anchor"))
+
+
+def observed_synonyms(queries: DataFrame, additions: DataFrame, posted: DataFrame, term_df: DataFrame, n_docs: int, least: int = 3, share: float = 0.25) -> DataFrame:
+    """(src, dst, seen): a query's anchor with each word that was added to it (qid, word): by a person's expansion, or of a document
+    that meaning found. The word is none of the query's own, is known, not too common, and meets the anchor in documents
+    enough; queries count."""
+    own = queries.select("qid", "word").distinct()
+    usable = term_df.where(F.col("df").between(2, max(3, int(n_docs * share))) & (F.length("term") >= 2)).select(F.col("term").alias("word"))
+    a = anchors(own, term_df)
+    pairs = additions.select("qid", "word").distinct().join(own, ["qid", "word"], "left_anti").join(usable, "word").join(a, "qid").select("qid", F.col("anchor").alias("src"), F.col("word").alias("dst"))
+    each = pairs.select("src", "dst").distinct()
+    by_src = each.join(posted.select(F.col("term").alias("src"), "doc_id"), "src")
+    met = by_src.join(posted.select(F.col("term").alias("dst"), "doc_id"), ["dst", "doc_id"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
+    return pairs.join(met, ["src", "dst"]).groupBy("src", "dst").agg(F.countDistinct("qid").alias("seen"))
+
+
+def merged_lexicon(parts: list[DataFrame]) -> DataFrame:
+    """(src, dst, seen): lexicons as one, counts of a pair by the highest."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("src", "dst").agg(F.max("seen").alias("seen"))
+
+
+def lexicon_drift(now: DataFrame, decided: int, limit: float = 0.4) -> DataFrame:
+    """One row (pairs, sources, stale): a lexicon's size, and whether it has grown past the limit since a decision."""
+    return now.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("src").alias("sources")).withColumn("stale", F.col("pairs") > decided * (1 + limit))
+
+
+def bridge_decision(runs: DataFrame) -> DataFrame:
+    """One row (setting, hits, fires, on) of attached rows per setting (setting, size, qid, positive, hit), setting 0 without a bridge:
+    the setting with the most gold hits, then the fewest fires, then the smallest; on if it has more hits than without, and
+    no more false fires."""
+    s = runs.groupBy("setting", "size").agg(F.countDistinct(F.when(F.col("positive") & F.col("hit"), F.col("qid"))).alias("hits"), F.countDistinct(F.when(~F.col("positive"), F.col("qid"))).alias("fires"))
+    off = s.where("setting = 0").select(F.col("hits").alias("h0"), F.col("fires").alias("f0"))
+    best = s.where("setting <> 0").crossJoin(F.broadcast(off)).where("hits > h0 and fires <= f0")  # one row
+    one = best.agg(F.min(F.struct((-F.col("hits")).alias("h"), "fires", "size", "setting")).alias("b"))
+    return one.select(F.coalesce("b.setting", F.lit(0)).alias("setting"), (-F.col("b.h")).alias("hits"), F.col("b.fires").alias("fires"), F.col("b").isNotNull().alias("on"))
+
+
+def policy_choice(observations: DataFrame, arms: list[str], incumbent: str, alpha: float = 0.05) -> DataFrame:
+    """One row (arm, observations, decision): which policy to serve, of observations (id, session, scores: map of arm to 0 or 1,
+    costs: map of arm to seconds).
+
+    The first observation of each session counts. By id, the earlier half chooses and the later one confirms: an arm wins a
+    half if it gains, never loses, and 2^-gains is within the level shared by all alternatives; of those the one with the
+    most hits is confirmed, if the 95th percentile of its cost stays within 1.1 times the incumbent's.
+    """
+    first = observations.groupBy("session").agg(F.min_by(F.struct("id", "scores", "costs"), "id").alias("o")).select("o.*")
+    ids = first.select("id")
+    n = first.count()
+    cut = ids.orderBy("id").limit(n // 2).agg(F.max("id").alias("cut"))
+    halves = first.crossJoin(F.broadcast(cut)).withColumn("train", F.coalesce(F.col("id") <= F.col("cut"), F.lit(False)))  # one row
+    others = [a for a in arms if a != incumbent]
+    each = halves.select("train", "scores", "costs", F.explode(F.array(*map(F.lit, others))).alias("arm"))
+    mine, old = F.element_at("scores", F.col("arm")), F.element_at("scores", F.lit(incumbent))
+    won = each.groupBy("arm", "train").agg(F.count(F.when(mine > old, 1)).alias("gains"), F.count(F.when(mine < old, 1)).alias("losses"), F.sum(mine).alias("hits"))
+    good = (F.col("losses") == 0) & (F.col("gains") > 0) & (F.pow(F.lit(2.0), -F.col("gains")) <= alpha / max(len(others), 1))
+    won = won.withColumn("won", good)
+    best = won.where("train and won").agg(F.min(F.struct((-F.col("hits")).alias("h"), "arm")).alias("b")).select(F.col("b.arm").alias("arm"))
+    sure = best.join(won.where("not train and won").select("arm"), "arm")
+    at = max(0, -(-95 * (n - n // 2) // 100) - 1)
+    cost = lambda a: halves.where("not train").select(F.element_at("costs", a).alias("c"))
+    chosen = sure.first()  # one row at most
+    arm, decision = incumbent, "retained" if n >= 2 else "insufficient"
+    if chosen and n >= 2:
+        place = lambda d: d.orderBy("c").limit(at + 1).agg(F.max("c")).first()[0]
+        if place(cost(F.lit(chosen["arm"]))) <= 1.1 * place(cost(F.lit(incumbent))):
+            arm, decision = chosen["arm"], "changed"
+    return observations.sparkSession.createDataFrame([(arm, n, decision)], "arm string, observations long, decision string")
+
+
+def observation_counts(observations: DataFrame, signature: str) -> DataFrame:
+    """(status, n) of policy observations (identity, measured, edited, exposed): other (of another signature), excluded, measured or
+    pending."""
+    status = F.when(~F.col("identity").startswith(signature), "other").when((F.col("measured") < 0) | F.col("edited") | F.col("exposed"), "excluded").when(F.col("measured") == 1, "measured").otherwise("pending")
+    return observations.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def certified(support: DataFrame, observations: DataFrame, docs: DataFrame, current: DataFrame) -> DataFrame:
+    """(policy, certified) of support (policy, id): each supporting observation (id, path, sha, measured, settled, edited, exposed)
+    still names a current document (docs: path, sha, doc_id) with that content, and is measured, settled, unedited and
+    unexposed."""
+    good = observations.where("measured = 1 and settled and not edited and not exposed").join(docs.select("path", "sha", "doc_id"), ["path", "sha"]).join(current.select("doc_id"), "doc_id", "left_semi").select("id").distinct()
+    d = support.join(good.withColumn("good", F.lit(True)), "id", "left")
+    return d.groupBy("policy").agg((F.count(F.lit(1)) == F.count("good")).alias("certified"))
 
 
 def bridge(queries: DataFrame, lexicon: DataFrame, least: int = 2, per_word: int = 3, most: int = 8) -> DataFrame:

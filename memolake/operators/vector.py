@@ -89,6 +89,12 @@ def agreed(words: DataFrame, meaning: DataFrame, k: int, floor: float) -> DataFr
 
 def gate(controls: DataFrame, allow: int = 0, margin: float = 0.01) -> DataFrame:
     """One row: the highest first-hit ratio of the control queries but for ``allow`` of them, plus a margin."""
-    place = Window.partitionBy(F.lit(0)).orderBy(F.desc("ratio"), "qid")
-    first = controls.where("rank = 1").select("qid", "ratio")
-    return first.withColumn("n", F.row_number().over(place)).where(F.col("n") == allow + 1).select((F.col("ratio") + margin).alias("floor"))
+    first = controls.where("rank = 1").select("qid", "ratio").orderBy(F.desc("ratio"), "qid").limit(allow + 1)
+    return first.agg(F.count(F.lit(1)).alias("n"), F.min("ratio").alias("ratio")).where(F.col("n") == allow + 1).select((F.col("ratio") + margin).alias("floor"))
+
+
+def kept_positives(results: DataFrame, gold: DataFrame, floor: DataFrame) -> DataFrame:
+    """One row (queries, top_1, top_3): positive queries of whose gold a row at or above the gate is first, or in the first three."""
+    met = results.join(gold, ["qid", "doc_id"]).crossJoin(F.broadcast(floor)).where("ratio >= floor")  # one row
+    best = gold.select("qid").distinct().join(met.groupBy("qid").agg(F.min("rank").alias("rank")), "qid", "left")
+    return best.agg(F.count(F.lit(1)).alias("queries"), F.count(F.when(F.col("rank") == 1, 1)).alias("top_1"), F.count(F.when(F.col("rank") <= 3, 1)).alias("top_3"))

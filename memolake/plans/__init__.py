@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _parts() -> list:
-    from memolake.plans import analytics, facts, notebook, notes, retrieval
+    from memolake.plans import analytics, facts, measures, notebook, notes, retrieval
 
-    return [retrieval, analytics, facts, notes, notebook]
+    return [retrieval, analytics, facts, notes, notebook, measures]
 
 
 def queries() -> dict:

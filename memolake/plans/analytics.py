@@ -170,12 +170,6 @@ def g2_neighbours(spark, sf_dir):
     return graph.both_ways(page_graph(spark, sf_dir)[3])
 
 
-@query(f"WITH {GRAPH} SELECT i.doc_id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = i.doc_id), '') AS outgoing, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM e WHERE dst = i.doc_id), '') AS incoming FROM ids i")
-def g3_link_cards(spark, sf_dir):
-    _, _, ids, e = page_graph(spark, sf_dir)
-    return graph.link_cards(ids, e)
-
-
 @query(f"WITH {GRAPH} SELECT src_id, dst_name FROM h WHERE dst_name NOT IN (SELECT name FROM names)")
 def g4_dangling(spark, sf_dir):
     links, names, _, _ = page_graph(spark, sf_dir)
@@ -252,12 +246,6 @@ def u7_timeline(spark, sf_dir):
     return rows.crossJoin(F.broadcast(end)).where("ts >= end - INTERVAL 2 DAY and ts <= end").drop("end")  # one row
 
 
-@query(r"""SELECT lower(trim(regexp_replace(array_to_string(string_split(text, ' ')[1:1], ' '), '\s+', ' ', 'g'))) AS question, count(*) AS times, count(DISTINCT conv_id) AS askers FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 2""")
-def u8_repeated_questions(spark, sf_dir):
-    c = corpus.table(spark, sf_dir, "conversations").where("role = 'user'")
-    return usage.repeated_questions(c.select(F.split_part("text", F.lit(" "), F.lit(1)).alias("text"), F.col("conv_id").alias("asker")))
-
-
 DAYS = """days AS (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors,
   count(DISTINCT user_id) FILTER (event_type = 'purchase') AS buyers, round(count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type = 'view'), 0)::DOUBLE, 6) AS purchase_rate FROM events GROUP BY 1)"""
 

@@ -26,7 +26,8 @@ def text(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-I = F.col("doc_id")
+def doc_id():
+    return F.col("doc_id")
 
 
 @query("""SELECT '/' || source || '/doc_' || doc_id || '.md' AS path, CASE WHEN source = 'src0' THEN '' ELSE source || ':' END || 'doc_' || doc_id AS name,
@@ -34,9 +35,9 @@ I = F.col("doc_id")
   coalesce(lang, '') AS kind, CASE WHEN doc_id % 2 = 0 THEN repeat('p', 128) ELSE '' END AS project_id FROM documents WHERE source IS NOT NULL""")
 def p2_note_rows(spark, sf_dir):
     d = corpus.table(spark, sf_dir, "documents").where("source is not null")
-    front = text("---\n", F.when(I % 3 == 0, text("title: 'note ", I, "'\n")).otherwise(""), "type: ", F.coalesce("lang", F.lit("")), "\n", F.when(I % 2 == 0, text("project_id: ", F.repeat(F.lit("p"), 200), "\n")).otherwise(""), "---\n")
-    raw = text(front, F.when(I % 3 == 2, "").otherwise(text("# Head ", I, "\n")), F.regexp_replace("text", "(?m)^#", "-"))
-    rel = text("doc_", I, ".md")
+    front = text("---\n", F.when(doc_id() % 3 == 0, text("title: 'note ", doc_id(), "'\n")).otherwise(""), "type: ", F.coalesce("lang", F.lit("")), "\n", F.when(doc_id() % 2 == 0, text("project_id: ", F.repeat(F.lit("p"), 200), "\n")).otherwise(""), "---\n")
+    raw = text(front, F.when(doc_id() % 3 == 2, "").otherwise(text("# Head ", doc_id(), "\n")), F.regexp_replace("text", "(?m)^#", "-"))
+    rel = text("doc_", doc_id(), ".md")
     files = d.select("source", text("/", F.col("source"), "/", rel).alias("path"), rel.alias("rel"), raw.alias("raw"))
     return parse.note_rows(files, "src0").select("path", "name", "title", "kind", "project_id")
 
@@ -45,32 +46,32 @@ def p2_note_rows(spark, sf_dir):
 UNION ALL SELECT '/n/a/doc_' || i || '.md', 'path', '/n/b/x' || i || '.md' FROM d UNION ALL SELECT '/n/a/doc_' || i || '.md', 'path', '/abs/y.md' FROM d""")
 def p3_note_links(spark, sf_dir):
     d = corpus.table(spark, sf_dir, "documents")
-    raw = text("[[doc_", I + 1, "|label]] and [[doc_", I, "]] `[[span]]` [[ two words #part]] [[doc_", I + 1, ".MD]]\n```\n[[fence]] [f](no.md)\n```\n[x](../b/./x", I, ".md) [w](https://w/z.md) [y](/abs//q/../y.md)")
-    return parse.links(d.select(text("/n/a/doc_", I, ".md").alias("path"), text("doc_", I).alias("name"), raw.alias("raw")))
+    raw = text("[[doc_", doc_id() + 1, "|label]] and [[doc_", doc_id(), "]] `[[span]]` [[ two words #part]] [[doc_", doc_id() + 1, ".MD]]\n```\n[[fence]] [f](no.md)\n```\n[x](../b/./x", doc_id(), ".md) [w](https://w/z.md) [y](/abs//q/../y.md)")
+    return parse.links(d.select(text("/n/a/doc_", doc_id(), ".md").alias("path"), text("doc_", doc_id()).alias("name"), raw.alias("raw")))
 
 
 @query("""SELECT 'doc_' || doc_id AS path, 'short_' || doc_id AS alias, 'lesson_' || (doc_id % 9) AS target FROM documents""")
 def p4_declared_aliases(spark, sf_dir):
-    raw = text("[short_", I, "](a/lesson_", I % 9, ".md) [Not An Id](b.md) [same-name](x/same-name.md) [abc](d.md) `[span_id](e.md)` [web_id](http://x/y.md)")
-    return parse.declared_aliases(corpus.table(spark, sf_dir, "documents").select(text("doc_", I).alias("path"), raw.alias("raw")))
+    raw = text("[short_", doc_id(), "](a/lesson_", doc_id() % 9, ".md) [Not An Id](b.md) [same-name](x/same-name.md) [abc](d.md) `[span_id](e.md)` [web_id](http://x/y.md)")
+    return parse.declared_aliases(corpus.table(spark, sf_dir, "documents").select(text("doc_", doc_id()).alias("path"), raw.alias("raw")))
 
 
 @query("""SELECT doc_id, 'go on with ' || doc_id AS phrase FROM documents UNION ALL SELECT doc_id, 'it''s over' FROM documents""")
 def p6_triggers(spark, sf_dir):
-    d = corpus.table(spark, sf_dir, "documents").withColumn("m", F.create_map(F.lit("triggers"), text('["Go  on WITH ', I, '", "abc", "it\'s over"]')))
+    d = corpus.table(spark, sf_dir, "documents").withColumn("m", F.create_map(F.lit("triggers"), text('["Go  on WITH ', doc_id(), '", "abc", "it\'s over"]')))
     return d.select("doc_id", F.explode(parse.declared_triggers(F.col("m"))).alias("phrase"))
 
 
 @query("""SELECT doc_id FROM documents WHERE source IN ('src0', 'src2') AND doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
 def p11_exportable(spark, sf_dir):
-    d = corpus.documents(spark, sf_dir).withColumn("meta", F.when(I % 5 == 0, F.create_map(F.lit("embed"), F.lit("False"))).otherwise(F.create_map(F.lit("a"), F.lit("b"))))
-    now = d.where(I % 11 != 0).select("doc_id", F.when(I % 7 == 0, "other").otherwise(F.col("sha")).alias("sha")).union(d.where(I % 11 == 0).select("doc_id", F.when(I % 7 == 0, "other").otherwise(F.col("sha"))))
+    d = corpus.documents(spark, sf_dir).withColumn("meta", F.when(doc_id() % 5 == 0, F.create_map(F.lit("embed"), F.lit("False"))).otherwise(F.create_map(F.lit("a"), F.lit("b"))))
+    now = d.where(doc_id() % 11 != 0).select("doc_id", F.when(doc_id() % 7 == 0, "other").otherwise(F.col("sha")).alias("sha")).union(d.where(doc_id() % 11 == 0).select("doc_id", F.when(doc_id() % 7 == 0, "other").otherwise(F.col("sha"))))
     return parse.exportable(d.where("sha is not null"), ["src0", "src2"], now).select("doc_id")
 
 
 def index_files(spark, sf_dir):
-    raw = text("- lead [a](x/doc_", I, ".md)\n\n## Standing <!-- note: directives -->\n- when ", I, " [l](doc_", I + 1, ".md)\n  more [m](b/doc_", I + 1, ".md) [k](doc_", I + 2, ".md)\n- never `if` this\nstill it\n\nloose\n## Work <!-- note: progress -->\n* done ads#", 100 + I % 50, "\n## Other\n- plain")
-    return corpus.table(spark, sf_dir, "documents").select(text("f", I).alias("path"), raw.alias("raw"))
+    raw = text("- lead [a](x/doc_", doc_id(), ".md)\n\n## Standing <!-- note: directives -->\n- when ", doc_id(), " [l](doc_", doc_id() + 1, ".md)\n  more [m](b/doc_", doc_id() + 1, ".md) [k](doc_", doc_id() + 2, ".md)\n- never `if` this\nstill it\n\nloose\n## Work <!-- note: progress -->\n* done ads#", 100 + doc_id() % 50, "\n## Other\n- plain")
+    return corpus.table(spark, sf_dir, "documents").select(text("f", doc_id()).alias("path"), raw.alias("raw"))
 
 
 ITEMS = """items AS (SELECT 'f' || i AS path, line, section, role, golds FROM (SELECT doc_id AS i FROM documents), LATERAL (SELECT * FROM (VALUES
@@ -91,7 +92,7 @@ def p13_by_condition(spark, sf_dir):
 @query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'fields' WHEN 1 THEN 'topic' WHEN 2 THEN 'status' WHEN 3 THEN 'order' WHEN 4 THEN 'replacement' WHEN 5 THEN 'valid_from' WHEN 6 THEN 'legacy' END AS issue FROM documents""")
 def c1_declared(spark, sf_dir):
     bad = ['"odd": 1, "topic": "t"', '"topic": " t"', '"topic": "t", "status": "gone"', '"topic": "t", "valid_from": "2024-02-01", "valid_to": "2024-02-01T00:00:00Z"', '"topic": "t", "supersedes": ["x"]', '"topic": "t", "valid_from": "2024-02-01T10:00:00"', '"topic": "t", "legacy_whole_record_sha": {"x": "0"}', '"topic": "t", "valid_from": "2024-02-01", "evidence": ["e"], "supersedes": ["x"], "change_reason": "r"']
-    raw = F.concat(F.lit('{"facet": "f", '), F.element_at(F.array(*map(F.lit, bad)), (I % 8 + 1).cast("int")), F.lit("}"))
+    raw = F.concat(F.lit('{"facet": "f", '), F.element_at(F.array(*map(F.lit, bad)), (doc_id() % 8 + 1).cast("int")), F.lit("}"))
     d = corpus.table(spark, sf_dir, "documents").withColumn("raw", raw)
     return d.select("doc_id", records.declared(F.col("raw"))[1].alias("issue"))
 
@@ -215,14 +216,14 @@ def c11_competing(spark, sf_dir):
 @query("""WITH d AS (SELECT doc_id AS i FROM documents) SELECT i AS item, CASE WHEN i % 3 = 0 THEN 'doc' || (i + 7) || '.md' ELSE 'ads#12345,doc' || (i + 7) || '.md' END AS missing FROM d""")
 def c13_missing_facts(spark, sf_dir):
     d = corpus.table(spark, sf_dir, "documents")
-    items = d.select(I.alias("item"), F.array(F.lit("ads#12345"), text("doc", I + 7, ".md"), text("file", I, ".md")).alias("facts"), F.array(text("n", I), text("m", I)).alias("golds"))
-    docs = d.select(text("n", I).alias("name"), text("about file", I, ".md").alias("text")).union(d.where(I % 3 == 0).select(text("m", I), F.lit("pull ads#12345")))
+    items = d.select(doc_id().alias("item"), F.array(F.lit("ads#12345"), text("doc", doc_id() + 7, ".md"), text("file", doc_id(), ".md")).alias("facts"), F.array(text("n", doc_id()), text("m", doc_id())).alias("golds"))
+    docs = d.select(text("n", doc_id()).alias("name"), text("about file", doc_id(), ".md").alias("text")).union(d.where(doc_id() % 3 == 0).select(text("m", doc_id()), F.lit("pull ads#12345")))
     return records.missing_facts(items, docs).select("item", F.concat_ws(",", "missing").alias("missing"))
 
 
 @query("""SELECT doc_id AS item, CASE WHEN doc_id % 10 = 0 OR doc_id % 10 = 1 AND doc_id % 4 = 1 THEN 'directive-kept' WHEN doc_id % 10 = 2 THEN 'no-link' WHEN doc_id % 6 IN (0, 1) THEN 'at-risk' WHEN doc_id % 6 = 2 THEN 'safe' WHEN doc_id % 6 = 3 THEN 'if-asked' ELSE 'needs-terms' END AS verdict FROM documents""")
 def c14_item_verdicts(spark, sf_dir):
-    d = corpus.table(spark, sf_dir, "documents").select(I.alias("item"))
+    d = corpus.table(spark, sf_dir, "documents").select(doc_id().alias("item"))
     i = F.col("item")
     role = F.when(i % 10 == 0, "directives").when(i % 10 == 1, "").otherwise("progress")
     items = d.select("item", role.alias("role"), F.when(i % 10 == 2, F.array().cast("array<string>")).otherwise(F.array(text("g", i))).alias("golds"))
@@ -234,7 +235,7 @@ def c14_item_verdicts(spark, sf_dir):
 
 @query("""SELECT doc_id AS item, CASE WHEN doc_id % 4 <> 3 AND doc_id % 5 = 0 THEN 'behaviour' WHEN doc_id % 7 = 0 THEN 'topic' WHEN doc_id % 4 = 3 THEN 'undecidable' ELSE 'core' END AS layer FROM documents WHERE doc_id % 3 <> 2""")
 def c15_carriers(spark, sf_dir):
-    d = corpus.table(spark, sf_dir, "documents").select(I.alias("item"))
+    d = corpus.table(spark, sf_dir, "documents").select(doc_id().alias("item"))
     i = F.col("item")
     items = d.select("item", F.when(i % 3 == 0, "directives").when(i % 3 == 1, "signals").otherwise("progress").alias("role"), F.when(i % 4 == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"), text("g", i))).alias("golds"))
     rules = d.where(i % 5 == 0).select(F.lit("r").alias("rule"), text("g", i).alias("memory"))

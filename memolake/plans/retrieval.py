@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memolake.functions import text as T
-from memolake.operators import evaluate, index, lexical
+from memolake.operators import evaluate, index, lexical, parse
 from memolake.plans import sql as S
 from memolake.sources import corpus
 from memolake.tables import fresh_path
@@ -92,15 +92,32 @@ def t15_facts(spark, sf_dir):
     return d.select("doc_id", F.concat_ws(" ", "f").alias("facts"))
 
 
-@query()
+def _masked(text: str) -> str:
+    """SQL for the masks, of an engine without lookaheads: right where no placeholder and no word of letters alone is like a
+    secret, as in the test tables; tests hold these cases against literals."""
+    for name, rx in T.SECRETS:
+        plain = rx.replace("(?=[A-Za-z0-9_-]*\\d)", "").replace("(?![0-9A-Za-z_-])", "").replace("'", "''")
+        text = f"regexp_replace({text}, '{plain}', '{T.MASK % name}', 'g')"
+    return text
+
+
+_VALUE = "[^\\s''\"`,;)]{8,}"
+_ASSIGNED = T.ASSIGNMENT.split("(['")[0] + f"(?:''{_VALUE}''|\"{_VALUE}\"|{_VALUE})"
+MASKED = f"once AS (SELECT doc_id, text, {_masked('text')} AS t FROM documents), twice AS (SELECT doc_id, text, t, regexp_replace(t, '{_ASSIGNED}', '\\1\\2{T.MASK % 'secret'}', 'g') AS masked FROM once)"
+LABELS = ", ".join(f"CASE WHEN contains(t, '{T.MASK % n}') THEN '{n}' END" for n in dict.fromkeys(n for n, _ in T.SECRETS))
+LABELS = f"array_to_string(list_sort(list_filter([{LABELS}, CASE WHEN masked <> t THEN 'assignment' END], lambda x: x IS NOT NULL)), ',')"
+
+
+@query(f"WITH {MASKED} SELECT doc_id, masked, {LABELS} AS labels FROM twice")
 def p9_scrub(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", T.scrub(F.col("text")).alias("masked"), T.secret_labels(F.col("text")).alias("labels"))
+    d = corpus.table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.scrub(F.col("text")).alias("masked"), F.array_join(T.secret_labels(F.col("text")), ",").alias("labels"))
 
 
-@query()
+@query(f"WITH {MASKED} SELECT * FROM (SELECT doc_id, {LABELS} AS labels, doc_id % 4 = 0 AS local_only FROM twice) WHERE labels <> ''")
 def p10_secret_audit(spark, sf_dir):
-    d = corpus.table(spark, sf_dir, "documents").select("doc_id", T.secret_labels(F.col("text")).alias("labels"))
-    return d.where(F.size("labels") > 0)
+    d = corpus.table(spark, sf_dir, "documents").withColumn("meta", F.create_map(F.lit("embed"), F.when(F.col("doc_id") % 4 == 0, "false").otherwise("true")))
+    return parse.secret_audit(d).select("doc_id", F.array_join("labels", ",").alias("labels"), "local_only")
 
 
 @query("""SELECT DISTINCT page_id AS src_id, unnest(regexp_extract_all(html, 'href="([^"#?]+)', 1)) AS dst_name FROM pages""")
