@@ -5,9 +5,11 @@ the most frequent ones kept, so the model is bounded. Prediction: a word's scrip
 languages to those that were seen in it; its trigrams score it under each of those; Viterbi with a penalty for
 switching labels the words of a text, and runs of one label are its spans. Distinct words are scored once per worker.
 
-Where no stretch of words gains more than half the penalty by another language (a largest-sum test for each language), the
-best path is the best single language and no step-by-step search is needed. This is exact: a path with j switches has j + 1
-stretches, which gain (j + 1) / 2 penalties at most and cost j.
+Where the largest gains of the two languages that gain most by a stretch of words over the best single language (a largest-sum
+test for each) are no more than the penalty together, that language is the best path and no step-by-step search is needed.
+This is exact: of r stretches in other languages, with r - 1 switches or more, neighbours differ in language. One stretch
+that isn't the whole text has a switch, and gains no more; of more, each two neighbours gain no more than one penalty, so
+with a stretch left over they gain (r + 1) / 2 penalties at most, and cost r - 1.
 
 Defined results: null text, or text without a letter, or nothing to learn from, gives ``und``, score 0 and no spans; rows
 with a null doc_id are not held out and not learned from; repeated rows are predicted alike; an empty table gives no
@@ -34,7 +36,7 @@ from memolake.llm.hashing import blocks
 SAMPLE, TRIGRAMS, ALL_TRIGRAMS = 1500, 30_000, 4_000_000
 SWITCH = 10.0
 #: Words, and scores of words, that a task keeps.
-KEEP_WORDS, KEEP_SCORES = 200_000, 4_000_000
+KEEP_WORDS, KEEP_SCORES = 100_000, 4_000_000
 #: So many ids are broadcast; more are joined by a shuffle.
 FEW_IDS = 1_000_000
 #: Of a language's words, the share in a script from which on it is a candidate for that script.
@@ -167,7 +169,7 @@ def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     best = int(s.sum(0).argmax())
     gain = np.cumsum(s - s[:, [best]], axis=0, dtype=np.float64)
     low = np.minimum.accumulate(np.concatenate((np.zeros((1, k)), gain[:-1])), axis=0)
-    if (gain - low).max() <= switch / 2:
+    if np.sort((gain - low).max(0))[-2:].sum() <= switch:
         return np.full(n, best)
     # Step by step: stay in a language, or come from the best one at the price of a switch. For a few languages plain
     # numbers are faster than arrays.

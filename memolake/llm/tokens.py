@@ -9,8 +9,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: The ids of so many pieces are kept; then the store starts anew.
-KEEP_PIECES = 500_000
+#: The ids of so many pieces are kept; then the store starts anew. Most pieces of a large corpus are rare, so more bring little.
+KEEP_PIECES = 100_000
 _open: dict = {}
 #: Blanks that str.split() takes and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
