@@ -412,3 +412,47 @@ def test_neighbours(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
     assert neighbours.nearest(d.where("false"), lambda i: i % 20 == 0).count() == 0
     assert neighbours.nearest(d.where("vec_id = 0"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_nearest_in_dense_and_sparse_places(spark):
+    """Most rows in tight clusters, the others spread: both kinds of queries find their neighbours."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 24))
+    x = np.concatenate([np.repeat(centres, 80, 0) + 0.02 * rng.standard_normal((3200, 24)), rng.standard_normal((800, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(4000)]
+    spread = (np.sort(x @ x.T, axis=1)[:, -21] < 0.95)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(d, lambda i: i % 20 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    share = {True: [], False: []}
+    for q in range(0, 4000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        want = np.argsort(-score, kind="stable")[:20]
+        share[bool(spread[q])].append(len(set(want.tolist()) & set(got[q])) / 20)
+    assert np.mean(share[True]) >= 0.9 and np.mean(share[False]) >= 0.9 and len(share[True]) > 20
+
+
+def test_probes_come_in_falling_order():
+    rng = np.random.default_rng(2)
+    tables = neighbours.Tables(9, 5)
+    q, cosine = rng.standard_normal((20, 9)), rng.uniform(0.2, 0.9, 20)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    inside = tables.chances(q, 0, cosine)
+    for chances, buckets in zip(inside, tables.probes(q, 0, cosine, 0.8)):
+        product = lambda b: np.prod([chances[j, int(b) // neighbours.INTERVALS**j % neighbours.INTERVALS] for j in range(5)])
+        by_heap = neighbours.visited(chances, 0.8)
+        assert len(by_heap) == len(buckets) and np.allclose([product(b) for b in by_heap], [product(b) for b in buckets])
+    assert neighbours.visited(np.full((10, 4), 0.25), 0.9) is None
+
+
+def test_nearest_of_repeated_ids_and_ties(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [float(i % 3), 1.0]) for i in range(1, 400)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, lambda i: i == 0, k=20).collect()
+    assert len(got) == 40 and all(r["vec_id"] != 0 for r in got)
+    twos = [i for i in range(1, 400) if i % 3 == 2][:20]
+    lists = sorted((r["score"], r["rank"], r["vec_id"]) for r in got)
+    assert [v for s, _, v in lists if s == 2.0] == twos and [v for s, _, v in lists if s == 1.0] == [*range(1, 21)]
