@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memolake.tables import fresh_path, released, staged
 
-__all__ = ["fresh_path", "released", "small_batches", "staged", "table", "int_hash", "input_partitions", "WORD", "UPPER", "LOWER"]
+__all__ = ["fresh_path", "released", "give_back", "small_batches", "staged", "table", "int_hash", "input_partitions", "WORD", "UPPER", "LOWER"]
 
 #: A word is a run of anything but the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,5 +37,15 @@ def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
     return docs
 
 
+def give_back() -> None:
+    """Hand memory that Python has freed back to the system, where the C library can. A worker goes on with the tasks of later
+    stages, and what earlier ones freed counts against the executor until then."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def input_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

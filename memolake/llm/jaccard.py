@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memolake.llm import hashing
-from memolake.llm.common import released, small_batches, staged, table
+from memolake.llm.common import give_back, released, small_batches, staged, table
 
 #: Cells of the count table; bits of a bitmap at most.
 BITS, MOST_MAP_BITS, SALTS = 22, 1 << 15, 16
@@ -61,6 +61,7 @@ def parted(batches: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[
     for batch in batches:
         for a, b in hashing.blocks(batch["text"].tolist(), chars):
             yield batch.iloc[a:b]
+    give_back()
 
 
 def identity(s: np.ndarray) -> int:

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memolake.llm.common import small_batches, table
+from memolake.llm.common import give_back, small_batches, table
 from memolake.llm.hashing import blocks
 
 #: Bounds of the model: documents per language, trigrams per language, trigrams of all languages together.
@@ -247,6 +247,8 @@ def with_language(docs: DataFrame, model: Model, *, text: str = "text", out: str
             texts = batch.fillna("").tolist()
             rows = [r for a, b in blocks(texts) for r in labeller.label(texts[a:b])]
             yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [[{"lang": x, "first_word": a, "n_words": n} for x, a, n in r[2]] for r in rows]})
+        del labeller
+        give_back()
 
     return small_batches(docs).withColumn(out, label(F.col(text)))
 

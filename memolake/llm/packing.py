@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memolake.llm.common import small_batches, table
+from memolake.llm.common import give_back, small_batches, table
 from memolake.llm.hashing import blocks
 from memolake.llm.tokens import tokenizer
 
@@ -128,6 +128,8 @@ def packed(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
                 yield frame(full)
         if held:
             yield shared()
+        t.clear()
+        give_back()
 
     d = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return d.mapInPandas(pack, PIECES)

@@ -85,6 +85,9 @@ class RankTokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def clear(self):
+        """Nothing is kept."""
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(self.encoding.encode_ordinary(t), np.uint32) for t in texts]
 
