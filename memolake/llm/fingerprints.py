@@ -29,6 +29,8 @@ from memolake.llm import hashing
 from memolake.llm.common import input_partitions, table
 
 K, SHINGLE = 128, 5
+#: Rows of a range at most, where there would be fewer ranges otherwise.
+RANGE_ROWS = 50_000
 LAST = (1 << 63) - 1
 
 
@@ -112,8 +114,9 @@ def fingerprinted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """FINGERPRINTS for each document and its edited text: the second half replaced by the next document's beginning."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = input_partitions(spark)
     ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("at"))
+    # More ranges than partitions where they would hold too many rows.
+    parts = max(input_partitions(spark), ids.count() // RANGE_ROWS)
     cuts = ids.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0]
     cuts = np.array(sorted(set(cuts or [])), np.int64)
 

@@ -32,6 +32,7 @@ from memolake.llm.hashing import blocks
 from memolake.llm.tokens import tokenizer
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 2048, 0x5EED, 6
+RANGE_BYTES = 1 << 28
 SEQUENCES = "part int, number long, n_tokens int, doc_ids array<long>, ids binary"
 INDEX = "slot long, shard long, byte_offset long, n_tokens int, ids_crc32 long, doc_ids array<long>, file string"
 
@@ -69,6 +70,7 @@ def sequences(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
         part, number = context.partitionId() if context else 0, 0
         t = tokenizer(path, pattern)
         held, of, size = [], [], 0  # ids that wait, their documents
+        most = np.iinfo(np.dtype(dtype)).max
 
         def rows(last: bool):
             nonlocal number, held, of, size
@@ -78,6 +80,8 @@ def sequences(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
                 block = ids[at : at + length]
                 first, final = np.searchsorted(bounds, at, "right"), np.searchsorted(bounds, at + len(block) - 1, "right")
                 n = len(block)
+                if block.max() > most:
+                    raise ValueError(f"id {block.max()} doesn't fit {dtype}")
                 if n < length:
                     block = np.concatenate((block, np.full(length - n, end_id, ids.dtype)))
                 out.append((part, number, n, [x for x in of[first : final + 1] if x is not None], squeezed(block.astype(dtype).tobytes())))
@@ -148,8 +152,8 @@ def materialised(docs: DataFrame, path: str, folder: str, *, end_id: int, length
 
     dealt = cut.withColumn("slot", slot("part", "number")).withColumn("shard", F.floor(F.col("slot") / per_shard)).drop("part", "number")
     shards = max(1, -(-total // per_shard))
-    # Ranges of shards: task i has the shards from i * shards / tasks on.
-    tasks = min(shards, max(1, input_partitions(spark)))
+    # Ranges of shards: task i has the shards from i * shards / tasks on, of a bounded size in all.
+    tasks = min(shards, max(1, input_partitions(spark), total * stride // RANGE_BYTES))
     dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).drop("shard").sortWithinPartitions("slot")
     return staged(dealt.mapInPandas(write, INDEX), "shard-index")
 

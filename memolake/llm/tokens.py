@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from itertools import chain, repeat
@@ -17,6 +18,27 @@ ODD = re.compile("[\x1c-\x1f]")
 STOPS = ".,;:!?"
 
 
+def steps(part: dict | None, inner: str) -> list[dict]:
+    """A normaliser or pre-tokenizer as a list of its steps."""
+    return [] if part is None else [x for p in part[inner] for x in steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+def lowers_only(normalizer: dict | None) -> bool:
+    """Whether all that a normaliser does to a word of ASCII letters is to lower it: it composes, folds blanks and lowers."""
+    found = steps(normalizer, "normalizers")
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    return any(x["type"] == "Lowercase" for x in found) and all(x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or x == blanks for x in found)
+
+
+def parts_words(pre_tokenizer: dict | None) -> bool:
+    """Whether a pre-tokenizer leaves a word of ASCII letters whole and parts it from stops: the pattern it cuts by takes
+    letters together, and what is between cuts goes."""
+    found = steps(pre_tokenizer, "pretokenizers")
+    cuts = [x for x in found if x["type"] == "Split"]
+    whole = all(x["behavior"] == "Removed" and x["invert"] and r"[\p{L}]+" in x["pattern"].get("Regex", "") for x in cuts)
+    return len(cuts) == 1 and whole and all(x["type"] == "Split" or (x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"]) for x in found)
+
+
 class PieceTokenizer:
     """Ids of the ``tokenizers`` library for vocabularies that drop white space: no token crosses it, so a text's ids
     are those of its blank-parted pieces, and pieces repeat. Ids are the library's own, kept by piece."""
@@ -26,6 +48,9 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.short_cut = lowers_only(spec["normalizer"]) and parts_words(spec["pre_tokenizer"])
         self.clear()
 
     def clear(self):
@@ -34,11 +59,12 @@ class PieceTokenizer:
 
     def learn(self, pieces: list[str]) -> None:
         """Most new pieces are a word of ASCII letters and perhaps stops: normalisation lowers it, the library's model
-        gives its ids, and those of the stops follow. All others go through the whole tokenizer."""
+        gives its ids, and those of the stops follow. All others go through the whole tokenizer, as do all where the file's
+        normaliser or pre-tokenizer does more than that."""
         tokenize, words, got, others = self.tokenizer.model.tokenize, self.words, [], []
         for i, piece in enumerate(pieces):
             word = piece.rstrip(STOPS)
-            if word.isascii() and word.isalpha():
+            if self.short_cut and word.isascii() and word.isalpha():
                 low = word.lower()
                 ids = words.get(low)
                 if ids is None:

@@ -193,6 +193,23 @@ def test_fingerprints(odd, none):
     assert fingerprints.fingerprinted(none).count() == 0
 
 
+def test_fingerprints_against_sets(spark):
+    """Of texts with few shingles the sketch holds all, so likeness is that of the sets."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)) for n in (0, 1, 4, 5, 30, 60, 60)] + ["a b c d e f g"] * 2
+    got = {r["doc_id"]: r for r in fingerprints.fingerprinted(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    alike = lambda a, b: 1.0 if a == b else len(a & b) / max(len(a | b), 1)
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edit = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, other, next_one = (shingle_set(x, fingerprints.SHINGLE) for x in (t, edit, after))
+        assert got[i]["n_chars"] == len(t)
+        if own and other:
+            assert abs(got[i]["near_edited"] - alike(own, other)) < 1e-9
+        if own and next_one:
+            assert abs(got[i]["near_next"] - alike(own, next_one)) < 1e-9
+
+
 def test_sketches_estimate_and_merge(spark):
     a, b = " ".join(f"u{i}" for i in range(3000)), " ".join(f"u{i}" for i in range(1000, 5000))
     x, y = fingerprints.sketches([a, b])
@@ -356,6 +373,43 @@ def test_lm_base_scores(spark, odd, none):
     assert all(r["n_known"] == 0 for r in fresh.collect())
 
 
+def test_lm_scores_against_brute_force(spark):
+    """Counts, base and model score of all rows, held out or not, word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(-7, "zzz unseen zzz"), (-8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts, frequent, w = lm.fitted(d.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1))
+    c = {}
+    for t in train:
+        for x in [*words(t), None]:
+            c[x] = c.get(x, 0) + 1
+    total, distinct = sum(c.values()), len(c)
+    key = lambda x: int(lm.END) if x is None else int(hashing.words([x])[0][0])
+    place = {int(h): i for i, h in enumerate(frequent.words)}
+    last = len(frequent.class_log) - 1
+    rare = {x: n for x, n in c.items() if key(x) not in place}
+    mass = np.bincount([frequent.classes[place[key(x)]] for x in c if x not in rare], [n for x, n in c.items() if x not in rare], last + 1)
+    ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+    off = (ones + 0.5) / (ones + 2 * twos + 1.0)
+    got = {r["doc_id"]: r for r in lm.scored(d, counts, frequent, w).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        seq = [*words(t), None]
+        base = sum(np.log10((c.get(x, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for x in seq)
+        h, at = lm.tokens([t or ""])
+        score = 0.0
+        for x, f in zip(seq, lm.features(h, at)):
+            z = sum(w[b].astype(float) for b in f) + frequent.class_log
+            p = np.exp(z - z.max())
+            y = frequent.classes[place[key(x)]] if x in c and x not in rare else last
+            inside = c[x] / mass[y] if x in c and x not in rare else (rare[x] - off if x in rare else off * len(rare)) / sum(rare.values())
+            score += np.log10(p[y] / p.sum() * inside)
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(seq), sum(x in c for x in seq), total)
+        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and abs(r["score"] - score) < 1e-3 * max(1, abs(score))
+
+
 def test_lm_probabilities_sum_to_one(spark):
     texts = [f"the {a} {b} the end of {a}" for a in ("cat", "dog", "owl") for b in ("runs", "sits", f"once{a}", f"twice{a}")]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -389,6 +443,31 @@ def test_materialised_round_trip(spark, odd, none):
     assert materialise.materialised(none, path, fresh_path(spark, "shards"), end_id=50256, pattern=public_tokenizers.PATTERN).count() == 0
 
 
+def test_slots_hold_the_streams_sequences(spark):
+    """Slot feistel(i) has the i-th sequence of the one task's stream of ids, and names its documents."""
+    path, folder = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), fresh_path(spark, "shards")
+    texts = [f"document {i} " + "some words " * (i % 23) for i in range(50)]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    index = materialise.materialised(d, path, folder, end_id=50256, length=32, per_shard=8, pattern=public_tokenizers.PATTERN)
+    encoding = tokens.tokenizer(path, public_tokenizers.PATTERN).encoding
+    stream, of = [], []
+    for i, t in enumerate(texts):
+        ids = [*encoding.encode_ordinary(t), 50256]
+        stream += ids
+        of += [i] * len(ids)
+    n = -(-len(stream) // 32)
+    slots = materialise.feistel(np.arange(n), n)
+    rows = {r["slot"]: r for r in index.collect()}
+    seqs = [*materialise.read_sequences(index, folder, 0, n, length=32, per_shard=8)]
+    assert sorted(rows) == [*range(n)]
+    for i, slot in enumerate(slots.tolist()):
+        want = stream[32 * i : 32 * i + 32]
+        assert seqs[slot].tolist() == want + [50256] * (32 - len(want)) and rows[slot]["n_tokens"] == len(want)
+        assert rows[slot]["doc_ids"] == sorted(set(of[32 * i : 32 * i + 32]))
+    with pytest.raises(Exception, match="doesn't fit"):
+        materialise.materialised(d, path, fresh_path(spark, "shards"), end_id=70000, pattern=public_tokenizers.PATTERN).count()
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1500, 16)) * rng.uniform(0.5, 2, (1500, 1))

@@ -53,3 +53,18 @@ def test_stages(spark, tmp_path):
     assert pieces.groupby("doc_id").length.sum().to_dict() == {d: size[d] * n for d, n in Counter(mix.doc_id).items()}
     loads = pieces.groupby("sequence_id").length.sum()
     assert loads.max() <= 4096 and np.all(pieces.sort_values("offset").groupby("sequence_id").offset.first() == 0)
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns through all stages, and an empty table."""
+    long = "several words of one long text that stands here twice " * 40
+    rows = [(1, "the house and the garden", "en", "a", 3, "x"), (1, "the house and the garden", "en", "a", 3, "x"), (2, long, "en", "a", 1, "y"), (3, long + "end", None, None, 2, "z"), (None, "le jardin et la maison", "fr", "b", 0, "u"), (4, None, None, "b", 0, None), (5, "", "en", None, 0, None), (6, "12 !", "de", "c", 0, None)]
+    columns = "doc_id long, text string, lang string, source string, copies int, row string"
+    for i, data in enumerate((rows, [])):
+        folder = tmp_path / str(i)
+        spark.createDataFrame(data, columns).write.parquet(str(folder / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).toPandas()
+        assert set(got.doc_id.dropna()) <= {1, 2} and (len(got) > 0) == bool(data)
+    docs = spark.read.parquet(str(tmp_path / "0" / "documents.parquet"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").toPandas()
+    assert list(kept.columns) == docs.columns and sorted(kept.doc_id.fillna(-1)) == [-1, 1, 2, 4, 5, 6]
