@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memolake.functions import text as T
+from memolake.tables import released, staged
 
 # Weights of a document's fields.
 FIELD_WEIGHTS = {"name": 6.0, "title": 4.0, "description": 3.0, "body": 1.0}
@@ -67,6 +68,68 @@ def opened(spark: SparkSession, path: str) -> Index:
     return Index(read("postings").select("doc_id", "term", "tf", "bucket"), read("terms"), read("lengths"), read("stats"))
 
 
+def _written(df: DataFrame, path: str, kind: str, version: int) -> list[tuple]:
+    """Writes df by bucket as a version, and gives the manifest's rows for the buckets that have any."""
+    df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{kind}/v{version}")
+    return [(kind, r["bucket"], version) for r in df.select("bucket").distinct().collect()]  # a fixed number of buckets
+
+
+def _listed(spark: SparkSession, path: str, version: int) -> dict:
+    """{(kind, bucket): version that has it} as of a version."""
+    rows = spark.read.parquet(f"{path}/manifest/v{version}").collect()  # a fixed number of buckets
+    return {(r["kind"], r["bucket"]): r["version"] for r in rows}
+
+
+def _opened(spark: SparkSession, path: str, kind: str, listed: dict, schema: str, only: set | None = None) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for version in sorted({v for (k, _), v in listed.items() if k == kind}):
+        paths = [f"{path}/{kind}/v{version}/bucket={b}" for (k, b), v in listed.items() if k == kind and v == version and (only is None or b in only)]
+        if paths:
+            read = spark.read.schema(schema).option("basePath", f"{path}/{kind}/v{version}").parquet(*paths)
+            out = out.unionByName(read.select(*out.columns))
+    return out
+
+
+def versioned(spark: SparkSession, path: str, version: int, key: str = "bigint") -> Index:
+    """The index as of a version that ``kept`` wrote."""
+    listed = _listed(spark, path, version)
+    read = lambda kind, schema: _opened(spark, path, kind, listed, schema)
+    posted, term_df, lengths = read("postings", f"doc_id {key}, term string, tf double, bucket int"), read("terms", "term string, df bigint, bucket int"), read("lengths", f"doc_id {key}, doclen double, bucket int")
+    return Index(posted, term_df, lengths, corpus_stats(lengths, term_df))
+
+
+def kept(changed: DataFrame, path: str, version: int, buckets: int = 16) -> None:
+    """Writes the index as of ``version`` from that before it and changed documents (doc_id, fields; a null body: removed).
+
+    Only buckets with a touched term or document are written, under the version's own name, and a manifest tells which
+    version has each bucket; the version before stays as it is, so the same batch again gives the same. Version 0 has none
+    before it. Frequencies are counted again for touched terms alone.
+    """
+    spark, key = changed.sparkSession, changed.schema["doc_id"].dataType.simpleString()
+    listed = _listed(spark, path, version - 1) if version else {}
+    gone = staged(changed.select("doc_id").distinct(), "changed")
+    docs = changed.where("body is not null")
+    new = staged(postings(docs).withColumn("bucket", bucket_of(F.col("term"), buckets)), "new-postings")
+    old = _opened(spark, path, "postings", listed, f"doc_id {key}, term string, tf double, bucket int")
+    touched = staged(old.join(gone, "doc_id", "left_semi").select("term", "bucket").union(new.select("term", "bucket")).distinct(), "touched")
+    of_terms = {r["bucket"] for r in touched.select("bucket").distinct().collect()}  # a fixed number of buckets
+    near = _opened(spark, path, "postings", listed, f"doc_id {key}, term string, tf double, bucket int", of_terms)
+    posted = near.join(gone, "doc_id", "left_anti").unionByName(new.select(*near.columns))
+    rows = _written(posted, path, "postings", version)
+    mine = _opened(spark, path, "postings", {(k, b): v for k, b, v in rows}, f"doc_id {key}, term string, tf double, bucket int")
+    terms_before = _opened(spark, path, "terms", listed, "term string, df bigint, bucket int", of_terms)
+    counted = recount(terms_before.select("term", "df"), mine, touched.select("term")).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    rows += _written(counted, path, "terms", version)
+    by_doc = lambda d: d.withColumn("bucket", bucket_of(F.col("doc_id").cast("string"), buckets))
+    of_docs = {r["bucket"] for r in by_doc(gone).select("bucket").distinct().collect()}  # a fixed number of buckets
+    lengths_before = _opened(spark, path, "lengths", listed, f"doc_id {key}, doclen double, bucket int", of_docs)
+    lengths = lengths_before.join(gone, "doc_id", "left_anti").unionByName(by_doc(doc_lengths(docs, new)))
+    rows += _written(lengths, path, "lengths", version)
+    stay = [(k, b, v) for (k, b), v in listed.items() if b not in (of_docs if k == "lengths" else of_terms)]
+    spark.createDataFrame(stay + rows, "kind string, bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v{version}")
+    released(gone, new, touched)
+
+
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,9 +36,15 @@ def coverage(expected: DataFrame, held: DataFrame) -> DataFrame:
 def cosine_top(queries: DataFrame, chunks: DataFrame, n: int, lowest: bool = False) -> DataFrame:
     """(qid, doc_id, chunk_no, cos, rank): per query the first n documents by their best chunk, exactly.
 
-    Rows and queries meet in blocks of bounded size, each a matrix product that gives at most n documents per query;
-    ties go to the smaller document and the smaller chunk. lowest: the farthest instead.
+    A few thousand queries, counted first, are a matrix that every task has: chunks are scanned where they are, and each
+    batch gives at most n documents for a query. That is enough, as a document of the first n stands in the batch of its
+    best chunk behind fewer than n others. With more queries, and for the farthest, rows and queries meet in blocks of
+    bounded size. Ties go to the smaller document and the smaller chunk. lowest: the farthest instead.
     """
+    if not lowest:
+        few = queries.select("qid", "vec").limit(QUERY_BLOCK + 1).toPandas()
+        if len(few) <= QUERY_BLOCK:
+            return scanned(few, chunks, n)
     count = chunks.count()
     blocks, asked = 1 + count // BLOCK, 1 + queries.count() // QUERY_BLOCK
     sign = -1.0 if lowest else 1.0
@@ -67,6 +75,36 @@ def cosine_top(queries: DataFrame, chunks: DataFrame, n: int, lowest: bool = Fal
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)
 
 
+def scanned(queries: pd.DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+    """cosine_top for queries that fit a task."""
+    schema = "qid long, doc_id long, chunk_no int, cos double"
+    if not len(queries):
+        return chunks.sparkSession.createDataFrame([], f"{schema}, rank int")
+    shared = chunks.sparkSession.sparkContext.broadcast((queries["qid"].to_numpy(), np.stack(queries["vec"]).astype(float)))  # QUERY_BLOCK rows at most
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, asked = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch.sort_values(["doc_id", "chunk_no"], ignore_index=True)
+            cos = asked @ np.stack(batch["vec"]).astype(float).T
+            near = np.round(cos, 9)
+            ids, start = np.unique(batch["doc_id"].to_numpy(), return_index=True)
+            first = np.argsort(-np.maximum.reduceat(near, start, axis=1), axis=1, kind="stable")[:, :n]
+            ends = np.append(start[1:], len(batch))
+            q = np.repeat(np.arange(len(qids)), first.shape[1])
+            docs = first.ravel()
+            at = np.array([start[d] + int(near[i, start[d] : ends[d]].argmax()) for i, d in zip(q, docs)], np.int64)
+            yield pd.DataFrame({"qid": qids[q], "doc_id": ids[docs], "chunk_no": batch["chunk_no"].to_numpy()[at], "cos": cos[q, at]})
+
+    found = chunks.select("doc_id", "chunk_no", "vec").mapInPandas(scan, schema)
+    best = F.min(F.struct((-F.round("cos", 9)).alias("c"), "chunk_no", "cos"))
+    once = found.groupBy("qid", "doc_id").agg(best.alias("b")).select("qid", "doc_id", "b.chunk_no", "b.cos")
+    place = Window.partitionBy("qid").orderBy(F.desc(F.round("cos", 6)), "doc_id")
+    return once.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)
+
+
 def relative(top: DataFrame, weights: DataFrame) -> DataFrame:
     """(qid, doc_id, cos, ratio, rank): cosine over the mean of the query's first 40, times the feedback penalty (weights
     under 1), ordered by the penalised cosine; 0 where the cosine isn't positive."""

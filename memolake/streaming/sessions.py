@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memolake.operators import index
+
 KEEP = 12
 
 
@@ -52,6 +54,12 @@ def session_tails(log: DataFrame) -> DataFrame:
     return log.groupBy("user_id").applyInPandasWithState(step, "user_id long, writes long, turns string", "writes long, turns string", "update", "NoTimeout")
 
 
-def keep_index(log: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
-    """Runs merge on each batch of changed documents; merge must give the same result when a batch comes again."""
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+def keep_index(changes: DataFrame, path: str, checkpoint: str, buckets: int = 16):
+    """Keeps an index up to date with a stream of changed documents (doc_id, ts, name, title, description, body; a null body:
+    removed), the last change of a document in a batch counts. Batch n writes version n + 1; see ``index.kept``."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        last = batch.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "doc_id"]), "ts").alias("d")).select("doc_id", "d.*")
+        index.kept(last, path, epoch + 1, buckets)
+
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

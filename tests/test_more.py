@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memolake import plans
-from memolake.operators import evaluate, learn, passages, signals
+from memolake.operators import evaluate, index, learn, passages, signals
 from memolake.plans import measures
+from memolake.streaming import sessions
 
 SF = "/root/testdata/sf0.001"
 
@@ -110,6 +110,24 @@ def test_policy_needs_gains_without_losses(spark):
     assert choose([(0, 1)] * 19 + [(1, 0)])["arm"] == "old" and choose([(0, 1)])["decision"] == "insufficient"
 
 
-@pytest.mark.parametrize("name", [n for n in plans.queries() if n not in plans.oracle_sql()])
-def test_other_queries_run(spark, name):
-    assert plans.queries()[name](spark, SF).count() > 0
+def test_kept_index_equals_a_new_one(spark, tmp_path):
+    """Two batches of a stream: changed, new and removed documents; then the same as if all were indexed at once."""
+    schema = "doc_id long, ts int, name string, title string, description string, body string"
+    first = [(i, 0, f"n{i}", "", "", f"word{i % 5} common text{i}") for i in range(12)]
+    batches = [[(3, 1, "n3", "", "", "other words"), (3, 2, "n3", "", "", "last words"), (20, 1, "n20", "new", "", "common word1")], [(5, 3, "n5", "", "", None), (20, 3, "n20", "new", "", "word2 word2")]]
+    path = str(tmp_path / "index")
+    index.kept(spark.createDataFrame(first, schema), path, 0, 4)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = sessions.keep_index(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, str(tmp_path / "checkpoint"), 4).trigger(availableNow=True).start()
+        q.awaitTermination()
+        docs = {r[0]: r for r in first}
+        for r in sorted((r for b in batches[: i + 1] for r in b), key=lambda r: r[1]):
+            docs[r[0]] = r
+        now = spark.createDataFrame([r for r in docs.values() if r[5] is not None], schema)
+        posted, got = index.postings(now), index.versioned(spark, path, i + 1)
+        rows_of = lambda d, *c: sorted(map(tuple, d.select(*c).collect()))
+        assert rows_of(got.postings, "doc_id", "term", "tf") == rows_of(posted, "doc_id", "term", "tf")
+        assert rows_of(got.terms, "term", "df") == rows_of(index.terms(posted), "term", "df")
+        assert rows_of(got.lengths, "doc_id", "doclen") == rows_of(index.doc_lengths(now, posted), "doc_id", "doclen")
+    assert len({v for v in index._listed(spark, path, 2).values()}) > 1
