@@ -37,6 +37,24 @@ def parsed_answers(answers: DataFrame) -> DataFrame:
     return rows.groupBy("key", "i").agg(F.max_by("s", "at").alias("score"))
 
 
+def answer_counts(answers: DataFrame) -> DataFrame:
+    """(key, readable, answered, duplicates, out_of_range) of answers (key, text, n): readable is false where no array can be read,
+    and the counts are null then, not 0."""
+    array = F.from_json(F.regexp_extract("text", r"(?s)(\[.*\])", 1), "array<struct<i:int,s:double>>")
+    a = answers.select("key", "n", array.alias("a"))
+    wrong = lambda x: ~F.coalesce(x["i"].between(F.lit(1), F.col("n")) & x["s"].between(0, 10), F.lit(False))
+    good = F.filter("a", lambda x: ~wrong(x))
+    once = F.size(F.array_distinct(F.transform(good, lambda x: x["i"])))
+    ok = F.col("a").isNotNull()
+    return a.select("key", ok.alias("readable"), F.when(ok, once).alias("answered"), F.when(ok, F.size(good) - once).alias("duplicates"), F.when(ok, F.size(F.filter("a", wrong))).alias("out_of_range"))
+
+
+def placed_threshold(scores: DataFrame, controls: DataFrame) -> DataFrame:
+    """One row (t, mass, blocked): place_threshold over the noise of control scores; blocked where a control has full marks."""
+    top = controls.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("noise")).first()["noise"]
+    return place_threshold(scores, top).select("t", "mass", F.lit(top >= 10).alias("blocked"))
+
+
 def place_threshold(scores: DataFrame, noise: float) -> DataFrame:
     """One row: the whole number from noise + 1 to 10 with the least scores on it or just under it, the lower on ties."""
     spark = scores.sparkSession

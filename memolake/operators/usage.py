@@ -190,3 +190,23 @@ def current_analyses(analyses: DataFrame, citations: DataFrame, docs: DataFrame,
 
 def calls_by_day(log: DataFrame, zone: str = "America/Los_Angeles") -> DataFrame:
     return log.groupBy(F.to_date(F.from_utc_timestamp("ts", zone)).alias("day")).agg(F.count(F.lit(1)).alias("calls"))
+
+
+def by_month(docs: DataFrame, most: int = 18) -> DataFrame:
+    """(month, n): documents (evidence) by month, the last ones; those without a date don't count."""
+    return docs.where("evidence is not null").groupBy(F.trunc("evidence", "month").alias("month")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("month")).limit(most)
+
+
+def top_hits(usage: DataFrame, most: int = 10) -> DataFrame:
+    """(doc_id, hits): the documents that were hits most often."""
+    return usage.where("hits > 0").orderBy(F.desc("hits"), "doc_id").limit(most).select("doc_id", "hits")
+
+
+def fired_within(log: DataFrame, budget: int, rates: DataFrame | None = None, rare: float = 1.0) -> DataFrame:
+    """(session, rule, call): each rule once in a session, at its first call (session, rule, call); past the budget only rules
+    whose measured rate (rule, rate) is under one per cent. Without measured rates there is no budget."""
+    first = log.groupBy("session", "rule").agg(F.min("call").alias("call"))
+    if rates is None:
+        return first
+    d = first.join(rates, "rule", "left").withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("call", "rule")))
+    return d.where((F.col("place") <= budget) | (F.col("rate") < rare)).select("session", "rule", "call")

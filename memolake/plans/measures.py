@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memolake.operators import evaluate, graph, index, learn, lexical, passages, signals, usage, vector
+from memolake.operators import evaluate, exchange, fusion, graph, index, learn, lexical, passages, signals, usage, vector
 from memolake.plans import sql as S
 from memolake.plans.analytics import CHUNKS, COS, GRAPH, events, lanes, page_graph
 from memolake.plans.notebook import doc_id, text
@@ -657,3 +657,71 @@ def v11_kept_positives(spark, sf_dir):
     near = top.withColumn("ratio", F.col("cos"))
     floor = spark.createDataFrame([(0.3,)], "floor double")
     return vector.kept_positives(near, top.where("doc_id % 2 = 0").select("qid", "doc_id"), floor)
+
+
+COMMITS = """c AS (SELECT o_orderkey AS sha, o_orderdate AS "at", ['src/m' || (o_orderkey % 9) || '/f' || (o_orderkey % 40) || '.py', 'f' || (o_orderkey % 40) || '.PY', 'x/y.bin'] AS files FROM orders),
+k AS (SELECT DISTINCT sha, "at", unnest(CASE WHEN contains(f, '/') THEN ['m' || (sha % 9) || '/f' || (sha % 40) || '.py', 'f' || (sha % 40) || '.py'] ELSE [f] END) AS key FROM (SELECT sha, "at", unnest(files[1:2]) AS f FROM c)),
+p AS (SELECT key, string_agg(sha, ',' ORDER BY r) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at" DESC, sha) AS r FROM k) WHERE r <= 4 GROUP BY key)"""
+
+
+def commits(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return corpus.table(spark, sf_dir, "orders").select(k.alias("sha"), F.col("o_orderdate").alias("at"), F.array(text("src/m", k % 9, "/f", k % 40, ".py"), text("f", k % 40, ".PY"), F.lit("x/y.bin")).alias("files"))
+
+
+@query(f"WITH {COMMITS} SELECT key, refs FROM p")
+def io6_commit_pointers(spark, sf_dir):
+    return exchange.commit_pointers(commits(spark, sf_dir), ["py", "md"])
+
+
+@query(f"WITH {COMMITS}, q AS (SELECT 'a/m' || (doc_id % 12) || '/f' || (doc_id % 40) || '.py' AS path, 'm' || (doc_id % 12) || '/f' || (doc_id % 40) || '.py' AS two, 'f' || (doc_id % 40) || '.py' AS one FROM documents) SELECT DISTINCT path, coalesce(x.refs, y.refs) AS refs FROM q LEFT JOIN p x ON x.key = two JOIN p y ON y.key = one")
+def io6_history(spark, sf_dir):
+    paths = docs_of(spark, sf_dir).select(text("a/m", doc_id() % 12, "/f", doc_id() % 40, ".py").alias("path")).distinct()
+    return exchange.history_of(paths, exchange.commit_pointers(commits(spark, sf_dir), ["py", "md"]))
+
+
+@query("""SELECT vec_id, vec_id % 3 = 0 AS own FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 5 <> 0""")
+def io8_merged_vectors(spark, sf_dir):
+    v = F.col("vec_id")
+    e = corpus.table(spark, sf_dir, "embeddings").select("vec_id", text("n", v).alias("name"), F.lit(0).alias("chunk_no"))
+    mine = e.where(v % 3 == 0).select("name", "chunk_no", F.lit("s").alias("sha"), "vec_id", F.lit(True).alias("own"))
+    theirs = e.select("name", "chunk_no", F.when(v % 5 == 0, "old").otherwise("s").alias("sha"), "vec_id", F.lit(False).alias("own"))
+    return exchange.merged_vectors(mine, theirs, e.select("name", F.lit("s").alias("sha")))[0].select("vec_id", "own")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'a' ELSE 'b' END AS only FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0 EXCEPT SELECT doc_id, 'a' FROM documents WHERE doc_id % 35 = 0")
+def io10_set_differences(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select("doc_id")
+    i = doc_id()
+    return exchange.set_differences(d.where((i % 7 != 0) & (i % 35 != 0)), d.where((i % 5 != 0) & (i % 35 != 0)))
+
+
+@query("""SELECT event_id AS key, event_id % 7 <> 0 AS readable, CASE WHEN event_id % 7 <> 0 THEN 1 + (event_id % 13 <= 10)::INT END AS answered, CASE WHEN event_id % 7 <> 0 THEN 1 END AS duplicates, CASE WHEN event_id % 7 <> 0 THEN (event_id % 13 > 10)::INT END AS out_of_range FROM events""")
+def f6_answer_counts(spark, sf_dir):
+    from memolake.plans.analytics import ANSWER
+
+    return fusion.answer_counts(events(spark, sf_dir).select(event_id().alias("key"), F.expr(ANSWER).alias("text"), F.lit(2).alias("n")))
+
+
+@query("""WITH s AS (SELECT round(value / 10)::INT AS s, count(*) AS n FROM events WHERE value < 105 GROUP BY 1), z AS (SELECT max(value / 10) AS z FROM events WHERE value < 45)
+SELECT t::INT AS t, mass::BIGINT AS mass, z >= 10 AS blocked FROM (SELECT t, coalesce(sum(n), 0) AS mass FROM range(11) g(t) LEFT JOIN s ON s.s IN (t, t - 1) GROUP BY t), z WHERE t >= z + 1 ORDER BY mass, t LIMIT 1""")
+def f7_placed_threshold(spark, sf_dir):
+    e = events(spark, sf_dir).select((F.col("value") / 10).alias("score"), "value")
+    return fusion.placed_threshold(e.where("value < 105"), e.where("value < 45"))
+
+
+@query("""SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 18""")
+def u6_by_month(spark, sf_dir):
+    return usage.by_month(corpus.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("evidence")))
+
+
+@query("""SELECT user_id AS doc_id, count(*) AS hits FROM events GROUP BY user_id ORDER BY hits DESC, user_id LIMIT 10""")
+def u6_top_hits(spark, sf_dir):
+    return usage.top_hits(events(spark, sf_dir).groupBy(F.col("user_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("hits")))
+
+
+@query("""WITH f AS (SELECT user_id AS session, floor(value)::INT % 40 AS rule, min(event_id) AS call FROM events GROUP BY ALL) SELECT session, rule, call FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY call, rule) AS r FROM f) WHERE r <= 12 OR rule % 4 = 0""")
+def s7_fired_within(spark, sf_dir):
+    e = events(spark, sf_dir).select(F.col("user_id").alias("session"), (F.floor("value").cast("int") % 40).alias("rule"), event_id().alias("call"))
+    rates = e.select("rule").distinct().withColumn("rate", F.when(F.col("rule") % 4 == 0, 0.5).otherwise(3.0))
+    return usage.fired_within(e, 12, rates)
