@@ -131,7 +131,7 @@ def packed(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
         t.clear()
         give_back()
 
-    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = small_batches(docs, 4000).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return d.mapInPandas(pack, PIECES)
 
 
