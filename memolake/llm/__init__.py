@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from memolake.llm import fingerprints, jaccard, language, licenses, lm, materialise, mixing, neighbours, packing, warc
+    from memolake.llm import fingerprints, jaccard, language, licenses, lm, materialise, mixing, neighbours, packing, periodic, warc
 
     return {
         "op1_nearest": neighbours.op1_nearest,
@@ -17,14 +17,16 @@ def queries() -> dict:
         "op10_training_order": materialise.op10_training_order,
         "op7_source_mix": mixing.op7_source_mix,
         "op9_license_scan": licenses.op9_license_scan,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from memolake.llm import licenses, mixing, warc
+    from memolake.llm import licenses, mixing, periodic, warc
 
     return {
         "op2_warc_round_trip": warc.OP2_SQL,
         "op7_source_mix": mixing.OP7_SQL,
         "op9_license_scan": licenses.OP9_SQL,
+        "op11_periodic_runs": periodic.OP11_SQL,
     }
