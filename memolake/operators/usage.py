@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memolake.functions import text as T
+
 # What a signal adds to a document's weight, and the weight's bounds.
 SIGNALS = {"useful": 0.15, "wrong": -0.5, "stale": -0.2, "open": 0.05}
 LEAST, MOST = 0.2, 3.0
@@ -105,12 +107,20 @@ def fired_once(log: DataFrame, budget: int) -> DataFrame:
     return first.withColumn("place", place).where(F.col("place") <= budget).select("user_id", "day", "rule", F.col("f.event_id").alias("event_id"))
 
 
-def repeated_questions(asked: DataFrame, least: int = 2) -> DataFrame:
-    """(question, times, askers, days, misses) of asked (text, asker, ts, hits): questions, case and blanks folded, that were
-    asked again; misses had no hit."""
-    q = asked.select(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("question"), "asker", F.to_date("ts").alias("day"), "hits")
-    out = q.groupBy("question").agg(F.count(F.lit(1)).alias("times"), F.countDistinct("asker").alias("askers"), F.countDistinct("day").alias("days"), F.count(F.when(F.col("hits") == 0, 1)).alias("misses"))
-    return out.where(F.col("times") >= least)
+def repeated_questions(asked: DataFrame, linked: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """(question, query, times, askers, days, misses, last) of asked (text, asker, ts, hits): questions, case and blanks folded,
+    that were asked again; query is how the first one put it, misses had no hit, last is when it was asked last. With linked
+    (text, doc_id), the documents that a question found: also their ids, sorted."""
+    fold = lambda c: T.case_folded(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    q = asked.select(fold("text").alias("question"), "text", "asker", "ts", F.to_date("ts").alias("day"), "hits").where("question <> ''")
+    out = q.groupBy("question").agg(
+        F.min_by("text", F.struct("ts", "asker", "text")).alias("query"), F.count(F.lit(1)).alias("times"), F.countDistinct("asker").alias("askers"), F.countDistinct("day").alias("days"),
+        F.count(F.when(F.col("hits") == 0, 1)).alias("misses"), F.max("ts").alias("last"),
+    ).where(F.col("times") >= least)
+    if linked is None:
+        return out
+    ids = linked.select(fold("text").alias("question"), "doc_id").distinct().join(out.select("question"), "question", "left_semi").groupBy("question").agg(F.array_sort(F.collect_list("doc_id")).alias("documents"))
+    return out.join(ids, "question", "left").withColumn("documents", F.coalesce("documents", F.array().cast(ids.schema["documents"].dataType)))
 
 
 def activity(shown: DataFrame, sectors: DataFrame) -> tuple[DataFrame, DataFrame]:

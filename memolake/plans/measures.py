@@ -71,14 +71,18 @@ def u5_suggestions(spark, sf_dir):
     return usage.suggestions(graph.dangling(links, names), stale_orders(spark, sf_dir), twins, wrong, asked)
 
 
-@query(r"""WITH a AS (SELECT text, conv_id, turn FROM conversations WHERE role = 'user'), q AS (FROM a UNION ALL SELECT upper(replace(text, ' ', '   ')), conv_id + 1, turn + 1 FROM a WHERE conv_id % 3 = 0)
-SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS question, count(*) AS times, count(DISTINCT conv_id) AS askers, count(DISTINCT DATE '2024-01-01' + (conv_id % 9)::INT) AS days, count(*) FILTER (turn % 3 = 0) AS misses FROM q GROUP BY 1 HAVING count(*) >= 2""")
+@query(r"""WITH a AS (SELECT text, conv_id, turn FROM conversations WHERE role = 'user'), q AS (FROM a UNION ALL SELECT upper(replace(replace(text, 'ß', 'ss'), ' ', '   ')), conv_id + 1, turn + 1 FROM a WHERE conv_id % 3 = 0),
+k AS (SELECT replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss') AS question, *, DATE '2024-01-01' + (conv_id % 9)::INT AS ts FROM q),
+l AS (SELECT question, array_to_string(list_sort(list(DISTINCT conv_id % 40)), ',') AS documents FROM k WHERE turn % 3 > 0 GROUP BY 1)
+SELECT question, count(*) AS times, count(DISTINCT conv_id) AS askers, count(DISTINCT ts) AS days, count(*) FILTER (turn % 3 = 0) AS misses, max(ts) AS last, coalesce(any_value(documents), '') AS documents FROM k LEFT JOIN l USING (question) WHERE question <> '' GROUP BY 1 HAVING count(*) >= 2""")
 def u8_repeated_questions(spark, sf_dir):
-    """User texts, and a third of them again by another person, in capitals and with more blanks."""
+    """User texts, and a third of them again by another person, in capitals and with more blanks; a conversation finds one document."""
     c = corpus.table(spark, sf_dir, "conversations").where("role = 'user'").select("text", "conv_id", "turn")
     again = c.where("conv_id % 3 = 0").select(F.upper(F.replace("text", F.lit(" "), F.lit("   "))), F.col("conv_id") + 1, F.col("turn") + 1)
     c = c.union(again)
-    return usage.repeated_questions(c.select("text", F.col("conv_id").alias("asker"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 9).cast("int")).alias("ts"), (F.col("turn") % 3).alias("hits")))
+    asked = c.select("text", F.col("conv_id").alias("asker"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 9).cast("int")).alias("ts"), (F.col("turn") % 3).alias("hits"))
+    out = usage.repeated_questions(asked, c.where("turn % 3 > 0").select("text", (F.col("conv_id") % 40).alias("doc_id")))
+    return out.select("question", "times", "askers", "days", "misses", "last", F.concat_ws(",", F.transform("documents", lambda x: x.cast("string"))).alias("documents"))
 
 
 @query("SELECT CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS sector, count(*) AS n, count(DISTINCT user_id) AS documents FROM events WHERE event_type = 'view' GROUP BY 1")

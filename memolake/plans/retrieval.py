@@ -77,16 +77,21 @@ def x6_skeletons(spark, sf_dir):
     return index.skeletons(Built(spark, sf_dir).terms)
 
 
-@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_concat([regexp_extract(name, '(\.[A-Za-z0-9]+)$', 1), regexp_extract(name, '(\.[A-Za-z0-9]+\.[A-Za-z0-9]+)$', 1), name, regexp_extract(name, '([A-Z][a-z]+)(?:\.[A-Za-z0-9.]+)?$', 1)],
-  CASE WHEN len(p) > 1 THEN list_transform(range(1, len(p)), lambda i: p[i] || '/' || p[i + 1]) ELSE [] END, CASE WHEN len(p) > 1 THEN p[1:len(p) - 1] ELSE [] END), lambda s: s <> ''))), ' ') AS signals
-FROM (SELECT page_id, p, p[len(p)] AS name FROM (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '') AS p FROM pages)) WHERE len(p) > 0""")
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
+n AS (SELECT page_id, string_split(path, '/')[-1] AS name, string_split(string_split(path, '/')[-1], '.') AS d, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM p),
+c AS (SELECT *, regexp_extract_all(d[1], '[A-Z][a-z0-9]+')[-1] AS camel, range(1, len(segs)) AS places FROM n)
+SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_concat([CASE WHEN len(d) >= 2 THEN '.' || d[-1] END, CASE WHEN len(d) >= 3 THEN '.' || d[-2] || '.' || d[-1] END,
+  CASE WHEN name <> '' AND NOT starts_with(name, '.') THEN name END, camel, CASE WHEN len(d) >= 2 THEN camel || '.' || d[-1] END],
+  list_transform(places, lambda i: segs[i] || '/' || segs[i + 1]), list_transform(places, lambda i: segs[i] || '/')), lambda x: x IS NOT NULL))), ' ') AS signals FROM c""")
 def t13_path_signals(spark, sf_dir):
     p = corpus.table(spark, sf_dir, "pages")
     return p.select("page_id", F.concat_ws(" ", T.path_signals(F.regexp_replace("url", "^[a-z]+://", ""))).alias("signals"))
 
 
-@query(r"""SELECT doc_id, array_to_string(f, ' ') AS facts FROM (SELECT doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9_-]*#\d+'), regexp_extract_all(text, '\b[\w-]+\.(?:py|md|json|ts|js|sh|yml|yaml|toml|sql)\b'),
-  regexp_extract_all(text, '\b\d+/\d+\b'), regexp_extract_all(text, '\b20\d\d-\d\d-\d\d\b')))) AS f FROM documents) WHERE len(f) > 0""")
+@query(r"""WITH plain AS (SELECT doc_id, regexp_replace(text, '\[[^\]]*\]\([A-Za-z0-9_./-]+\.md\)', ' ', 'g') AS t FROM documents),
+found AS (SELECT doc_id, list_concat(regexp_extract_all(t, '\b[a-z][a-z-]{1,20}#\d{2,5}\b'), regexp_extract_all(t, '\b[\w.-]+\.(?:md|sh|py|ts|tsx|php|json|xml)\b'),
+  regexp_extract_all(t, '\b\d+(?:[/→~-]\d+)+\b'), regexp_extract_all(t, '\b\d{4}-\d{2}-\d{2}\b')) AS f FROM plain)
+SELECT doc_id, array_to_string(list_sort(list_distinct(g)), ' ') AS facts FROM (SELECT doc_id, list_filter(f, lambda x: length(x) > 3 AND x NOT IN ('MEMORY.md', 'CLAUDE.md', 'AGENTS.md', 'README.md', 'config.json')) AS g FROM found) WHERE len(g) > 0""")
 def t15_facts(spark, sf_dir):
     d = corpus.table(spark, sf_dir, "documents").select("doc_id", T.facts(F.col("text")).alias("f")).where(F.size("f") > 0)
     return d.select("doc_id", F.concat_ws(" ", "f").alias("facts"))
