@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memolake.operators import chains
 from memolake.operators.validity import resolved, started
-from memolake.tables import released, staged
+from memolake.tables import staged
 
 # What a record can declare, and the states of one that can follow another.
 FIELDS = ["topic", "facet", "status", "valid_from", "valid_to", "supersedes", "superseded_by", "change_reason", "evidence", "legacy_whole_record_sha"]
@@ -86,56 +87,51 @@ def states(records: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
 
 
 def in_cycles(edges: DataFrame) -> DataFrame:
-    """(id) of the records that a chain of edges leads back to.
+    """(id) of the records that a chain of edges through another record leads back to."""
+    return chains.cyclic_components(edges).select("id")
 
-    Records that nothing leads to, or that lead nowhere, are peeled off in rounds; only what is left, cycles and the ways
-    between them, is closed by doubling.
-    """
-    step = staged(edges.where("id <> next").select("id", "next").distinct(), "step")
-    loops = edges.where("id = next").select("id").distinct()
-    n = step.count()
-    while n:
-        less = step.join(step.select(F.col("next").alias("id")).distinct(), "id", "left_semi").join(step.select(F.col("id").alias("next")).distinct(), "next", "left_semi").select("id", "next")
-        old, step = step, staged(less, "step")
-        released(old)
-        was, n = n, step.count()
-        if n == was:
-            break
-    reach, size = step, n
-    while n:
-        far = reach.join(reach.select(F.col("id").alias("_by"), F.col("next").alias("_to")), F.col("next") == F.col("_by")).select("id", F.col("_to").alias("next"))
-        new = staged(reach.union(far).distinct(), "reach")
-        if reach is not step:
-            released(reach)
-        reach, was, size = new, size, new.count()
-        if size == was:
-            break
-    return reach.where("id = next").select("id").union(loops).distinct()
-
-
-def review(records: DataFrame, state: DataFrame, cyclic: DataFrame, now: Column) -> DataFrame:
-    """(id, flags, priority): what a person should look at, the most urgent first. flags in this order: cycle, invalid,
-    untracked, conflict, pending (proposed), no-evidence, no-start, no-kind."""
-    d = records.join(state.select("id", "state", "conflicts"), "id").join(cyclic.withColumn("cyclic", F.lit(True)), "id", "left")
-    rules = [
-        ("cycle", F.col("cyclic")), ("invalid", F.col("issue").isNotNull()), ("untracked", F.col("topic").isNull()), ("conflict", F.size("conflicts") > 0), ("pending", F.col("status") == "proposed"),
-        ("no-evidence", F.col("topic").isNotNull() & (F.coalesce(F.size("evidence"), F.lit(0)) < 1)), ("no-start", F.col("topic").isNotNull() & F.col("valid_from").isNull()), ("no-kind", F.coalesce("kind", F.lit("")) == ""),
-    ]
-    flags = F.array_compact(F.array(*[F.when(c, F.lit(x)) for x, c in rules]))
-    first = F.coalesce(*[F.when(c, F.lit(i)) for i, (_, c) in enumerate(rules)])
-    return d.select("id", flags.alias("flags"), first.alias("priority")).where("priority is not null")
+
+# What makes a record worth a look, in order, and how urgent that is.
+REASONS = {"cycle": 0, "invalid": 0, "untracked": 3, "conflict": 1, "pending": 2, "no-evidence": 3, "no-start": 3, "no-kind": 3}
+
+
+def review(records: DataFrame, state: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """(id, state, flags, priority): what a person should look at. flags in the order of REASONS, priority is that of the most
+    urgent one. Evidence and a start are missed in active, proposed and disputed records; conflict is being disputed."""
+    d = records.join(state.select("id", "state"), "id").join(cyclic.select("id").distinct().withColumn("cyclic", F.lit(True)), "id", "left")
+    open_ = F.col("state").isin("active", "proposed", "disputed")
+    rules = {
+        "cycle": F.col("cyclic"), "invalid": F.col("issue").isNotNull(), "untracked": F.col("state") == "untracked", "conflict": F.col("state") == "disputed", "pending": F.col("state") == "proposed",
+        "no-evidence": open_ & (F.coalesce(F.size("evidence"), F.lit(0)) < 1), "no-start": open_ & F.col("valid_from").isNull(), "no-kind": F.trim(F.coalesce("kind", F.lit(""))) == "",
+    }
+    flags = F.array_compact(F.array(*[F.when(c, F.lit(x)) for x, c in rules.items()]))
+    urgent = F.least(*[F.when(c, F.lit(REASONS[x])) for x, c in rules.items()])
+    return d.select("id", "state", flags.alias("flags"), urgent.alias("priority")).where("priority is not null")
+
+
+def review_counts(records: DataFrame, state: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(what, value, n): how many records have each state, reason, kind and source."""
+    each = records.join(state.select("id", "state"), "id").join(reviewed.select("id", "flags"), "id", "left")
+    pairs = [("state", "state"), ("kind", "kind"), ("source", "source")]
+    of = F.concat(F.array(*[F.struct(F.lit(w).alias("what"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for w, c in pairs]), F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda f: F.struct(F.lit("reason").alias("what"), f.alias("value"))))
+    return each.select(F.explode(of).alias("x")).groupBy("x.what", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def review_page(reviewed: DataFrame, records: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A page of what to look at: the most urgent first, then by scope, name and id."""
+    return reviewed.join(records.select("id", "scope", "name"), "id").orderBy("priority", "scope", "name", "id").offset(offset).limit(limit)
 
 
 def competing(incoming: DataFrame, records: DataFrame, edges: DataFrame, moments: list) -> DataFrame:
     """(key, at, head): for new records (key, scope, topic, facet, valid_from, supersedes), the current records of the fact, at
-    each of the moments from the new one's start on, that it doesn't supersede."""
-    out = None
-    for at in moments:
-        heads = resolved(records, edges, F.lit(at)).where("id = current").select("id").join(records.select("id", "name", "scope", "topic", "facet"), "id")
-        met = incoming.where(F.col("valid_from") <= F.lit(at)).join(heads, ["scope", "topic", "facet"]).where(~F.array_contains("supersedes", F.col("name")))
-        met = met.select("key", F.lit(at).alias("at"), F.col("id").alias("head"))
-        out = met if out is None else out.unionByName(met)
-    return out
+    each of the moments from the new one's start on, that it doesn't supersede. All moments are resolved together: what
+    follows what is one graph for each of them."""
+    each = F.explode(F.array(*map(F.lit, moments))).alias("at")
+    at_once = records.select("*", each).withColumn("id", F.struct("at", "id"))
+    steps = edges.select("id", "next", each).select(F.struct("at", "id").alias("id"), F.struct("at", F.col("next").alias("id")).alias("next"))
+    heads = resolved(at_once, steps, F.col("at")).where("id = current").select("id.at", "id.id").join(records.select("id", "name", "scope", "topic", "facet"), "id")
+    met = incoming.join(heads, ["scope", "topic", "facet"]).where(F.col("valid_from") <= F.col("at")).where(~F.array_contains("supersedes", F.col("name")))
+    return met.select("key", "at", F.col("id").alias("head"))
 
 
 def missing_facts(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -174,25 +170,11 @@ def carriers(items: DataFrame, rules: DataFrame, attached: DataFrame) -> DataFra
     return d.join(ruled, "item", "left").join(met, "item", "left").select("item", F.when(F.col("ruled"), "behaviour").when(F.col("met"), "topic").when(F.size("golds") == 0, "undecidable").otherwise("core").alias("layer"))
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """(id, ancestor), distinct, of edges (id, next), closed by doubling in tables."""
-    reach = staged(edges.where("id <> next").select(F.col("next").alias("id"), F.col("id").alias("ancestor")).distinct(), "ancestors")
-    size = reach.count()
-    while size:
-        far = reach.join(reach.select(F.col("id").alias("_by"), F.col("ancestor").alias("_to")), F.col("ancestor") == F.col("_by")).select("id", F.col("_to").alias("ancestor"))
-        old, reach, was = reach, staged(reach.union(far).distinct(), "ancestors"), size
-        size = reach.count()
-        released(old)
-        if size == was:
-            break
-    return reach
-
-
 def usable_identities(records: DataFrame, edges: DataFrame, cyclic: DataFrame, shas: DataFrame) -> DataFrame:
     """(scope, topic, facet, id): facts that exactly one tracked record of a scope states, where neither it nor any ancestor
     has an issue, is in a cycle or has another content now (shas: id, sha)."""
-    bad = records.where("issue is not null").select("id").union(cyclic).union(records.join(shas.select("id", F.col("sha").alias("now")), "id", "left").where("now is null or now <> sha").select("id")).distinct()
-    tainted = ancestors(edges).join(bad.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").union(bad).distinct()
+    bad = records.where("issue is not null").select("id").union(cyclic.select("id")).union(records.join(shas.select("id", F.col("sha").alias("now")), "id", "left").where("now is null or now <> sha").select("id")).distinct()
+    tainted = chains.led_to(edges, bad)
     one = records.where("topic is not null").groupBy("scope", "topic", "facet").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
     return one.join(tainted, "id", "left_anti").select("scope", "topic", "facet", "id")
 
@@ -201,8 +183,8 @@ def fact_cards(records: DataFrame, edges: DataFrame) -> DataFrame:
     """(scope, topic, facet, n, digest): the records of a fact and the untracked ones before them, and a hash of their sorted
     names, paths and contents."""
     own = records.where("topic is not null").select("scope", "topic", "facet", "id")
-    before = own.join(ancestors(edges), "id").select("scope", "topic", "facet", F.col("ancestor").alias("id"))
-    before = before.join(records.where("topic is null").select("id"), "id", "left_semi").select("scope", "topic", "facet", "id")
+    untracked = records.where("topic is null").select("id")
+    before = chains.Lineage.of(edges).of_groups(own, untracked, ["scope", "topic", "facet"])
     members = own.union(before).distinct().join(records.select("id", "name", "path", "sha"), "id")
     line = F.concat_ws("\u241f", "name", "path", "sha")
     return members.groupBy("scope", "topic", "facet").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("digest"))
@@ -210,7 +192,7 @@ def fact_cards(records: DataFrame, edges: DataFrame) -> DataFrame:
 
 def history(records: DataFrame, edges: DataFrame) -> DataFrame:
     """(scope, topic, facet, place, id): the records of a fact in order of their start, how many they come after, and name."""
-    depth = ancestors(edges).groupBy("id").agg(F.count(F.lit(1)).alias("depth"))
+    depth = chains.Lineage.of(edges).counts().select("id", F.col("n").alias("depth"))
     d = records.where("topic is not null").join(depth, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     by = Window.partitionBy("scope", "topic", "facet").orderBy(F.col("valid_from").asc_nulls_first(), "depth", "name", "id")
     return d.select("scope", "topic", "facet", F.row_number().over(by).alias("place"), "id")
