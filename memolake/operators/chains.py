@@ -45,11 +45,15 @@ def segments(e: DataFrame) -> Segments:
     inside = staged(degrees(e).where("before = 1 and after = 1").select(F.col("id").alias("_in")), "inside")
     n, gone = inside.count(), 1
     own = e.join(inside, F.col("next") == F.col("_in")).select(F.col("next").alias("id"), F.col("id").alias("at"))
-    start = own.join(inside, F.col("at") == F.col("_in"), "left").select("id", "at", F.lit(1).cast("long").alias("place"), F.col("id").alias("first"), F.col("id").alias("low"), F.col("_in").isNull().alias("done"))
+    start = own.join(inside, F.col("at") == F.col("_in"), "left")
+    start = start.select("id", "at", F.lit(1).cast("long").alias("place"), F.col("id").alias("first"), F.col("id").alias("low"), F.col("_in").isNull().alias("done"), F.lit(False).alias("met"))
     walk = staged(start, "walk")
-    while gone <= n and walk.where("not done").limit(1).count():
+    # The least node of a ring meets itself when it is the least one farther back too; when all that is left is under such
+    # nodes, all that is left is rings.
+    while gone <= n and walk.where("not done").join(walk.where("met").select("low"), "low", "left_anti").limit(1).count():
         on = walk.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("place").alias("_place"), F.col("first").alias("_first"), F.col("low").alias("_low"), F.col("done").alias("_done"))
-        far = walk.where("not done").join(on, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at"), (F.col("place") + F.col("_place")).alias("place"), F.col("_first").alias("first"), F.least("low", "_low").alias("low"), F.col("_done").alias("done"))
+        far = walk.where("not done").join(on, F.col("at") == F.col("_id"))
+        far = far.select("id", F.col("_at").alias("at"), (F.col("place") + F.col("_place")).alias("place"), F.col("_first").alias("first"), F.least("low", "_low").alias("low"), F.col("_done").alias("done"), (F.col("met") | (F.col("_low") == F.col("id"))).alias("met"))
         old, walk, gone = walk, staged(walk.where("done").unionByName(far), "walk"), 2 * gone
         released(old)
     inner = walk.where("done").select("id", F.col("at").alias("tail"), "first", "place")
@@ -80,9 +84,9 @@ def highest(e: DataFrame) -> DataFrame:
 def cyclic_components(edges: DataFrame) -> DataFrame:
     """(id, component) of nodes in strongly connected components of two or more; component is the smallest node of each.
 
-    Segments are links of what is left, and nodes that nothing leads to, or that lead nowhere, go, as long as that takes
-    half of the edges. What resists is coloured by the greatest node that leads to a node; those that lead back to it are
-    its component, and edges between colours are in none. Inner nodes of a link are in a component if both its ends are.
+    Again and again segments become links, nodes that nothing leads to, or that lead nowhere, go, and what is left is coloured
+    by the greatest node that leads to a node: those that lead back to it are its component, and edges between colours are in
+    none. Inner nodes of a link are in a component if both its ends are.
     """
     e = staged(steps(edges), "edges")
     found, insides, n = [], [], e.count()
@@ -93,9 +97,9 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
         less = steps(s.links.select(F.col("tail").alias("id"), F.col("head").alias("next")))
         less = less.join(less.select(F.col("next").alias("id")).distinct(), "id", "left_semi").join(less.select(F.col("id").alias("next")).distinct(), "next", "left_semi").select("id", "next")
         old, e = e, staged(less, "edges")
-        was, n = n, e.count()
+        n = e.count()
         released(old)
-        if n and n > 0.5 * was:
+        if n:
             tops = highest(e).select("id", "top")
             other = tops.select(F.col("id").alias("next"), F.col("top").alias("_top"))
             same = staged(e.join(tops, "id").join(other, "next").where("top = _top").select("id", "next"), "coloured")
@@ -139,10 +143,14 @@ def led_to(edges: DataFrame, sources: DataFrame) -> DataFrame:
         one = many.where("before = 1").select(F.col("id").alias("_one"))
         own = e.join(one, F.col("next") == F.col("_one")).select(F.col("next").alias("id"), F.col("id").alias("at"))
         own = own.join(one, F.col("at") == F.col("_one"), "left").join(marked.select(F.col("id").alias("_m")), F.col("id") == F.col("_m"), "left")
-        walk, gone = staged(own.select("id", "at", F.col("_m").isNotNull().alias("hit"), F.col("_one").isNull().alias("done")), "walk"), 1
-        while gone <= n and walk.where("not done").limit(1).count():
-            on = walk.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("hit").alias("_hit"), F.col("done").alias("_done"))
-            far = walk.where("not done").join(on, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at"), (F.col("hit") | F.col("_hit")).alias("hit"), F.col("_done").alias("done"))
+        walk, gone = staged(own.select("id", "at", F.col("_m").isNotNull().alias("hit"), F.col("id").alias("low"), F.col("id").alias("back"), F.col("_one").isNull().alias("done"), F.lit(False).alias("met")), "walk"), 1
+        # As in ``segments``, but others may hang on a ring: they are through once they have gone into it, and a round more.
+        last = False
+        while gone <= n and walk.where("not done").limit(1).count() and not last:
+            last = not walk.where("not done").join(walk.where("met").select(F.col("low").alias("back")), "back", "left_anti").limit(1).count()
+            on = walk.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("hit").alias("_hit"), F.col("low").alias("_low"), F.col("done").alias("_done"))
+            far = walk.where("not done").join(on, F.col("at") == F.col("_id"))
+            far = far.select("id", F.col("_at").alias("at"), (F.col("hit") | F.col("_hit")).alias("hit"), F.least("low", "_low").alias("low"), F.col("_low").alias("back"), F.col("_done").alias("done"), (F.col("met") | (F.col("_low") == F.col("id"))).alias("met"))
             old, walk, gone = walk, staged(walk.where("done").unionByName(far), "walk"), 2 * gone
             released(old)
         levels.append(walk)

