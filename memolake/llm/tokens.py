@@ -6,12 +6,13 @@ import base64
 import json
 import os
 import re
-from itertools import chain, repeat
+from array import array
+from itertools import repeat
 
 import numpy as np
 
 #: The ids of so many pieces are kept; then the store starts anew.
-KEEP_PIECES = 500_000
+KEEP_PIECES = 250_000
 _open: dict = {}
 #: Blanks that str.split() takes and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
@@ -68,19 +69,19 @@ class PieceTokenizer:
                 low = word.lower()
                 ids = words.get(low)
                 if ids is None:
-                    ids = words[low] = [t.id for t in tokenize(low)]
+                    ids = words[low] = array("I", [t.id for t in tokenize(low)]).tobytes()
                 if stops := piece[len(word) :]:
                     if stops not in self.marks:
-                        self.marks[stops] = self.tokenizer.encode(stops, add_special_tokens=False).ids
+                        self.marks[stops] = array("I", self.tokenizer.encode(stops, add_special_tokens=False).ids).tobytes()
                     ids = ids + self.marks[stops]
                 got.append(ids)
             else:
                 others.append(i)
                 got.append(None)
         for i, x in zip(others, self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False)):
-            got[i] = x.ids
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+            got[i] = array("I", x.ids).tobytes()
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        ids = np.frombuffer(b"".join(got), np.uint32)
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
         self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
