@@ -2,35 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memolake.tables import staged
+
 
 def corpus_synonyms(posted: DataFrame, term_df: DataFrame, n_docs: DataFrame, src_df: tuple[int, int] = (3, 60), least: int = 3, share: float = 0.6, lift: float = 8.0, dst_share: float = 0.08) -> DataFrame:
     """(src, dst, seen): words that stand by a topic word far more often than elsewhere.
 
-    A word that stands in the wanted share of a source word's documents is missing in few of them. So if those documents are
-    put in order, it stands in one of the first ones, as many as may lack it and one more: only there are words paired, and
-    the pairs then counted over all documents of the source word. A document of many words is met only by source words of
-    which it is one of the first.
+    Each document's words that can be told of another are one array of numbers. A topic word is in 60 documents at most, so
+    their arrays meet in one task, which counts the numbers and keeps those that are in enough of the documents: pairs are
+    rows only once they hold, and how often a word is seen elsewhere is looked at for those alone.
     """
     t = term_df.crossJoin(F.broadcast(n_docs))  # one row
-    src = t.where(F.col("df").between(*src_df)).select(F.col("term").alias("src"), F.col("df").alias("src_df"))
-    dst = t.where((F.col("df") >= least) & (F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n_docs") * dst_share)))).select(F.col("term").alias("dst"), F.col("df").alias("dst_df"), "n_docs")
-    size = posted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
-    left = posted.select("doc_id", F.col("term").alias("src")).join(src, "src").join(size, "doc_id")
-    wanted = F.greatest(F.lit(float(least)), F.col("src_df") * share)
-    # The documents with the fewest words come first.
-    left = left.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("words", "doc_id"))).withColumn("first", F.col("place") <= F.col("src_df") - F.ceil(wanted) + 1)
-    right = posted.select("doc_id", F.col("term").alias("dst")).join(dst, "dst")
-    fits = (F.col("src") != F.col("dst")) & (F.col("dst_df") >= wanted) & (F.col("dst_df") <= F.col("n_docs") / lift)
-    apart = ~F.contains("dst", "src") & ~F.contains("src", "dst")
-    pairs = left.where("first").join(right, "doc_id").where(fits & apart).select("src", "dst", "src_df", "dst_df", "n_docs").distinct()
-    # Each pair is counted over the source word's documents, of which there are src_df[1] at most.
-    held = pairs.join(left.select("src", "doc_id"), "src").join(posted.select("doc_id", F.col("term").alias("dst")), ["doc_id", "dst"])
-    counted = held.groupBy("src", "dst", "src_df", "dst_df", "n_docs").agg(F.count(F.lit(1)).alias("seen"))
+    src = t.where(F.col("df").between(*src_df)).select("term", F.col("df").alias("src_df"))
+    dst = t.where((F.col("df") >= least) & (F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n_docs") * dst_share))) & (F.col("df") <= F.col("n_docs") / lift))
+    dst = staged(dst.select("term", F.col("df").alias("dst_df"), "n_docs").withColumn("number", F.monotonically_increasing_id()), "numbered")
+    words = posted.join(dst.select("term", "number"), "term").groupBy("doc_id").agg(F.collect_list("number").alias("numbers"))
+    near = posted.select("doc_id", "term").join(src, "term").join(words, "doc_id").select("term", "src_df", "numbers")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []  # (term, its df, numbers) rows of a term that may go on in the next batch
+
+        def counted(rows: list) -> tuple:
+            numbers, seen = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
+            enough = seen >= max(least, rows[0][1] * share)
+            return rows[0][0], numbers[enough], seen[enough]
+
+        def frame(found: list) -> pd.DataFrame:
+            return pd.DataFrame({"term": np.repeat(np.array([f[0] for f in found], object), [len(f[1]) for f in found]), "number": np.concatenate([f[1] for f in found]), "seen": np.concatenate([f[2] for f in found])})
+
+        for batch in batches:
+            found = []
+            for row in zip(batch["term"], batch["src_df"], batch["numbers"]):
+                if held and held[0][0] != row[0]:
+                    found.append(counted(held))
+                    held = []
+                held.append(row)
+            if found:
+                yield frame(found)
+        if held:
+            yield frame([counted(held)])
+
+    pairs = near.repartition("term").sortWithinPartitions("term").mapInPandas(count, "term string, number long, seen long").withColumnRenamed("term", "src")
+    pairs = pairs.join(src.withColumnRenamed("term", "src"), "src").join(dst.withColumnRenamed("term", "dst"), "number")
     p = F.col("seen") / F.col("src_df")
-    return counted.where((F.col("seen") >= least) & (p >= share) & (p / (F.col("dst_df") / F.col("n_docs")) >= lift)).select("src", "dst", "seen")
+    good = (F.col("src") != F.col("dst")) & ~F.contains("dst", "src") & ~F.contains("src", "dst") & (p >= share) & (p / (F.col("dst_df") / F.col("n_docs")) >= lift)
+    return pairs.where(good).select("src", "dst", "seen")
 
 
 #: Words of one script in which words change their endings.

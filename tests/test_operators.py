@@ -40,10 +40,7 @@ def duck():
     return con
 
 
-SLOW = {"m1_corpus_synonyms", "m4_bridge"}
-
-
-@pytest.mark.parametrize("name", [n for n in plans.queries() if n in plans.oracle_sql() and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in plans.queries() if n in plans.oracle_sql()])
 def test_query_matches_sql(spark, duck, name):
     df = plans.queries()[name](spark, SF)
     cols = sorted(df.columns)
