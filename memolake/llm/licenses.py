@@ -6,7 +6,9 @@ template has at word t votes for the diagonal p - t. Votes are summed per (docum
 no other within ``drift`` words outvotes is an anchor, and merges those neighbours (words were put in or left out), so a
 span never drifts further, and never takes more of the text than the template's length and the drift. The span is then
 verified on that stretch of text: k-grams compared as text, and not only as hashes, count as far as they rise in the text
-and in the template together, and must cover enough of the template.
+and in the template together, and must cover enough of the template,
+and enough of what tells it from others: its k-grams with the version's number, and those that a template of another label,
+which has much of its text, lacks. So a notice of another version, or of another license of a family, isn't labelled.
 
 A document's rows never meet before the votes: only hits and one sentinel row per document are shuffled.
 
@@ -26,6 +28,8 @@ from memolake.llm.common import table
 K = 3
 #: Diagonals at most so many words from an anchor are of its span; a span proves at least this share of a template.
 DRIFT, COVER = 4, 0.6
+#: Templates of other labels that have such a share of a template are its siblings; a span proves such a share of what tells.
+SIBLING, TELL = COVER, 0.75
 
 #: Phrases that name a license, and labels.
 PHRASES = {
@@ -61,6 +65,10 @@ TEXTS = [
         SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
         OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. THIS SOFTWARE IS"""),
     ("bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
         are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
         2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
@@ -94,6 +102,24 @@ TEXTS = [
 TEMPLATES = [(label, " ".join(re.findall("[0-9a-z]+", text.lower()))) for label, text in TEXTS]
 
 
+def grams_of(text: str, k: int = K) -> list[str]:
+    w = text.split(" ")
+    return [" ".join(w[t : t + k]) for t in range(len(w) - k + 1)]
+
+
+def telling(n: int, templates=TEMPLATES, k: int = K) -> set[str]:
+    """The k-grams of a template that tell it from others."""
+    label, text = templates[n]
+    own = set(grams_of(text, k))
+    version = re.search(r"-(\d+)\.\d+$", label)
+    found = {g for g in own if version and version[1] in g.split(" ")}
+    for other, sibling in templates:
+        theirs = own & set(grams_of(sibling, k))
+        if other != label and len(theirs) >= SIBLING * len(own):
+            found |= own - theirs
+    return found
+
+
 def plain_words(text: Column) -> Column:
     """Words of lower-case text, one blank between them. A-Z are word characters before they are lowered; the two
     letters outside ASCII that Unicode lowers into ASCII are kept out of it."""
@@ -112,13 +138,19 @@ def grams(words: str, k: int = K) -> Column:
     return F.regexp_extract_all(F.col(words), F.lit(pattern), F.lit(1))
 
 
-def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(template, label, template_grams, t, t_gram); template -1 is the sentinel, whose k-gram is empty."""
-    rows = [(-1, "", 0, 0, "")]
+def template_rows(templates=TEMPLATES, k: int = K) -> list[tuple]:
+    """(template, label, its k-grams, its telling ones, place, k-gram, whether that tells)."""
+    rows = []
     for n, (label, text) in enumerate(templates):
-        w = text.split(" ")
-        rows += [(n, label, len(w) - k + 1, t, " ".join(w[t : t + k])) for t in range(len(w) - k + 1)]
-    return spark.createDataFrame(rows, "template int, label string, of_grams int, t int, t_gram string").withColumn("t_hash", F.xxhash64("t_gram"))
+        tell, found = telling(n, templates, k), grams_of(text, k)
+        rows += [(n, label, len(found), sum(g in tell for g in found), t, g, g in tell) for t, g in enumerate(found)]
+    return rows
+
+
+def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
+    """(template, label, of_grams, of_telling, t, t_gram, tells, t_hash); template -1 is the sentinel, whose k-gram is empty."""
+    rows = [(-1, "", 0, 0, 0, "", False), *template_rows(templates, k)]
+    return spark.createDataFrame(rows, "template int, label string, of_grams int, of_telling int, t int, t_gram string, tells boolean").withColumn("t_hash", F.xxhash64("t_gram"))
 
 
 def licensed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cover: float = COVER, drift: int = DRIFT) -> DataFrame:
@@ -144,17 +176,19 @@ def licensed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cov
     # The sentinel, at place 0 before all k-grams, stays by itself: it has the document's facts, the hits don't need them.
     sentinel = F.col("template") == -1
     votes = hits.groupBy("row", "template", (F.col("p") - 1 - F.col("t")).alias("diagonal")).agg(
-        F.first(F.when(sentinel, F.col("about")), ignorenulls=True).alias("about"), F.first("label").alias("label"), F.first("of_grams").alias("of_grams"),
-        F.collect_set("t").alias("ts"),
+        F.first(F.when(sentinel, F.col("about")), ignorenulls=True).alias("about"), F.first("label").alias("label"), F.first("of_grams").alias("of_grams"), F.first("of_telling").alias("of_telling"),
+        F.collect_set(F.struct("t", "tells")).alias("ts"),
     )
     near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-drift, drift)
     strength = F.struct(F.size("ts").alias("n"), (-F.col("diagonal")).alias("d"))
     anchors = votes.withColumn("near", F.collect_list(F.struct("diagonal", "ts")).over(near)).withColumn("most", F.max(strength).over(near)).where(strength == F.col("most"))
-    places = F.array_sort(F.flatten(F.transform("near", lambda x: F.transform(x["ts"], lambda t: F.struct((t + x["diagonal"]).alias("p"), t.alias("t"))))))
+    places = F.array_sort(F.flatten(F.transform("near", lambda x: F.transform(x["ts"], lambda y: F.struct((y["t"] + x["diagonal"]).alias("p"), y["t"].alias("t"), y["tells"].cast("int").alias("tells"))))))
     # Of the k-grams in the order of the text, those that stand later in the template than all before.
-    rising = F.aggregate(places, F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n")), lambda s, x: F.when(x["t"] > s["last"], F.struct(x["t"].alias("last"), (s["n"] + 1).alias("n"))).otherwise(s))
-    spans = anchors.select("row", "template", "about", "label", (rising["n"] / F.greatest("of_grams", F.lit(1))).alias("cover"))
-    good = (F.col("template") >= 0) & (F.col("cover") >= cover)
+    none = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("told"))
+    rising = F.aggregate(places, none, lambda s, x: F.when(x["t"] > s["last"], F.struct(x["t"].alias("last"), (s["n"] + 1).alias("n"), (s["told"] + x["tells"]).alias("told"))).otherwise(s))
+    spans = anchors.select("row", "template", "about", "label", "of_telling", "of_grams", rising.alias("up"))
+    spans = spans.select("row", "template", "about", "label", (F.col("up.n") / F.greatest("of_grams", F.lit(1))).alias("cover"), (F.col("up.told") >= TELL * F.col("of_telling")).alias("tells"))
+    good = (F.col("template") >= 0) & (F.col("cover") >= cover) & F.col("tells")
     out = spans.groupBy("row").agg(
         F.first("about", ignorenulls=True).alias("about"),
         F.collect_set(F.when(good, F.col("label"))).alias("own"),
@@ -173,11 +207,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values() -> str:
-    rows = []
-    for n, (label, text) in enumerate(TEMPLATES):
-        w = text.split(" ")
-        rows += [f"({n}, '{label}', {len(w) - K + 1}, {t}, '{' '.join(w[t : t + K])}')" for t in range(len(w) - K + 1)]
-    return ", ".join(rows)
+    return ", ".join(f"({n}, '{label}', {of}, {of_telling}, {t}, '{g}', {tells})" for n, label, of, of_telling, t, g, tells in template_rows())
 
 
 OP9_SQL = f"""
@@ -190,15 +220,15 @@ named AS (SELECT r, p, CASE WHEN array_to_string(four, ' ') = 'gnu general publi
     WHEN array_to_string(four[1:2], ' ') = 'apache license' THEN 'apache' WHEN array_to_string(four[1:2], ' ') = 'cc by' THEN 'cc-by'
     WHEN array_to_string(four[1:2], ' ') = 'mit license' THEN 'mit' END AS x FROM places),
 base AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list_sort(list(DISTINCT x)) AS b FROM named WHERE x IS NOT NULL GROUP BY r),
-tpl(template, label, of_grams, t, gram) AS (VALUES {_values()}),
-votes AS (SELECT DISTINCT r, template, label, of_grams, p - t AS d, t FROM places JOIN tpl ON len(four) >= 3 AND array_to_string(four[1:3], ' ') = gram),
-strength AS (SELECT r, template, label, of_grams, d, count(*) * 1000000000 - d AS n FROM votes GROUP BY r, template, label, of_grams, d),
-anchors AS (SELECT r, template, label, of_grams, d AS anchor FROM (
+tpl(template, label, of_grams, of_telling, t, gram, tells) AS (VALUES {_values()}),
+votes AS (SELECT DISTINCT r, template, label, of_grams, of_telling, p - t AS d, t, tells FROM places JOIN tpl ON len(four) >= 3 AND array_to_string(four[1:3], ' ') = gram),
+strength AS (SELECT r, template, label, of_grams, of_telling, d, count(*) * 1000000000 - d AS n FROM votes GROUP BY r, template, label, of_grams, of_telling, d),
+anchors AS (SELECT r, template, label, of_grams, of_telling, d AS anchor FROM (
   SELECT *, max(n) OVER (PARTITION BY r, template ORDER BY d RANGE BETWEEN {DRIFT} PRECEDING AND {DRIFT} FOLLOWING) AS most FROM strength) WHERE n = most),
-rising AS (SELECT a.*, v.t > coalesce(max(v.t) OVER (PARTITION BY a.r, a.template, anchor ORDER BY v.d + v.t, v.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS up
+rising AS (SELECT a.*, v.tells, v.t > coalesce(max(v.t) OVER (PARTITION BY a.r, a.template, anchor ORDER BY v.d + v.t, v.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS up
   FROM anchors a JOIN votes v ON v.r = a.r AND v.template = a.template AND v.d BETWEEN anchor - {DRIFT} AND anchor + {DRIFT}),
-spans AS (SELECT r, label, count(*) FILTER (up) / any_value(of_grams)::DOUBLE AS cover FROM rising GROUP BY r, template, label, anchor),
-own AS (SELECT r, list(DISTINCT label) AS o, max(cover) AS cover FROM spans WHERE cover >= {COVER} GROUP BY r)
+spans AS (SELECT r, label, count(*) FILTER (up) / any_value(of_grams)::DOUBLE AS cover, count(*) FILTER (up AND tells) >= {TELL} * any_value(of_telling) AS tells FROM rising GROUP BY r, template, label, anchor),
+own AS (SELECT r, list(DISTINCT label) AS o, max(cover) AS cover FROM spans WHERE cover >= {COVER} AND tells GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(b, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b, []), coalesce(o, [])))), ','), '') AS labels,

@@ -117,6 +117,27 @@ def test_license_spans_are_verified(spark):
     assert [got[i]["labels"] for i in range(5)] == ["", "", "", "bsd", "bsd"] and got[3]["score"] >= 0.6 and got[4]["score"] == 1
 
 
+def test_notices_of_siblings_are_told_apart(spark):
+    """Each notice has its own label only: no other version's, no other license's of the family, none that isn't known."""
+    gpl, apache, cc = "This work is licensed under the GNU General Public License version {}", "Licensed under the Apache License, Version {}", "This work is licensed under a Creative Commons {} International License"
+    cases = {
+        gpl.format(2): "gpl,gpl-2.0", gpl.format(3): "gpl,gpl-3.0", gpl.format(9): "gpl", gpl.replace("is licensed", "is not licensed").format(9): "gpl",
+        apache.format("2.0"): "apache,apache-2.0", apache.format("1.1"): "apache", cc.format("Attribution 4.0"): "cc-by-4.0", cc.format("Attribution-ShareAlike 4.0"): "cc-by-sa-4.0",
+        cc.format("Attribution-NoDerivs 4.0"): "", cc.format("Attribution 3.0"): "", "licensed under CC BY 4.0": "cc-by,cc-by-4.0", "licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+        "licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0", "licensed under CC BY 3.0": "cc-by", "licensed under CC BY-ND 4.0": "cc-by",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1": "",
+        "Released under the MIT License": "mit",
+    }
+    for label, text in licenses.TEXTS:
+        if label in ("lgpl", "agpl", "gpl", "bsd", "isc", "zlib", "bsl-1.0", "unlicense", "cc0-1.0"):
+            cases[text] = label
+    after = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'
+    cases[next(t for x, t in licenses.TEXTS if x == "bsd-3-clause") + after] = "bsd,bsd-3-clause"
+    cases[next(t for x, t in licenses.TEXTS if x == "bsd-2-clause").removesuffix(" THIS SOFTWARE IS") + after] = "bsd,bsd-2-clause"
+    got = {r["doc_id"]: r["labels"] for r in licenses.licensed(spark.createDataFrame([*enumerate(cases)], "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
 @pytest.mark.parametrize("end", ["\u0085", "\u2028", "\u2029"])
 def test_license_places_pass_line_ends(spark, end):
     texts = [f"a{end}b c mit license", f"mit license a{end}b", f"mit license {end} x apache license", f"{end} mit license {end} cc by {end} y"]
