@@ -198,7 +198,9 @@ def kind_aliases(docs: DataFrame, declared: DataFrame) -> DataFrame:
     """(alias, doc_id): names without their longest learned prefix, and declared short names (alias, target, doc_id) with the
     target's prefix put before them; those that two documents would have, or one is named, are left out."""
     prefixes = kind_prefixes(docs).select("prefix").distinct()
-    lead = docs.select("doc_id", "name", F.explode(F.filter(F.array(F.regexp_extract("name", "^([^_]*_)", 1), F.regexp_extract("name", "^([^-]*-)", 1), F.regexp_extract("name", "^(.*?_)", 1)), lambda p: p != "")).alias("prefix"))
+    # A prefix ends with a delimiter: all of a name's that do are looked up.
+    ends = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.substring("name", F.lit(1), i)), lambda p: p.endswith("_") | p.endswith("-"))
+    lead = docs.select("doc_id", "name", F.explode(ends).alias("prefix"))
     longest = lead.join(prefixes, "prefix").groupBy("doc_id", "name").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
     bare = longest.select(F.substring("name", F.length("prefix") + 1, F.lit(1 << 20)).alias("alias"), "doc_id")
     with_prefix = declared.join(longest.select(F.col("name").alias("target"), "prefix"), "target").select(F.concat("prefix", "alias").alias("alias"), "doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,15 +113,21 @@ ROLES = ["directives", "signals", "progress"]
 INDEX_LINK = r"\[[^\]]*\]\(([A-Za-z0-9_./-]+)\.md\)"
 
 
-def index_items(files: DataFrame) -> DataFrame:
+def index_items(files: DataFrame, marker: str = "role", sections: dict[str, list[str]] | None = None) -> DataFrame:
     """(path, line, section, role, raw, golds) of index files (path, raw): one row for each bullet, with the lines that go on
-    with it up to a blank one or a heading; the role is that of a marker in the heading, golds are the stems of links."""
+    with it up to a blank one or a heading; golds are the stems of links. The role is that of a marker in the heading,
+    ``<!-- marker: role -->``, else the first whose pieces of headings (``sections``) stand in it, else ''."""
     lines = files.select("path", F.posexplode(F.split("raw", "\n")).alias("i", "text"))
     by = Window.partitionBy("path").orderBy("i")
     head, bullet, blank = F.col("text").startswith("## "), F.col("text").rlike("^[-*] "), F.trim("text") == ""
-    mark = F.lower(F.regexp_extract("text", r"<!--\s*brain:\s*([A-Za-z]+)\s*-->".replace("brain", r"\w+"), 1))
-    d = lines.withColumn("section", F.last(F.when(head, F.trim(F.regexp_replace(F.substring("text", 4, 1 << 20), r"<!--.*?-->", " "))), ignorenulls=True).over(by))
-    d = d.withColumn("role", F.last(F.when(head, F.when(mark.isin(ROLES), mark).otherwise(F.lit(""))), ignorenulls=True).over(by))
+    plain = F.trim(F.regexp_replace(F.substring("text", 4, 1 << 20), r"<!--.*?-->", " "))
+    mark = F.lower(F.regexp_extract("text", rf"<!--\s*{re.escape(marker)}:\s*([A-Za-z]+)\s*-->", 1))
+    role = F.when(mark.isin(ROLES), mark)
+    for name in ROLES:
+        for piece in filter(None, (sections or {}).get(name, [])):
+            role = role.when(F.contains(plain, F.lit(piece)), F.lit(name))
+    d = lines.withColumn("section", F.last(F.when(head, plain), ignorenulls=True).over(by))
+    d = d.withColumn("role", F.last(F.when(head, role.otherwise(F.lit(""))), ignorenulls=True).over(by))
     # The start of what a line belongs to; -1 where a heading or a blank line ended it.
     d = d.withColumn("start", F.last(F.when(bullet, F.col("i")).when(head | blank, F.lit(-1)), ignorenulls=True).over(by)).where("start >= 0")
     first = lambda c, x: F.coalesce(F.first(c), F.lit(x))

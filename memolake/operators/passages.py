@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,9 +30,9 @@ def starts(text: str, piece: str) -> np.ndarray:
 
 
 def lowered(text: str) -> str:
-    """Lower case, where that keeps all places."""
+    """Lower case with all places kept: letters whose lower case is longer stay as they are."""
     low = text.lower()
-    return low if len(low) == len(text) else text
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def window_worth(text: str, words: list[tuple[float, list[str]]], width: int = WIDTH) -> float:
@@ -52,32 +54,33 @@ def window_worth(text: str, words: list[tuple[float, list[str]]], width: int = W
 def best_window(text: str, words: list[tuple[float, list[str]]], lo: int, hi: int, width: int, empty: str) -> tuple[int, int, str]:
     """(start, end, rule) of the earliest window of at most ``width`` characters in text[lo:hi] whose words, each with a term
     wholly inside, are worth most; without a word the region's middle (``centre``) or its start."""
-    low = lowered(text)[lo:hi]
-    terms = [(i, len(g), lo + starts(low, g.lower())) for i, (_, gs) in enumerate(words) for g in gs]
-    terms = [t for t in terms if len(t[2])]
-    if hi - lo <= width:
-        return lo, hi, "words" if terms else f"short-{empty}"
-    if not terms:
-        first = lo + (hi - lo - width) // 2 if empty == "centre" else lo
-        return first, first + width, empty
-    tries = np.unique(np.concatenate([[lo], *[np.clip(np.concatenate((at, at + n - width)), lo, hi - width) for _, n, at in terms]]).astype(np.int64))
+    low, span = lowered(text)[lo:hi], min(width, hi - lo)
+    found = [(i, len(g), lo + starts(low, g.lower())) for i, (_, terms) in enumerate(words) for g in terms]
+    found = [x for x in found if len(x[2])]
+    # Windows that begin with a term, end with one, or begin with the region; without a term the only one is the empty rule's.
+    opening = [lo if found or empty != "centre" else lo + (hi - lo - span) // 2]
+    tries = np.unique(np.concatenate([opening, *[np.clip(np.concatenate((at, at + n - span)), lo, hi - span) for _, n, at in found]]).astype(np.int64))
     holds = np.zeros((len(words), len(tries)), bool)
-    for i, n, at in terms:
+    for i, n, at in found:
         after = np.searchsorted(at, tries)
-        holds[i] |= (n <= width) & (after < len(at)) & (at[np.minimum(after, len(at) - 1)] + n <= tries + width)
-    worth = np.array([w for w, _ in words]) @ holds
-    first = int(tries[int(np.argmax(np.round(worth, 9)))])
-    return first, first + width, "words"
+        holds[i] |= (after < len(at)) & (at[np.minimum(after, len(at) - 1)] + n <= tries + span)
+    first = int(tries[np.argmax(np.round(np.array([w for w, _ in words]) @ holds, 9))]) if found else opening[0]
+    return first, first + span, "words" if found else "short-" * (span < width or hi - lo == width) + empty
 
 
 def excerpt_of(body: str, words: list[str], radius: int = RADIUS) -> str:
+    """One line around the first place of that word, of all first places, which has most words wholly within the radius; the
+    head if no word is there. Dots where text is left out before it, and after it."""
     low = body.lower()
-    places = [p for w in words if (p := low.find(w.lower())) >= 0]
-    if not places:
-        return re.sub(r"\s+", " ", body[: 2 * radius]).strip()
-    near = [sum(w.lower() in low[max(0, p - radius) : p + radius] for w in words) for p in places]
-    at = places[int(np.argmax(near))]
-    return re.sub(r"\s+", " ", ("…" if at > radius else "") + body[max(0, at - radius) : at + radius] + "…").strip()
+    at = [(len(w), starts(low, w.lower())) for w in words]
+    firsts = np.array([p[0] for _, p in at if len(p)], np.int64)
+    if not len(firsts):
+        return " ".join(body[: 2 * radius].split())
+    lows, highs = np.maximum(firsts - radius, 0), np.minimum(firsts + radius, len(low))
+    within = sum((np.append(p, len(low) + 1)[np.searchsorted(p, lows)] + n <= highs).astype(int) for n, p in at)
+    place = int(firsts[np.argmax(within)])
+    begin = max(place - radius, 0)
+    return " ".join(("…" * (begin > 0) + body[begin : place + radius] + "…").split())
 
 
 def query_words(chosen: DataFrame) -> DataFrame:
@@ -143,37 +146,38 @@ def evidence(pool: DataFrame, docs: DataFrame, chosen: DataFrame, width: int = E
     return d.mapInPandas(find, f"qid {_type(d, 'qid')}, doc_id {_type(d, 'doc_id')}, chunk_no int, start int, end int, rule string, passage string")
 
 
+# Fixed value: how an embedder is given a passage.
+PROMPT = "title: {} | text: {}"
+#: Where a text may be cut, the best places first: after a paragraph, a line, a sentence.
+BREAKS = [re.compile(rx) for rx in (r"\n\s*\n", r"\n", r"[.!?]\s+")]
+#: A piece has at most so many characters for each token of the budget.
+REACH = 8
+
+
 def prompt(text: str, title: str) -> str:
-    return f"title: {title or 'none'} | text: {text}"
+    return PROMPT.format(title or "none", text)
 
 
 def pieces_of(text: str, title: str, count: Callable[[str], int], budget: int) -> list[tuple[int, int, int, str]]:
     """(start, end, tokens, hash) of pieces that cover the text without overlap, each of at most ``budget`` tokens with its
-    prompt, cut after a paragraph, else a line, else a sentence, where one ends in the piece's second half."""
-    while title and count(prompt("", title)) > budget // 2:
-        title = title[: len(title) // 2]
-    if count(prompt("", title)) >= budget:
-        raise ValueError("the prompt alone takes the whole budget")
-    out, at = [], 0
-    while at < len(text):
-        fits, most = at, min(len(text), at + 8 * budget)
-        if count(prompt(text[at:most], title)) <= budget:
-            fits = most
-        else:
-            over = most
-            while over - fits > 1:
-                mid = (fits + over) // 2
-                fits, over = (mid, over) if count(prompt(text[at:mid], title)) <= budget else (fits, mid)
-        if fits == at:
-            raise ValueError("one character doesn't fit the budget")
-        if fits < len(text):
-            half = at + (fits - at) // 2
-            ends = (max((m.end() for m in re.finditer(rx, text[at:fits])), default=-1) + at for rx in (r"\n\s*\n", r"\n", r"[.!?]\s+"))
-            fits = next((e for e in ends if e >= half and e > at), fits)
-        whole = prompt(text[at:fits], title)
-        out.append((at, fits, count(whole), hashlib.sha256(whole.encode()).hexdigest()))
-        at = fits
-    return out
+    prompt, cut after a paragraph, else a line, else a sentence, where one ends in the piece's second half. A title is
+    halved until it takes half of the budget at most. count is taken to grow with the text."""
+    halves = (title[: len(title) >> k] for k in range(len(title).bit_length() + 1))
+    title = next((t for t in halves if count(prompt("", t)) <= budget // 2), "")
+    breaks = [np.array([m.end() for m in rx.finditer(text)], np.int64) for rx in BREAKS]
+    cuts = [0]
+    while cuts[-1] < len(text):
+        begin = cuts[-1]
+        reach = min(REACH * budget, len(text) - begin)
+        # As many characters as fit: the first count that is too high comes after them.
+        most = bisect_left(range(1, reach + 1), True, key=lambda n: count(prompt(text[begin : begin + n], title)) > budget)
+        if not most:
+            raise ValueError("the budget has no room for the prompt and a character")
+        last = [int(b[i - 1]) for b in breaks if (i := np.searchsorted(b, begin + most, "right"))]
+        good = [e for e in last if e - begin >= max(1, most // 2)] if begin + most < len(text) else []
+        cuts.append(good[0] if good else begin + most)
+    whole = [prompt(text[a:b], title) for a, b in pairwise(cuts)]
+    return [(a, b, count(w), hashlib.sha256(w.encode()).hexdigest()) for (a, b), w in zip(pairwise(cuts), whole)]
 
 
 def token_plan(docs: DataFrame, counter: Callable[[], Callable[[str], int]], budget: int = 768) -> DataFrame:
@@ -228,13 +232,21 @@ def better_of_lanes(pool: DataFrame, worth: DataFrame, k: int, factor: DataFrame
     return d.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("qid", "doc_id", "rank")
 
 
-def linked_arm(pool: DataFrame, meaning: DataFrame, edges: DataFrame, seeds: int = 3) -> DataFrame:
-    """pool and the neighbours of each query's first meaning hits, behind all others (no rank in either lane)."""
+def neighbours(pool: DataFrame, meaning: DataFrame, edges: DataFrame, seeds: int = 3) -> DataFrame:
+    """(qid, doc_id): documents linked, either way, with a query's first meaning hits that the pool doesn't have."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     seed = meaning.where(F.col("rank") <= seeds).select("qid", F.col("doc_id").alias("src"))
-    near = both.join(little(seed, FEW), "src").select("qid", F.col("dst").alias("doc_id")).distinct().join(pool.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    return both.join(little(seed, FEW), "src").select("qid", F.col("dst").alias("doc_id")).distinct().join(pool.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+
+
+def linked_arm(pool: DataFrame, near: DataFrame, worth: DataFrame, cos: DataFrame | None = None) -> DataFrame:
+    """pool and those of the neighbours (qid, doc_id) that are worth something (worth: qid, doc_id, worth), behind all others (no
+    rank in either lane), the nearest first by the cosine of their best chunk (cos: qid, doc_id, cos)."""
+    near = near.join(worth.where("worth > 0").select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+    near = near.withColumn("cos", F.lit(None).cast("double")) if cos is None else near.join(cos.groupBy("qid", "doc_id").agg(F.max("cos").alias("cos")), ["qid", "doc_id"], "left")
     last = pool.groupBy("qid").agg((F.max("base") + 1).alias("_last"))
-    near = near.join(last, "qid").withColumn("base", F.col("_last") + F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")) - 1)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc_nulls_last(F.round("cos", 6)), "doc_id"))
+    near = near.join(last, "qid").withColumn("base", F.col("_last") + place - 1)
     return pool.unionByName(near.select("qid", "doc_id", F.lit(20).alias("w"), F.lit(20).alias("m"), "base"))
 
 

@@ -555,7 +555,9 @@ def f2_better_of_lanes(spark, sf_dir):
 @query()
 def f3_linked_arm(spark, sf_dir):
     b, p, other, _ = two_lanes(spark, sf_dir)
-    return passages.linked_arm(p, other, b.docs.select(doc_id().alias("src"), (doc_id() + 2).alias("dst")).where("dst % 5 = 0"))
+    near = passages.neighbours(p, other, b.docs.select(doc_id().alias("src"), (doc_id() + 2).alias("dst")).where("dst % 5 = 0"))
+    chosen = pool(spark, sf_dir)[3]
+    return passages.linked_arm(p, near, passages.worths(near, b.docs, chosen), near.withColumn("cos", (doc_id() % 7) / 7))
 
 
 @query(f"""{RESULTS}, p AS (SELECT r.qid, count(*) AS n, 'Question: ' || any_value(b.text) || chr(10) || chr(10) || string_agg('[' || rank || '] doc_' || r.doc_id || ' — ' || chr(10) || substr(trim(d.text, ' '), 1, 420), chr(10) || chr(10) ORDER BY rank) AS prompt FROM results r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = r.qid GROUP BY r.qid)

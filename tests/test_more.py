@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memolake.operators import evaluate, index, learn, passages, signals
+from memolake.operators import evaluate, index, learn, parse, passages, signals
 from memolake.plans import measures
 from memolake.streaming import sessions
 
@@ -68,8 +68,40 @@ def test_lanes(spark):
     assert got == sorted(base, key=lambda d: (min(ranks[d]) + 1, passage[d], sum(ranks[d]), ranks[d][0]))
     zero = spark.createDataFrame([(10, 0.0)], "doc_id long, factor double")
     assert [r["doc_id"] for r in passages.better_of_lanes(pool, worth, 5, zero).orderBy("rank").collect()][-1] == 10
-    more = passages.linked_arm(pool, meaning, spark.createDataFrame([(13, 77), (12, 99)], "src long, dst long")).collect()
-    assert {r["doc_id"]: r["base"] for r in more}[77] == 5 and len(more) == 6
+    near = passages.neighbours(pool, meaning, spark.createDataFrame([(13, 77), (12, 99), (78, 14), (13, 79), (10, 13)], "src long, dst long"))
+    assert {r["doc_id"] for r in near.collect()} == {77, 78, 79}
+    worth = spark.createDataFrame([(1, 77, 0.5), (1, 78, 0.5), (1, 79, 0.0)], "qid long, doc_id long, worth double")
+    assert {r["doc_id"]: r["base"] for r in passages.linked_arm(pool, near, worth).collect() if r["base"] > 4} == {77: 5, 78: 6}
+    cos = spark.createDataFrame([(1, 78, 0.9), (1, 77, 0.4), (1, 77, 0.5)], "qid long, doc_id long, cos double")
+    assert {r["doc_id"]: r["base"] for r in passages.linked_arm(pool, near, worth, cos).collect() if r["base"] > 4} == {78: 5, 77: 6}
+
+
+def test_excerpts():
+    body = "x" * 200 + " two " + "y" * 100 + " one two " + "z" * 300
+    got = passages.excerpt_of(body, ["two", "one", "none"])
+    assert got.startswith("…") and got.endswith("…") and "one two" in got and len(got) <= 2 * passages.RADIUS + 2
+    assert passages.excerpt_of("One  word\nhere", ["word"]) == "One word here…" and passages.excerpt_of("no  such", ["word"]) == "no such" and passages.excerpt_of("", ["a"]) == ""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        t = "".join(rng.choice(list("ab c"), 80))
+        words, r = ["ab", "c a", "bb", "zz"], 9
+        firsts = [t.find(w) for w in words if w in t]
+        near = [sum(w in t[max(0, p - r) : p + r] for w in words) for p in firsts]
+        p = firsts[near.index(max(near))] if firsts else 0
+        want = ("…" if p > r else "") + t[max(0, p - r) : p + r] + "…" if firsts else t[: 2 * r]
+        assert passages.excerpt_of(t, words, r) == " ".join(want.split())
+
+
+def test_roles_and_aliases_of_kinds(spark):
+    raw = "## A <!-- todo: signals -->\n- x\n## B <!-- note: progress -->\n- y\n## Rules to keep\n- z"
+    d = spark.createDataFrame([("p", raw)], "path string, raw string")
+    assert [r["role"] for r in parse.index_items(d, "note", {"directives": ["Rules", ""]}).orderBy("line").collect()] == ["", "progress", "directives"]
+    assert [r["role"] for r in parse.index_items(d).orderBy("line").collect()] == ["", "", ""]
+    names = [("work-log", "work-log-alpha"), ("work-log", "work-log-beta"), ("my_kind", "my_kind_gamma"), ("work", "work-delta"), ("", "other-epsilon"), ("note", "zeta")]
+    docs = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(names)], "doc_id long, kind string, name string")
+    declared = spark.createDataFrame([("short", "my_kind_gamma", 2)], "alias string, target string, doc_id long")
+    got = {r["alias"]: r["doc_id"] for r in index.kind_aliases(docs, declared).collect()}
+    assert got == {"alpha": 0, "beta": 1, "gamma": 2, "delta": 3, "my_kind_short": 2}
 
 
 def test_margins(spark):
