@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import unified_diff
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memolake.operators import chains
+from memolake.operators.graph import components
 from memolake.operators.validity import resolved, started
 from memolake.tables import staged
 
@@ -196,3 +200,45 @@ def history(records: DataFrame, edges: DataFrame) -> DataFrame:
     d = records.where("topic is not null").join(depth, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     by = Window.partitionBy("scope", "topic", "facet").orderBy(F.col("valid_from").asc_nulls_first(), "depth", "name", "id")
     return d.select("scope", "topic", "facet", F.row_number().over(by).alias("place"), "id")
+
+
+def unified(before: str, after: str, old: str, new: str) -> str:
+    """What changed between two texts, line by line."""
+    return "\n".join(unified_diff(before.splitlines(), after.splitlines(), fromfile=old, tofile=new, lineterm=""))
+
+
+def changes(records: DataFrame, edges: DataFrame, most: int = 5, lines: int = 40, chars: int = 1000) -> DataFrame:
+    """(id, before, diff, truncated, more): how each record (id, name, body) differs from those that it follows in edges (id, next),
+    the first five by id; diff has 40 lines and 1,000 characters at most, more tells whether there are more than five.
+
+    Only neighbours meet, so a version's text is read once for each of them. A null body is empty."""
+
+    @F.pandas_udf("diff string, truncated boolean")
+    def diff(before: pd.Series, after: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        rows = []
+        for whole in map(unified, before, after, old, new):
+            head = "\n".join(whole.split("\n")[:lines])
+            rows.append((head[:chars], whole.count("\n") >= lines or len(whole) > chars))
+        return pd.DataFrame(rows, columns=["diff", "truncated"])
+
+    by = Window.partitionBy("id")
+    prev = edges.where("id <> next").select(F.col("next").alias("id"), F.col("id").alias("before")).distinct()
+    prev = prev.withColumn("_place", F.row_number().over(by.orderBy("before"))).withColumn("more", F.count(F.lit(1)).over(by) > most).where(F.col("_place") <= most)
+    of = lambda x, p: records.select(F.col("id").alias(x), F.coalesce("name", F.lit("")).alias(f"{p}_name"), F.coalesce("body", F.lit("")).alias(f"{p}_body"))
+    d = prev.join(of("id", "new"), "id").join(of("before", "old"), "before")
+    return d.select("id", "before", diff("old_body", "new_body", "old_name", "new_name").alias("d"), "more").select("id", "before", "d.diff", "d.truncated", "more")
+
+
+def branches(records: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(scope, topic, facet, branch_topic, branch_facet, names): for the facts of seeds (scope, topic, facet) the other facts that hang
+    together with them, by what follows what or by untracked records both come of."""
+    fact = ["scope", "topic", "facet"]
+    tracked = records.where("topic is not null")
+    star = tracked.join(tracked.groupBy(*fact).agg(F.min("id").alias("least")), fact).select(F.col("id").alias("src"), F.col("least").alias("dst"))
+    e = edges.select(F.col("id").alias("src"), F.col("next").alias("dst")).union(star).where("src <> dst")
+    part = staged(components(records.select(F.col("id").alias("doc_id")), e).select(F.col("doc_id").alias("id"), "component"), "parts")
+    of_fact = tracked.join(part, "id").groupBy("component", *fact).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    mine = of_fact.join(seeds.select(*fact).distinct(), fact, "left_semi").select("component", *fact)
+    other = of_fact.select("component", F.col("scope").alias("_scope"), F.col("topic").alias("branch_topic"), F.col("facet").alias("branch_facet"), "names")
+    met = mine.join(other, "component").where("scope <> _scope or topic <> branch_topic or facet <> branch_facet")
+    return met.select(*fact, "branch_topic", "branch_facet", "names")

@@ -277,3 +277,24 @@ def c15_carriers(spark, sf_dir):
     items = d.select("item", F.when(i % 3 == 0, "directives").when(i % 3 == 1, "signals").otherwise("progress").alias("role"), F.when(i % 4 == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"), text("g", i))).alias("golds"))
     rules = d.where(i % 5 == 0).select(F.lit("r").alias("rule"), text("g", i).alias("memory"))
     return records.carriers(items, rules, d.where(i % 7 == 0))
+
+
+@query()
+def t17_changes(spark, sf_dir):
+    """Documents as versions: each follows the one before, every fourth begins anew, and every tenth follows the one before that too."""
+    d = corpus.table(spark, sf_dir, "documents").select(doc_id().alias("id"), text("doc", doc_id()).alias("name"), F.col("text").alias("body"))
+    i = F.col("id")
+    edges = d.where(i % 4 != 3).select("id", (i + 1).alias("next")).union(d.where(i % 10 == 8).select("id", i + 2))
+    return records.changes(d, edges)
+
+
+@query(f"""WITH RECURSIVE {FACTS}, g AS (SELECT id, topic || '/' || id % 2 AS t FROM f), near AS (SELECT id AS a, next AS b FROM edges UNION SELECT next, id FROM edges UNION SELECT x.id, y.id FROM g x JOIN g y ON x.t = y.t AND x.id <> y.id),
+w(a, b) AS (SELECT id, id FROM f WHERE topic % 50 = 1 UNION SELECT w.a, n.b FROM w JOIN near n ON n.a = w.b),
+pairs AS (SELECT DISTINCT x.t AS topic, y.t AS branch_topic FROM w JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE x.t <> y.t)
+SELECT 'c' || topic AS topic, 'c' || branch_topic AS branch_topic, (SELECT string_agg('r' || id, ',' ORDER BY 'r' || id) FROM g WHERE t = branch_topic) AS names FROM pairs""")
+def c7_branches(spark, sf_dir):
+    """Two facts to a customer, by even and odd orders, that follow each other; those of every fiftieth customer are asked for."""
+    r, edges = with_issues(spark, sf_dir)
+    r = r.withColumn("topic", F.concat("topic", F.lit("/"), (F.col("id") % 2).cast("string")))
+    seeds = r.where(F.regexp_extract("topic", "^c([0-9]+)/", 1).try_cast("long") % 50 == 1)
+    return records.branches(r, edges, seeds).select("topic", "branch_topic", F.concat_ws(",", "names").alias("names"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memolake.operators import evaluate, parse
+from memolake.operators import evaluate, parse, shrink
 from memolake.plans.retrieval import GOLD, RESULTS, Built, gold
 from memolake.plans import sql as S
 from memolake.sources import corpus
@@ -102,3 +102,49 @@ def n17_moved_only(spark, sf_dir):
 def u4_never_recalled(spark, sf_dir):
     e = corpus.table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("doc_id")).distinct().join(e.where("event_type = 'click' and value > 60").select(F.col("user_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+SHRINK = r"""i AS (SELECT 'f' || doc_id // 20 AS path, doc_id % 20 + 1 AS line, CASE WHEN doc_id % 20 = 0 THEN 'directives' ELSE '' END AS role, doc_id,
+  '- [T](doc_' || doc_id || '.md) — ' || CASE WHEN doc_id % 3 = 0 THEN 'see `' ELSE '' END || trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS raw, CASE WHEN doc_id % 7 = 0 THEN [doc_id, doc_id + 1] ELSE [doc_id] END AS golds FROM documents),
+src AS (SELECT doc_id AS name, doc_id * 13 % 400 AS age, CASE lang WHEN 'en' THEN doc_id * 13 % 400 >= 180 WHEN 'fr' THEN doc_id * 13 % 400 >= 21 ELSE false END AS stale FROM documents WHERE doc_id % 11 <> 0),
+e AS (SELECT i.doc_id, bool_or(src.name IS NULL) AS lost, min(age) AS age, bool_and(coalesce(stale, false)) AS stale FROM (SELECT doc_id, unnest(golds) AS name FROM i) i LEFT JOIN src USING (name) GROUP BY i.doc_id),
+el AS (SELECT i.*, e.age, e.stale, CASE WHEN i.doc_id % 5 = 0 THEN 'at-risk' WHEN role <> '' THEN 'section' WHEN lost THEN 'no-source' WHEN i.doc_id % 13 = 0 THEN 'fact-only-here' WHEN age < 7 THEN 'recent' END AS skipped FROM i JOIN e USING (doc_id))"""
+
+
+def shrinkable(spark, sf_dir):
+    """Index files of twenty pointers, each to a document, with its whole text as the hook."""
+    d = corpus.table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    hook = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    raw = F.concat(F.lit("- [T](doc_"), i.cast("string"), F.lit(".md) — "), F.when(i % 3 == 0, "see `").otherwise(""), hook)
+    of = lambda x: F.concat(F.lit("doc_"), x.cast("string"))
+    place = [F.concat(F.lit("f"), F.floor(i / 20).cast("string")).alias("path"), (i % 20 + 1).alias("line")]
+    items = d.select(*place, F.when(i % 20 == 0, "directives").otherwise("").alias("role"), raw.alias("raw"), F.when(i % 7 == 0, F.array(of(i), of(i + 1))).otherwise(F.array(of(i))).alias("golds"))
+    verdicts = d.select(*place, F.when(i % 5 == 0, "at-risk").otherwise("safe").alias("verdict"))
+    sources = d.where(i % 11 != 0).select(of(i).alias("name"), F.col("lang").alias("kind"), (i * 13 % 400).alias("age_days"))
+    limits = spark.createDataFrame([("en", 180), ("fr", 21)], "kind string, days int")
+    return items, shrink.eligible(items, verdicts, sources, d.where(i % 13 == 0).select(*place), limits)
+
+
+@query(f"WITH {SHRINK} SELECT path, line, coalesce(skipped, '') AS skipped, stale FROM el")
+def p14_eligible(spark, sf_dir):
+    return shrinkable(spark, sf_dir)[1].select("path", "line", F.coalesce("skipped", F.lit("")).alias("skipped"), "stale")
+
+
+@query(f"""WITH {SHRINK}, f AS (SELECT path, sum(length(raw) + 1) - 1 AS chars, floor((sum(length(raw) + 1) - 1) * CASE ascii(right(path, 1)) % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.75 ELSE 0.97 END) AS target FROM i GROUP BY path),
+h AS (SELECT el.*, chars - target AS over_, trim(substr(raw, instr(raw, ' — ') + 3)) AS hook, substr(raw, 1, instr(raw, ' — ') - 1) AS head FROM el JOIN f USING (path) WHERE skipped IS NULL AND chars > target AND target > 0),
+a AS (SELECT *, regexp_extract(hook, '^(.*?[.!?。])\\s', 1) AS one, regexp_extract(hook, '^(.*?)(?: · |; | — | → )', 1) AS two FROM h),
+c AS (SELECT *, trim(CASE WHEN one = '' AND two = '' THEN hook WHEN two = '' OR (one <> '' AND length(one) < length(two)) THEN one ELSE two END) AS clause FROM a),
+k AS (SELECT *, CASE WHEN length(clause) > 80 THEN rtrim(clause[1:79]) || '…' ELSE clause END AS cut FROM c),
+q AS (SELECT *, CASE WHEN (length(cut) - length(replace(cut, '`', ''))) % 2 = 0 THEN cut WHEN rtrim(regexp_replace(cut, '`[^`]*$', '')) = '' THEN '' ELSE rtrim(regexp_replace(cut, '`[^`]*$', '')) || '…' END AS kept FROM k),
+n AS (SELECT *, head || CASE WHEN kept = '' THEN '' ELSE ' — ' || kept END AS line_new FROM q), g AS (SELECT *, CASE WHEN length(line_new) < length(raw) THEN length(raw) - length(line_new) END AS gain FROM n),
+s AS (SELECT *, gain IS NOT NULL AND coalesce(sum(gain) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < over_ AS short FROM g),
+t AS (SELECT *, CASE WHEN short THEN gain ELSE 0 END AS got, sum(CASE WHEN short THEN gain ELSE 0 END) OVER (PARTITION BY path) AS first_got FROM s),
+u AS (SELECT *, CASE WHEN stale THEN length(raw) - got + 1 ELSE 0 END AS dropping FROM t),
+v AS (SELECT *, stale AND first_got + coalesce(sum(dropping) OVER (PARTITION BY path ORDER BY stale DESC, age DESC, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < over_ AS gone FROM u)
+SELECT path, line, CASE WHEN gone THEN 'drop' ELSE 'shorten' END AS action, CASE WHEN NOT gone THEN line_new END AS new, (got + CASE WHEN gone THEN dropping ELSE 0 END)::BIGINT AS saved FROM v WHERE short OR gone""")
+def p14_shrink_plan(spark, sf_dir):
+    items, touchable = shrinkable(spark, sf_dir)
+    chars = items.groupBy("path").agg((F.sum(F.length("raw") + 1) - 1).alias("chars"))
+    share = F.element_at(F.array(F.lit(0.3), F.lit(0.75), F.lit(0.97)), F.ascii(F.right("path", F.lit(1))) % 3 + 1)
+    return shrink.shrink_plan(chars.withColumn("target", F.floor(F.col("chars") * share)), touchable)

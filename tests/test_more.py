@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memolake.operators import evaluate, index, learn, parse, passages, signals
+from memolake.operators import evaluate, index, learn, parse, passages, records, shrink, signals
 from memolake.plans import measures
 from memolake.streaming import sessions
 
@@ -163,3 +163,61 @@ def test_kept_index_equals_a_new_one(spark, tmp_path):
         assert rows_of(got.terms, "term", "df") == rows_of(index.terms(posted), "term", "df")
         assert rows_of(got.lengths, "doc_id", "doclen") == rows_of(index.doc_lengths(now, posted), "doc_id", "doclen")
     assert len({v for v in index._listed(spark, path, 2).values()}) > 1
+
+
+def test_shrink_plan(spark):
+    hook = "opens a thing. And much more is said about it here, at length"
+    rows = [(1, "", f"- [A](a.md) — {hook}", ["a"]), (2, "signals", f"- [B](b.md) — {hook}", ["b"]), (3, "", f"- [C](c.md) - `code {hook}", ["c"]), (4, "", "* plain line\n  goes on", ["d"]), (5, "", f"- [E](e.md) — {hook}", ["gone"]), (6, "", "- no link", [])]
+    items = spark.createDataFrame([("p", *r) for r in rows], "path string, line int, role string, raw string, golds array<string>")
+    verdicts = items.select("path", "line", F.lit("safe").alias("verdict"))
+    sources = spark.createDataFrame([(x, "k", age) for x, age in (("a", 50), ("b", 900), ("c", 300), ("d", 200))], "name string, kind string, age_days int")
+    none = items.where("false").select("path", "line")
+    touch = shrink.eligible(items, verdicts, sources, none, spark.createDataFrame([("k", 100)], "kind string, days int"))
+    assert {r["line"]: r["skipped"] for r in touch.collect()} == {1: None, 2: "section", 3: None, 4: None, 5: "no-source", 6: "no-source"}
+    size = sum(len(r[2]) + 1 for r in rows) - 1
+    plan = lambda target: {r["line"]: (r["action"], r["new"], r["saved"]) for r in shrink.shrink_plan(spark.createDataFrame([("p", size, target)], "path string, chars int, target int"), touch).collect()}
+    first = ("shorten", "- [A](a.md) — opens a thing.", len(rows[0][2]) - 28)
+    third = len(rows[2][2]) + 1
+    assert plan(size) == {} and plan(0) == {} and plan(size - 1) == {1: first}
+    got = plan(1)
+    assert got == {1: first, 3: ("drop", None, third), 4: ("drop", None, len(rows[3][2]) + 1)}
+    assert plan(size - first[2] - 30)[3] == ("shorten", "- [C](c.md) — …"[:11], len(rows[2][2]) - 11)
+    assert [r["x"] for r in spark.createDataFrame([("`a` b; c",), ("x" * 100,), ("",), ("a `b",)], "h string").select(shrink.first_clause(F.col("h"), 10).alias("x")).collect()] == ["`a` b", "x" * 9 + "…", "", "a…"]
+
+
+def patched(before, diff):
+    """before with a unified diff applied."""
+    out, at, lines = [], 0, diff.split("\n")[2:]
+    for line in lines:
+        if line.startswith("@@"):
+            start, n = (line.split()[1][1:] + ",1").split(",")[:2]
+            start = int(start) - (n != "0")
+            out += before[at:start]
+            at = start
+        elif line.startswith("+"):
+            out.append(line[1:])
+        else:
+            assert before[at] == line[1:]
+            out += [line[1:]] if line.startswith(" ") else []
+            at += 1
+    return out + before[at:]
+
+
+def test_changes_apply_back(spark):
+    rng = np.random.default_rng(8)
+    texts = [[f"line {rng.integers(6)}" for _ in range(12)]]
+    for _ in range(30):
+        t = list(texts[-1])
+        for _ in range(3):
+            i = int(rng.integers(len(t)))
+            t[i : i + int(rng.integers(2))] = [f"new {rng.integers(9)}"] * int(rng.integers(3))
+        texts.append(t or ["x"])
+    d = spark.createDataFrame([(i, f"v{i}", "\n".join(t)) for i, t in enumerate(texts)] + [(100, None, None)], "id long, name string, body string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(i, 30) for i in range(7)] + [(30, 100), (100, 0), (5, 5)], "id long, next long")
+    rows = {(r["before"], r["id"]): r for r in records.changes(d, edges, lines=1000, chars=100_000).collect()}
+    assert len(rows) == 29 + 5 + 2 and all(r["more"] == (k[1] == 30) for k, r in rows.items())
+    for (a, b), r in rows.items():
+        if 100 not in (a, b):
+            assert not r["truncated"] and (patched(texts[a], r["diff"]) == texts[b] if r["diff"] else texts[a] == texts[b])
+    short = records.changes(d, edges, lines=4, chars=30).collect()
+    assert all(len(r["diff"]) <= 30 and r["diff"].count("\n") < 4 for r in short) and any(r["truncated"] for r in short)
