@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from memolake.functions import text as T
-from memolake.operators.lexical import FEW, cuts, held_terms
+from memolake.operators.lexical import FEW, held_terms
 from memolake.tables import little, staged
 
 
@@ -213,15 +214,50 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def numbered_letters(texts: pd.Series) -> pd.Series:
+    """Each character with how often it stood before: the second a is another token than the first. An empty text has one."""
+
+    def of(t: str) -> list[str]:
+        seen: Counter = Counter()
+        out = []
+        for c in t:
+            out.append(f"{c}{seen[c]}")
+            seen[c] += 1
+        return out or [""]
+
+    return texts.map(of)
+
+
+def alike_pairs(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """(a, b, ratio): keys of two tables (key, t) of distinct texts that are alike by ``least`` or more, each pair compared once.
+
+    Matching runs have no more characters than both texts share, counted with repeats: 2 * shared >= least * (n + m). So at
+    least least * n / (2 - least) of a text's n numbered characters are shared, and if all are put in one order, the rarest
+    first, one of those that come before the others are is shared. Pairs meet there, are held against the count of all, and
+    only then are their texts fetched. No pair is lost."""
+    both = x.select("key", "t").union(y.select("key", "t")).distinct().select("key", F.length("t").alias("n"), numbered_letters("t").alias("tokens"))
+    both = staged(both, "letters")
+    each = both.select("key", "n", F.explode("tokens").alias("token"))
+    ranked = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("df", "token"))
+    first = staged(ranked.withColumn("place", place).where(F.col("place") <= F.greatest(F.col("n") - F.ceil(F.col("n") * least / (2 - least)) + 1, F.lit(1))).select("key", "n", "token"), "first-letters")
+    one = lambda d, k, n: first.join(d.select("key"), "key", "left_semi").select(F.col("key").alias(k), F.col("n").alias(n), "token")
+    met = one(x, "a", "n").join(one(y, "b", "m"), "token").where(2 * F.least("n", "m") >= (F.col("n") + F.col("m")) * least).select("a", "b", "n", "m").distinct()
+    tokens = lambda k, c: both.select(F.col("key").alias(k), F.col("tokens").alias(c))
+    near = met.join(tokens("a", "_x"), "a").join(tokens("b", "_y"), "b").where(2 * F.size(F.array_intersect("_x", "_y")) >= (F.col("n") + F.col("m")) * least).select("a", "b")
+    texts = near.join(x.select(F.col("key").alias("a"), F.col("t").alias("_s")), "a").join(y.select(F.col("key").alias("b"), F.col("t").alias("_t")), "b")
+    return texts.select("a", "b", alike("_s", "_t").alias("ratio")).where(F.col("ratio") >= least)
+
+
 def label_conflicts(needed: DataFrame, controls: DataFrame, gold: DataFrame, conflict: float = 0.55, warning: float = 0.45) -> DataFrame:
-    """(qid, other, issue): a needed and a control query that are nearly alike, and needed queries without gold. Pairs meet by
-    a shared run of two or three characters and by lengths that allow the ratio, so not all are compared."""
-    flat = lambda d: d.select("qid", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("t"))
+    """(qid, other, issue): needed and control queries (qid, text) that are nearly alike by their letters and digits, and needed
+    queries without gold (qid). A null text is empty; two without letters are alike."""
+    flat = lambda d: d.select("qid", F.regexp_replace(F.coalesce("text", F.lit("")), "[^가-힣a-zA-Z0-9]", "").alias("t")).withColumn("key", F.md5("t"))
     x, y = flat(needed), flat(controls)
-    met = x.select("qid", F.col("t").alias("a"), F.explode(cuts(F.col("t"))).alias("cut")).join(little(y.select(F.col("qid").alias("other"), F.col("t").alias("b"), F.explode(cuts(F.col("t"))).alias("cut")), FEW), "cut").select("qid", "a", "other", "b").distinct()
-    n, m = F.length("a"), F.length("b")
-    met = met.where(2 * F.least(n, m) >= (n + m) * warning).withColumn("ratio", alike("a", "b")).where(F.col("ratio") >= warning)
-    pairs = met.select("qid", F.col("other").cast("string").alias("other"), F.when(F.col("ratio") >= conflict, "conflict").otherwise("warning").alias("issue"))
+    found = alike_pairs(x.select("key", "t").distinct(), y.select("key", "t").distinct(), warning)
+    pairs = found.join(x.select("qid", F.col("key").alias("a")), "a").join(y.select(F.col("qid").cast("string").alias("other"), F.col("key").alias("b")), "b")
+    pairs = pairs.select("qid", "other", F.when(F.col("ratio") >= conflict, "conflict").otherwise("warning").alias("issue"))
     lost = needed.join(gold.select("qid").distinct(), "qid", "left_anti").select("qid", F.lit(None).cast("string").alias("other"), F.lit("no-gold").alias("issue"))
     return pairs.unionByName(lost)
 

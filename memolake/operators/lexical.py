@@ -154,8 +154,10 @@ def trigger_matches(prompts: DataFrame, triggers: DataFrame) -> DataFrame:
     more meet prompts by their first three, then are compared; shorter ones never match."""
     p = prompts.select("qid", folded(F.col("text")).alias("folded"))
     t = triggers.select(folded(F.col("phrase")).alias("phrase"), "doc_id").distinct().withColumn("cut", F.substring("phrase", 1, 3)).where(F.length("phrase") >= 3)
-    pieces = p.select("qid", "folded", F.explode(cuts(F.col("folded"))).alias("cut"))
-    hit = pieces.join(little(t, FEW), "cut").where(F.contains("folded", "phrase"))
+    # Pieces carry a key of the text; the text itself comes back only for the pairs that met.
+    pieces = p.select(F.xxhash64("folded").alias("_key"), F.explode(cuts(F.col("folded"))).alias("cut"))
+    met = pieces.join(little(t, FEW), "cut").select("_key", "phrase", "doc_id").distinct()
+    hit = p.withColumn("_key", F.xxhash64("folded")).join(met, "_key").where(F.contains("folded", "phrase"))
     place = Window.partitionBy("qid").orderBy(F.desc(F.length("phrase")), "phrase", "doc_id")
     return hit.select("qid", "phrase", "doc_id", F.row_number().over(place).alias("place"))
 

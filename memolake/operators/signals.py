@@ -79,7 +79,9 @@ def standing_in(texts: DataFrame, text: str, phrases: DataFrame) -> DataFrame:
     from memolake.operators.lexical import cuts
 
     p = phrases.select("phrase").distinct().where(F.length("phrase") >= 2).withColumn("cut", F.substring("phrase", 1, 3))
-    return texts.withColumn("cut", F.explode(cuts(F.col(text)))).join(little(p, FEW), "cut").where(F.contains(F.col(text), F.col("phrase"))).drop("cut")
+    keyed = texts.withColumn("_key", F.xxhash64(text))
+    met = keyed.select("_key", F.explode(cuts(F.col(text))).alias("cut")).join(little(p, FEW), "cut").select("_key", "phrase").distinct()
+    return keyed.join(met, "_key").where(F.contains(F.col(text), F.col("phrase"))).drop("_key")
 
 
 def candidates(noted: DataFrame, uses: DataFrame, known: DataFrame, calls: int, least: int = LEAST_USES) -> DataFrame:

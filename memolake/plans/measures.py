@@ -218,10 +218,10 @@ def n11_axes(spark, sf_dir):
 
 @query()
 def n13_label_conflicts(spark, sf_dir):
-    """User texts as needed queries; every third with a word more, and in part, as controls."""
+    """User texts as needed queries; every third with a word more as controls."""
     p = corpus.prompts(spark, sf_dir)
-    controls = p.where("qid % 3 = 0").select("qid", F.concat(F.substring("text", 1, 60), F.lit(" then")).alias("text"))
-    return evaluate.label_conflicts(p.select("qid", F.substring("text", 1, 80).alias("text")), controls, p.where("qid % 2 = 0").select("qid"))
+    controls = p.where("qid % 3 = 0").select("qid", F.concat("text", F.lit(" then")).alias("text"))
+    return evaluate.label_conflicts(p, controls, p.where("qid % 2 = 0").select("qid"))
 
 
 @query(f"""WITH {S.DOCS} SELECT item_id AS qid, doc_id FROM benchmark b JOIN docs d ON contains(d.body, b.text) WHERE length(b.text) >= 12""")

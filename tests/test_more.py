@@ -1,5 +1,7 @@
 """Operators that SQL can't express, against brute force on small input."""
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +120,19 @@ def test_conflicting_labels(spark):
     assert (0, "0", "conflict") in got and (1, None, "no-gold") in got and not [g for g in got if g[1] == "1"]
 
 
+def test_alike_pairs_are_those_of_all_with_all(spark):
+    rng = np.random.default_rng(6)
+    made = lambda n, k: ["".join(rng.choice(list("abcdeF 1-가나"), int(rng.integers(0, 30)))) for _ in range(n)] + ["", None, "x" * k, "a" * 250 + "bc"]
+    x, y = made(50, 3), made(40, 4)
+    y += [t[:-1] + "q" for t in x[:20]]
+    q = lambda t: spark.createDataFrame([*enumerate(t)], "qid long, text string")
+    flat = lambda t: "".join(c for c in t or "" if c.isascii() and c.isalnum() or "가" <= c <= "힣")
+    ratio = lambda a, b: SequenceMatcher(None, flat(a), flat(b)).ratio()
+    want = {(i, str(j), "conflict" if ratio(a, b) >= 0.55 else "warning") for i, a in enumerate(x) for j, b in enumerate(y) if ratio(a, b) >= 0.45}
+    got = [tuple(r) for r in evaluate.label_conflicts(q(x), q(y), q(x).select("qid")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
 def test_rules_from_use(spark):
     assert signals.signals_of("A=1 B=$(/usr/bin/git checkout -b x) && ls <<EOF\nrm all\nEOF\nmake") == ["git", "git checkout", "git checkout -b", "ls", "make"]
     noted = spark.createDataFrame([("git fetch", "n1", 3), ("git fetch origin", "n2", 1), ("git", "n3", 9), ("make", "n4", 1)], "signal string, note string, tf long")
