@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _parts() -> list:
-    from memolake.plans import analytics, bridging, facts, measures, notebook, notes, retrieval
+    from memolake.plans import analytics, bridging, facts, measures, notebook, notes, requests, retrieval
 
-    return [retrieval, analytics, facts, notes, notebook, measures, bridging]
+    return [retrieval, analytics, facts, notes, notebook, measures, bridging, requests]
 
 
 def queries() -> dict:
