@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memolake.operators import fusion
+from memolake.operators import fusion, vector
 from memolake.tables import little
 
 RADIUS, WIDTH, EVIDENCE = 160, 1200, 420
@@ -250,10 +250,16 @@ def linked_arm(pool: DataFrame, near: DataFrame, worth: DataFrame, cos: DataFram
     return pool.unionByName(near.select("qid", "doc_id", F.lit(20).alias("w"), F.lit(20).alias("m"), "base"))
 
 
-def meaning_top(top: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, cos, rank): the first k of a deeper ranking among allowed documents (doc_id), ranked anew."""
-    place = Window.partitionBy("qid").orderBy(F.desc(F.round("cos", 6)), "doc_id")
-    return top.join(allowed, "doc_id", "left_semi").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("qid", "doc_id", "cos", "rank")
+def meaning_top(queries: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int, left_out: DataFrame | None = None, lowest: bool = False) -> DataFrame:
+    """(qid, doc_id, chunk_no, cos, rank): each query's first k of the allowed documents (doc_id) by their best chunk, without those left
+    out for it (qid, doc_id), as ones shown already; lowest: the farthest, as decoys. Chunks are filtered before they are ranked
+    and as many more are ranked as a query leaves out, so all k places are filled if there are so many."""
+    most = 0 if left_out is None else left_out.distinct().groupBy("qid").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    top = vector.cosine_top(queries, chunks.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"), k + most, lowest)
+    if left_out is not None:
+        top = top.join(left_out.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_anti")
+    place = Window.partitionBy("qid").orderBy("rank")
+    return top.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("qid", "doc_id", "chunk_no", "cos", "rank")
 
 
 def best_chunks(scored: DataFrame, held: DataFrame, current: DataFrame) -> DataFrame:

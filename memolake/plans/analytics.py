@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memolake.operators import fusion, graph, learn, lexical, usage, vector
+from memolake.operators import fusion, graph, learn, lexical, passages, usage, vector
 from memolake.plans import sql as S
 from memolake.plans.retrieval import Built
 from memolake.sources import corpus
@@ -85,10 +85,13 @@ def v11_gate_floor(spark, sf_dir):
     return vector.gate(controls, allow=1).select(F.round("floor", 6).alias("floor"))
 
 
-@query(f"WITH {CHUNKS}, q AS (SELECT vec_id AS qid, vec FROM chunks WHERE vec_id % 25 = 0), best AS (SELECT qid, doc_id, max(list_inner_product(q.vec, c.vec)) AS cos FROM q, chunks c GROUP BY qid, doc_id) SELECT qid, doc_id, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 6), doc_id)::INT AS rank FROM best) WHERE rank <= 5")
+@query(f"WITH {CHUNKS}, q AS (SELECT vec_id AS qid, vec FROM chunks WHERE vec_id % 25 = 0), best AS (SELECT qid, doc_id, max(list_inner_product(q.vec, c.vec)) AS cos FROM q, chunks c GROUP BY qid, doc_id) SELECT qid, doc_id, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 6), doc_id)::INT AS rank FROM best WHERE doc_id % 7 <> qid % 7) WHERE rank <= 5")
 def v12_decoys(spark, sf_dir):
+    """The farthest documents, without those that are shown for a query or its gold: here every seventh."""
     chunks, asked, _ = lanes(spark, sf_dir, 1)
-    return vector.cosine_top(asked, chunks, 5, lowest=True).select("qid", "doc_id", F.round("cos", 6).alias("cos"), "rank")
+    ids = chunks.select("doc_id").distinct()
+    shown = asked.select("qid", (F.col("qid") % 7).alias("_m")).join(ids.withColumn("_m", F.col("doc_id") % 7), "_m").select("qid", "doc_id")
+    return passages.meaning_top(asked, chunks, ids, 5, shown, lowest=True).select("qid", "doc_id", F.round("cos", 6).alias("cos"), "rank")
 
 
 LABEL_LANE = "words AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY doc_id)::INT AS rank FROM (SELECT DISTINCT a.vec_id AS qid, b.doc_id FROM chunks a JOIN chunks b ON a.label = b.label WHERE a.vec_id % 25 = 0))"

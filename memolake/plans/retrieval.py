@@ -24,17 +24,28 @@ def query(sql: str | None = None):
     return add
 
 
+#: Bytes of text for a bucket of the index, about.
+BUCKET_BYTES = 64 << 20
+
+
+def files_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, a hash of names, sizes and times) of a table's files; their contents aren't read."""
+    f = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
+    return tuple(f.agg(F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.sum(F.pmod(F.xxhash64("path", "modificationTime", "length"), F.lit(1 << 40))), F.lit(0))).first())
+
+
 class Built:
-    """The published index of the documents: written once for a session and table, then read by every query."""
+    """The published index of the documents: written once for a session and state of the table, then read by every query."""
 
     paths: dict = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs = corpus.documents(spark, sf_dir)
-        key = (spark.sparkContext.applicationId, sf_dir)
+        size, state = files_of(spark, f"{sf_dir}/documents.parquet")
+        key = (spark.sparkContext.applicationId, sf_dir, state)
         if key not in self.paths:
             path = fresh_path(spark, "index")
-            index.publish(self.docs, path)
+            index.publish(self.docs, path, max(16, size // BUCKET_BYTES))
             self.paths[key] = path
         found = index.opened(spark, self.paths[key])
         self.postings, self.terms, self.lengths, self.stats = found.postings.drop("bucket"), found.terms.drop("bucket"), found.lengths, found.stats
