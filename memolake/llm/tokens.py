@@ -12,7 +12,7 @@ from itertools import repeat
 import numpy as np
 
 #: The ids of so many pieces are kept; then the store starts anew.
-KEEP_PIECES = 250_000
+KEEP_PIECES = 400_000
 _open: dict = {}
 #: Blanks that str.split() takes and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
@@ -56,30 +56,35 @@ class PieceTokenizer:
 
     def clear(self):
         self.known, self.starts, self.sizes, self.ids = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.words, self.marks = {}, {}
+        self.words, self.marks = {}, {"": b""}
 
     def learn(self, pieces: list[str]) -> None:
-        """Most new pieces are a word of ASCII letters and perhaps stops: normalisation lowers it, the library's model
-        gives its ids, and those of the stops follow. All others go through the whole tokenizer, as do all where the file's
-        normaliser or pre-tokenizer does more than that."""
-        tokenize, words, got, others = self.tokenizer.model.tokenize, self.words, [], []
-        for i, piece in enumerate(pieces):
+        """Most new pieces are a word of letters and perhaps stops, which the file's own steps part: ids are those of the word
+        and of the stops. Of ASCII letters, normalisation only lowers a word, and the library's model gives its ids; other words
+        go through the whole tokenizer once, whatever stops follow. All other pieces go through it as they are, as do all where
+        the file's normaliser or pre-tokenizer does more than that."""
+        tokenize, words, parts, others = self.tokenizer.model.tokenize, self.words, [], {}
+        for piece in pieces:
             word = piece.rstrip(STOPS)
-            if self.short_cut and word.isascii() and word.isalpha():
-                low = word.lower()
-                ids = words.get(low)
-                if ids is None:
-                    ids = words[low] = array("I", [t.id for t in tokenize(low)]).tobytes()
-                if stops := piece[len(word) :]:
-                    if stops not in self.marks:
-                        self.marks[stops] = array("I", self.tokenizer.encode(stops, add_special_tokens=False).ids).tobytes()
-                    ids = ids + self.marks[stops]
-                got.append(ids)
+            # A letter may be lowered to one with a mark behind it, which isn't parted from stops.
+            if self.short_cut and word.isalpha() and (word.isascii() or word.lower().isalpha()):
+                key = word.lower() if word.isascii() else word
+                if key not in words:
+                    if word.isascii():
+                        words[key] = array("I", [t.id for t in tokenize(key)]).tobytes()
+                    else:
+                        others[key] = None
+                stops = piece[len(word) :]
+                if stops not in self.marks:
+                    self.marks[stops] = array("I", self.tokenizer.encode(stops, add_special_tokens=False).ids).tobytes()
+                parts.append((key, stops))
             else:
-                others.append(i)
-                got.append(None)
-        for i, x in zip(others, self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False)):
-            got[i] = array("I", x.ids).tobytes()
+                others[piece] = None
+                parts.append((piece, ""))
+        for key, x in zip(others, self.tokenizer.encode_batch_fast([*others], add_special_tokens=False)):
+            others[key] = array("I", x.ids).tobytes()
+        words.update((key, ids) for key, ids in others.items() if key.isalpha())
+        got = [(words[key] if key in words else others[key]) + self.marks[stops] for key, stops in parts]
         sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
         ids = np.frombuffer(b"".join(got), np.uint32)
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
