@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from memolake.llm.common import give_back, small_batches, table
 from memolake.llm.hashing import blocks
-from memolake.llm.tokens import tokenizer
+from memolake.llm.tokens import KEEP_PIECES, tokenizer
 
 CAPACITY, END_ID, SHARD = 4096, 2, 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -80,13 +80,14 @@ def share_out(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         m += max(1, int(over // capacity))
 
 
-def packed(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, shard: int = SHARD) -> DataFrame:
-    """PIECES of all documents; path: of the vocabulary file."""
+def packed(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, shard: int = SHARD, keep: int = KEEP_PIECES) -> DataFrame:
+    """PIECES of all documents; path: of the vocabulary file; keep: how many pieces of text a task knows the ids of."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 33
         t = tokenizer(path)
+        t.keep = keep
         held = []  # (doc_id, start, length, crc, doc_tokens): last pieces that wait for a window
 
         def piece(doc, ids, start):

@@ -11,8 +11,8 @@ from itertools import repeat
 
 import numpy as np
 
-#: The ids of so many pieces are kept; then the store starts anew.
-KEEP_PIECES = 250_000
+#: The ids of so many pieces are kept; then the store starts anew. A caller may set ``keep`` of a tokenizer.
+KEEP_PIECES = 500_000
 _open: dict = {}
 #: Blanks that str.split() takes and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
@@ -51,6 +51,7 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.keep = KEEP_PIECES
         self.short_cut = lowers_only(spec["normalizer"]) and parts_words(spec["pre_tokenizer"])
         self.clear()
 
@@ -92,7 +93,7 @@ class PieceTokenizer:
         self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEEP_PIECES:
+        if len(self.known) > self.keep:
             self.clear()
         split = [re.split("[ \t\r\n]+", t) if ODD.search(t) else t.split() for t in texts]
         pieces = [p for s in split for p in s]
