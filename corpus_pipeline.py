@@ -32,7 +32,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the packed sequences. A null text is empty and has only the end id; null ids
     and repeated rows are documents of their own; an empty table gives no rows."""
-    return packed(docs, vocabulary())
+    # Workers still hold what earlier stages loaded, so this one keeps less.
+    return packed(docs, vocabulary(), keep=250_000)
 
 
 STAGES = [
