@@ -235,3 +235,11 @@ def test_streams_equal_batches(spark, tmp_path):
     over = {(r["user_id"], r["start"], r["w"]) for r in batch if r["end"] + timedelta(hours=12) < end - timedelta(minutes=10)}
     assert {(r["user_id"], r["start"], r["writes"]) for r in dead} == over and len(over) > 5
     assert run_stream(spark, sessions.first_observations(stream(), ["event_id"]), "append", "firsts").count() == e.count()
+
+
+def test_packed_postings(spark):
+    docs = spark.createDataFrame([(i, f"n{i}", "", "", f"apple apple w{i % 3} 세션이 ﬁ") for i in range(20)], "doc_id long, name string, title string, description string, body string")
+    packed = index.packed_postings(docs.coalesce(1))
+    rows = {r["term"]: r for r in packed.collect()}
+    assert len(rows["apple"]["doc_ids"]) == 20 and set(rows["apple"]["tfs"]) == {2.0}
+    assert sorted(map(tuple, index.unpacked(packed).collect())) == sorted(map(tuple, index.postings(docs).collect()))
