@@ -237,6 +237,31 @@ def test_streams_equal_batches(spark, tmp_path):
     assert run_stream(spark, sessions.first_observations(stream(), ["event_id"]), "append", "firsts").count() == e.count()
 
 
+def test_scores_in_blocks(spark, monkeypatch):
+    """Blocks of a few documents and queries give what one block gives, and what the formula says."""
+    docs = spark.createDataFrame([(i, f"n{i}", "", "", " ".join(f"w{i % j}" for j in range(2, 9)) + " seven" * (i % 7)) for i in range(60)], "doc_id long, name string, title string, description string, body string")
+    posted = index.postings(docs)
+    term_df, lengths = index.terms(posted), index.doc_lengths(docs, posted)
+    stats = index.corpus_stats(lengths, term_df)
+    q = spark.createDataFrame([(i, f"w{i} seven w{i + 1}") for i in range(6)], "qid long, text string")
+    each, _ = lexical.chosen_words(lexical.own_terms(q), term_df, stats)
+    monkeypatch.setattr(lexical, "DOC_BLOCK", 7)
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 2)
+    got = {(r["qid"], r["doc_id"]): (round(r["score"], 6), r["held"]) for r in lexical.scored(each, posted, lengths, stats, None).collect()}
+    tf, size, avg = {(r["doc_id"], r["term"]): r["tf"] for r in posted.collect()}, dict(map(tuple, lengths.collect())), stats.first()["avg_doclen"]
+    want: dict = {}
+    for r in each.collect():
+        for d in range(60):
+            if t := tf.get((d, r["gram"])):
+                v = want.setdefault((r["qid"], d), [0.0, 0.0, r["mass"], set()])
+                v[0] += r["idf"] * t / (t + 1.2 * (0.4 + 0.6 * size[d] / avg))
+                v[1] += r["found_idf"]
+                v[3].add(r["at"])
+    assert {x: (round(v * (0.4 + 0.6 * f / m), 6), {i for i, c in enumerate(got[x][1]) if c == "1"}) for x, (v, f, m, _) in want.items()} == {x: (s, want[x][3]) for x, (s, _) in got.items()}
+    ranked = lexical.recall(q, docs, posted, term_df, lengths, stats, 5)
+    assert ranked.count() == 30
+
+
 def test_packed_postings(spark):
     docs = spark.createDataFrame([(i, f"n{i}", "", "", f"apple apple w{i % 3} 세션이 ﬁ") for i in range(20)], "doc_id long, name string, title string, description string, body string")
     packed = index.packed_postings(docs.coalesce(1))
