@@ -39,35 +39,45 @@ def cosine_top(queries: DataFrame, chunks: DataFrame, n: int, lowest: bool = Fal
     A few thousand queries, counted first, are a matrix that every task has: chunks are scanned where they are, and each
     batch gives at most n documents for a query. That is enough, as a document of the first n stands in the batch of its
     best chunk behind fewer than n others. With more queries, and for the farthest, rows and queries meet in blocks of
-    bounded size. Ties go to the smaller document and the smaller chunk. lowest: the farthest instead.
+    bounded size. Ties go to the smaller document and the smaller chunk. lowest: the farthest instead. Where both tables have
+    a column ``set``, one value for all chunks of a document, a query doesn't meet the documents of its own set: so a large
+    part of all can be left out for each query without a row for each pair.
     """
-    if not lowest:
+    apart = "set" in queries.columns and "set" in chunks.columns
+    if not lowest and not apart:
         few = queries.select("qid", "vec").limit(QUERY_BLOCK + 1).toPandas()
         if len(few) <= QUERY_BLOCK:
             return scanned(few, chunks, n)
     count = chunks.count()
     blocks, asked = 1 + count // BLOCK, 1 + queries.count() // QUERY_BLOCK
     sign = -1.0 if lowest else 1.0
-    data = chunks.select("doc_id", "chunk_no", F.col("vec"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks).cast("long")).alias("block"))
+    of = lambda d: (F.col("set") if "set" in d.columns else F.lit(None)).cast("string")
+    data = chunks.select("doc_id", "chunk_no", F.col("vec"), of(chunks).alias("of"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks).cast("long")).alias("block"))
     data = data.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))))
-    q = queries.select("qid", F.col("vec").alias("asked_vec"), F.pmod(F.xxhash64("qid"), F.lit(asked).cast("long")).alias("asked"))
+    q = queries.select("qid", F.col("vec").alias("asked_vec"), of(queries).alias("asked_of"), F.pmod(F.xxhash64("qid"), F.lit(asked).cast("long")).alias("asked"))
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"qid": [], "doc_id": [], "chunk_no": [], "cos": []})
         left = left.sort_values(["doc_id", "chunk_no"], ignore_index=True)
-        cos = np.stack(right["asked_vec"]).astype(float) @ np.stack(left["vec"]).astype(float).T
+        vecs, numbers = np.stack(left["vec"]).astype(float).T, left["chunk_no"].to_numpy()
         ids, start = np.unique(left["doc_id"].to_numpy(), return_index=True)
-        best = np.maximum.reduceat(cos, start, axis=1)
+        ends = np.append(start[1:], len(left))
+        sets = left["of"].to_numpy()[start]
         out = []
-        for i, qid in enumerate(right["qid"]):
-            row = np.round(best[i], 9)
-            order = np.lexsort((ids, -sign * row))[:n]
-            for j in order:
-                end = start[j + 1] if j + 1 < len(start) else len(left)
-                k = start[j] + int(np.argmax(np.round(cos[i, start[j] : end], 9)))
-                out.append((qid, ids[j], int(left["chunk_no"].iloc[k]), float(cos[i, k])))
+        for lo in range(0, len(right), 128):
+            part = right.iloc[lo : lo + 128]
+            cos = np.stack(part["asked_vec"]).astype(float) @ vecs
+            best = np.round(np.maximum.reduceat(cos, start, axis=1), 9)
+            for i, (qid, own) in enumerate(zip(part["qid"], part["asked_of"])):
+                row = -sign * best[i]
+                near = np.flatnonzero(sets != own) if apart else np.arange(len(ids))
+                if len(near) > n:
+                    near = near[row[near] <= np.partition(row[near], n - 1)[n - 1]]
+                for j in near[np.lexsort((near, row[near]))[:n]]:
+                    k = start[j] + int(np.argmax(np.round(cos[i, start[j] : ends[j]], 9)))
+                    out.append((qid, ids[j], int(numbers[k]), float(cos[i, k])))
         return pd.DataFrame(out, columns=["qid", "doc_id", "chunk_no", "cos"])
 
     found = data.groupBy("block", "asked").cogroup(q.groupBy("block", "asked")).applyInPandas(meet, "qid long, doc_id long, chunk_no int, cos double")

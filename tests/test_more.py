@@ -236,3 +236,32 @@ def test_changes_apply_back(spark):
             assert not r["truncated"] and (patched(texts[a], r["diff"]) == texts[b] if r["diff"] else texts[a] == texts[b])
     short = records.changes(d, edges, lines=4, chars=30).collect()
     assert all(len(r["diff"]) <= 30 and r["diff"].count("\n") < 4 for r in short) and any(r["truncated"] for r in short)
+
+
+def test_a_label_s_first_documents_are_found_once(spark):
+    """The window runs on a label's documents, below the join with its queries."""
+    from memolake.plans import analytics
+
+    rows = [(4 * d + i, d, i, (d * 7 + i) % 3) for d in range(120) for i in range(4)]
+    chunks = spark.createDataFrame(rows, "vec_id long, doc_id long, chunk_no int, label int")
+    lane = analytics.label_lane(chunks)
+    plan = lane._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
+    got = {(r["qid"], r["doc_id"], r["rank"]) for r in lane.collect()}
+    assert got == {(v, d, n) for v, _, _, x in rows if v % 25 == 0 for n, d in enumerate(sorted({d for _, d, _, y in rows if y == x})[:20], 1)}
+
+
+@pytest.mark.parametrize("lowest", [False, True])
+def test_queries_apart_from_their_set(spark, monkeypatch, lowest):
+    from memolake.operators import vector
+
+    rng = np.random.default_rng(5)
+    chunks = [(d, c, rng.normal(size=4).tolist(), d % 3) for d in range(50) for c in range(2)]
+    asked = [(q, rng.normal(size=4).tolist(), q % 3) for q in range(150)]
+    monkeypatch.setattr(vector, "BLOCK", 30)
+    c = spark.createDataFrame(chunks, "doc_id long, chunk_no int, vec array<double>, set int")
+    got = vector.cosine_top(spark.createDataFrame(asked, "qid long, vec array<double>, set int"), c, 4, lowest).collect()
+    for q, v, own in asked:
+        best = {d: max(float(np.dot(v, x)) for e, _, x, _ in chunks if e == d) for d in range(50) if d % 3 != own}
+        want = sorted(best, key=lambda d: (best[d] if lowest else -best[d], d))[:4]
+        assert [r["doc_id"] for r in sorted((r for r in got if r["qid"] == q), key=lambda r: r["rank"])] == want
