@@ -66,9 +66,18 @@ def components(ids: DataFrame, e: DataFrame) -> DataFrame:
             return ids.select("doc_id").join(roots, "doc_id", "left")
 
 
+def rare_terms(posted: DataFrame, term_df: DataFrame) -> DataFrame:
+    """(term, doc_id) of terms of df 2 or 3, a staged table; posted may lack postings of other terms (``index.few``)."""
+    return staged(posted.join(term_df.where("df between 2 and 3").select("term"), "term", "left_semi").select("term", "doc_id"), "rare")
+
+
 def shared_rare(posted: DataFrame, term_df: DataFrame) -> DataFrame:
     """(a, b, shared): documents that share terms of df 2 or 3. At most three pairs come of a term."""
-    rare = posted.join(term_df.where("df between 2 and 3").select("term"), "term").select("term", "doc_id")
+    return sharing(rare_terms(posted, term_df))
+
+
+def sharing(rare: DataFrame) -> DataFrame:
+    """(a, b, shared) of rows (term, doc_id)."""
     x, y = rare.alias("x"), rare.alias("y")
     pairs = x.join(y, (F.col("x.term") == F.col("y.term")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     return pairs.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
@@ -76,10 +85,11 @@ def shared_rare(posted: DataFrame, term_df: DataFrame) -> DataFrame:
 
 def duplicate_suspects(docs: DataFrame, posted: DataFrame, term_df: DataFrame, e: DataFrame, least: int = 4, size_ratio: float = 4.0, overlap: float = 0.18, most: int = 25) -> DataFrame:
     """Pairs of one kind and like size that aren't linked and share much of the smaller one's rare terms."""
-    rare = posted.join(term_df.where("df between 2 and 3").select("term"), "term").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rare"))
-    fact = docs.select("doc_id", "kind", "size").join(rare, "doc_id")
+    terms = rare_terms(posted, term_df)
+    rare = terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rare"))
+    fact = staged(docs.select("doc_id", "kind", "size").join(rare, "doc_id"), "facts")
     side = lambda c: fact.select(F.col("doc_id").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("size").alias(f"size_{c}"), F.col("rare").alias(f"rare_{c}"))
-    p = shared_rare(posted, term_df).where(F.col("shared") >= least).join(side("a"), "a").join(side("b"), "b")
+    p = sharing(terms).where(F.col("shared") >= least).join(side("a"), "a").join(side("b"), "b")
     linked = both_ways(e).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     part = F.col("shared") / F.greatest(F.least("rare_a", "rare_b"), F.lit(1))
     p = p.where((F.col("kind_a") == F.col("kind_b")) & (F.greatest("size_a", "size_b") <= size_ratio * F.greatest(F.least("size_a", "size_b"), F.lit(1)))).withColumn("overlap", part).where(F.col("overlap") >= overlap)
