@@ -21,3 +21,29 @@ def test_grep_deals_packed_blocks(spark, monkeypatch):
     # Six blocks and five parts: a row for each block of a task, none for a posting, or for a word and a term.
     data, q = (d.drop("part", "block").distinct().count() for d in dealt)
     assert data <= 6 * 4 and q <= 5 * 4
+
+
+def test_ranking_goes_on_from_block_to_block(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    made = lambda n, k: [" ".join(f"w{int(x)}" for x in rng.zipf(1.2, k) if x < 90) for _ in range(n)]
+    docs = spark.createDataFrame([*enumerate(made(400, 25))], "doc_id long, text string")
+    queries = spark.createDataFrame([*enumerate([*made(25, 6), "w1 w2 w3 w80", "w1"])], "qid long, text string")
+    posted = index.postings(docs, weights={"text": 1.0})
+    terms, lengths = index.terms(posted), index.doc_lengths(docs, posted)
+    stats = index.corpus_stats(lengths, terms)
+    each = lexical.chosen_words(lexical.own_terms(queries), terms, stats)[0].cache()
+    rows = lambda d: [(r["qid"], -round(r["score"], 6), r["doc_id"], r["held"]) for r in d.collect()]
+    want: dict = {}
+    for r in sorted(rows(lexical.scored(each, posted, lengths, stats, None))):
+        want.setdefault(r[0], []).append(r)
+    monkeypatch.setattr(lexical, "DOC_BLOCK", 16)
+    dealt = []
+    monkeypatch.setattr(lexical, "packed", lambda *a, put=lexical.packed: dealt.append(put(*a)) or dealt[-1])
+    got: dict = {}
+    for r in sorted(rows(lexical.scored(each, posted, lengths, stats, 5))):
+        got.setdefault(r[0], []).append(r)
+    assert {q: r[:5] for q, r in got.items()} == {q: r[:5] for q, r in want.items()} and len(want) > 20
+    # 26 blocks in four groups: a query has its first five of each group, and postings are dealt packed.
+    assert max(map(len, got.values())) <= 5 * 4 and all("rows" in d.columns for d in dealt) and len(dealt) == 3
+    high = lexical.scored(each, posted, lengths, stats, None, 3.0)
+    assert sorted(rows(high)) == sorted(r for w in want.values() for r in w if -r[1] >= 3.0)
