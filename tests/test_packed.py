@@ -1,8 +1,9 @@
 """Rows that are packed before they are dealt."""
 
 import numpy as np
+import pyarrow as pa
 
-from memolake.operators import index, lexical
+from memolake.operators import index, learn, lexical
 
 
 def test_grep_deals_packed_blocks(spark, monkeypatch):
@@ -47,3 +48,36 @@ def test_ranking_goes_on_from_block_to_block(spark, monkeypatch):
     assert max(map(len, got.values())) <= 5 * 4 and all("rows" in d.columns for d in dealt) and len(dealt) == 3
     high = lexical.scored(each, posted, lengths, stats, None, 3.0)
     assert sorted(rows(high)) == sorted(r for w in want.values() for r in w if -r[1] >= 3.0)
+
+
+def test_steps_come_back_in_slices(spark):
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, 1 << int(k), int(n)) for k, n in zip(rng.integers(1, 40, 50), rng.integers(1, 300, 50))]
+    df = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(rows)], "i long, n array<long>").coalesce(1)
+    packed = pa.array([r["s"] for r in df.select("i", learn.steps("n").alias("s")).orderBy("i").collect()], pa.binary())
+    for some in (packed, packed.slice(7, 20)):
+        got = [part for _, _, sizes, n in learn.walked(some, 500) for part in np.split(n, sizes.cumsum()[:-1])]
+        assert [x.tolist() for x in got] == [np.unique(r).tolist() for r in (rows if len(some) == 50 else rows[7:27])]
+    assert sum(map(len, packed.to_pylist())) < sum(8 * len(np.unique(r)) for r in rows)
+
+
+def test_synonyms_send_documents_of_the_same_words_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}x" for x in rng.zipf(1.3, 30) if x < 300) for _ in range(60)]
+    texts += ["alpha beta gamma delta"] * 20 + texts[:5] * 3
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    posted = index.postings(docs, weights={"text": 1.0})
+    n = spark.createDataFrame([(len(texts),)], "n_docs long")
+    sent = []
+    monkeypatch.setattr(learn, "steps", lambda c, put=learn.steps: sent.append(c) or put(c))
+    out = learn.corpus_synonyms(posted, index.terms(posted), n, dst_share=0.3, lift=2.0)
+    of: dict = {}
+    for i, t in enumerate(texts):
+        for w in t.split():
+            of.setdefault(w, set()).add(i)
+    held = lambda a, b: (k := len(of[a] & of[b])) >= 3 and k / len(of[a]) >= 0.6 and k / len(of[a]) / (len(of[b]) / len(texts)) >= 2 and a not in b and b not in a
+    want = {(a, b, len(of[a] & of[b])) for a in of for b in of if 3 <= len(of[a]) <= 60 and 3 <= len(of[b]) <= max(3, int(len(texts) * 0.3)) and len(of[b]) <= len(texts) / 2 and held(a, b)}
+    got = {tuple(r) for r in out.collect()}
+    assert got == want and len(got) > 20 and ("alpha", "beta", 20) in got and sent
+    some = learn.corpus_synonyms(posted, index.terms(posted), n, dst_share=0.3, lift=2.0, only=spark.createDataFrame([("alpha",), ("w9x",), ("nowhere",)], "term string"))
+    assert {tuple(r) for r in some.collect()} == {r for r in want if r[0] in ("alpha", "w9x")}
